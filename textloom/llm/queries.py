@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, packing, quality_rules
+from textloom.llm import decontamination, line_dedup, ngram_join, packing, quality_rules, url_filters
 from textloom.runtime import ship
 
 
@@ -62,9 +62,57 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_OP2_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '[ \t\x0B\f\r]+', ' ', 'g'), '[^ \n]*[0-9@][^ \n]*', '<*>', 'g'), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(list_transform(ls, lambda x: trim(x, ' '))) AS t FROM d),
+c AS (
+  SELECT doc_id, i, t, CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) + 1 END AS tokens,
+         coalesce(lag(t) OVER w, chr(1)) || chr(0) || coalesce(lead(t) OVER w, chr(1)) AS context
+  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+r AS (
+  SELECT t, min((doc_id, i)) AS first FROM c WHERE tokens >= 3
+  GROUP BY t HAVING count(DISTINCT context) >= CASE WHEN max(tokens) >= 20 THEN 3 ELSE 5 END),
+x AS (SELECT doc_id, list(i) AS dropped FROM c JOIN r USING (t) WHERE (doc_id, i) <> first GROUP BY doc_id)
+SELECT doc_id,
+       CASE WHEN dropped IS NULL THEN text
+            ELSE coalesce(array_to_string(list_transform(list_filter(range(0, len(ls)), lambda k: NOT list_contains(dropped, k)), lambda k: string_split(text, chr(10))[k + 1]), chr(10)), '') END AS text,
+       CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped
+FROM d LEFT JOIN x USING (doc_id)
+"""
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(_table(spark, sf_dir, "pages"))
+
+
+_OP10_SQL = r"""
+WITH p AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                            ('block', 'net', '/es/'), ('block', 'net', '/fr/')) AS v(verdict, rh, rp)),
+m AS (
+  SELECT page_id, rh || rp AS rule, verdict FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rh) + length(rp) DESC, length(rh) DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h LEFT JOIN m USING (page_id)
+"""
+
+
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_line_dedup": op2_line_dedup,
+    "op10_url_filters": op10_url_filters,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_rules": op8_quality_rules,
 }
-ORACLE_SQL = {"op8_quality_rules": _OP8_SQL}
+ORACLE_SQL = {"op2_line_dedup": _OP2_SQL, "op8_quality_rules": _OP8_SQL, "op10_url_filters": _OP10_SQL}
