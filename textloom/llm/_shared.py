@@ -108,3 +108,21 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     base = offsets[0] if len(offsets) else 0
     data = data[base : offsets[-1]] if len(offsets) else data
     return data, (offsets[:-1] - base), (offsets[1:] - base)
+
+
+#: Labelled rows of each class that a classifier is fitted on, at most.
+FIT_ROWS = 10_000
+
+
+def fit_sample(labels: DataFrame, label: str, modulus: int, held_out: int, rows: int = FIT_ROWS) -> tuple[DataFrame, dict[int, float]]:
+    """A bounded sample of the labelled rows outside the held-out fold, and each class's weight (all its rows / sampled).
+
+    Rows (doc_id, y) by the smallest hashes of doc_id, at most `rows` of each class. Null labels and ids are no examples;
+    a doc_id with both labels counts as 1.
+    """
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold != held_out))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    part = lambda y: known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return cut(part(0).unionByName(part(1))), {y: n / min(n, rows) for y, n in sizes.items()}

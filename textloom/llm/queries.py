@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, line_dedup, ngram_join, packing, quality_rules, url_filters
+from textloom.llm import decontamination, line_dedup, ngram_join, packing, quality_model, quality_rules, toxicity, url_filters
 from textloom.runtime import ship
 
 
@@ -54,6 +54,16 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -111,6 +121,8 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
     "op10_url_filters": op10_url_filters,
+    "op3_toxicity": op3_toxicity,
+    "op9_quality_classifier": op9_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_rules": op8_quality_rules,
