@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._shared import cut
+from textloom.llm.hashing import text_steps
 
 CAPACITY = 2048
 SLACK = 8
@@ -32,35 +33,56 @@ SLACK = 8
 MERGE_ROWS = 1_000_000
 #: Partitions (then groups) whose underfull bins meet in one group of the next level.
 FAN_IN = 8
-_CACHE_ENTRIES = 300_000
+#: Of about 200 bytes each, per Python worker; up to twice as many while older ones are dropped.
+_CACHE_ENTRIES = 700_000
+_TRAILING = b".,;:!?|#*$%&"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill int"
 
 
+class _Chunks(dict):
+    """Ids by chunk. When it is full, the chunks since then replace the older ones; those in use move over."""
+
+    def __init__(self, tokenizer, entries: int):
+        super().__init__({b"": b""})
+        self.tokenizer, self.entries, self.older = tokenizer, entries, {}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= self.entries:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(chunk)
+        if ids is None:
+            word = chunk.rstrip(_TRAILING)
+            # after a letter or digit, a run of punctuation is a token sequence of its own
+            if word and len(word) < len(chunk) and word.decode()[-1].isalnum():
+                ids = self[word] + self[chunk[len(word) :]]
+            else:
+                ids = np.asarray(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = ids
+        return ids
+
+
 class ChunkEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes."""
+    """Ids of a text as little-endian unsigned 32-bit bytes.
+
+    A-Z is lower-cased first, as the tokenizer does itself after it has looked for special tokens; texts that may hold
+    one go to the tokenizer whole.
+    """
 
     def __init__(self, path: str, entries: int = _CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.entries, self.cache = Tokenizer.from_file(path), entries, {"": b""}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks = _Chunks(self.tokenizer, entries)
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        cache = self.cache
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            try:
-                ids = b"".join(map(cache.__getitem__, chunks))
-            except KeyError:
-                if len(cache) > self.entries:
-                    cache.clear()
-                    cache[""] = b""
-                missing = [c for c in dict.fromkeys(chunks) if c not in cache]
-                for c, e in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False), strict=True):
-                    cache[c] = np.asarray(e.ids, "<u4").tobytes()
-                ids = b"".join(map(cache.__getitem__, chunks))
-            yield ids
+            if b"<|" in text:
+                yield np.asarray(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield b"".join(map(self.chunks.__getitem__, text.lower().replace(b"\n", b" ").split(b" ")))
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -121,17 +143,14 @@ def _local(path: str, capacity: int, end_id: int, rows: int):
             held.clear()
             return out
 
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = ["" if t is None else t for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                    ids = memoryview(ids + end)
-                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[start : start + 4 * capacity]
-                        held.append((doc, piece, start // 4, len(own) // 4, zlib.crc32(own)))
-                if len(held) >= rows:
-                    yield flush()
+        for docs, texts in text_steps(batches):
+            for doc, ids in zip(docs, encoder.encode(texts), strict=True):
+                ids = memoryview(ids + end)
+                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[start : start + 4 * capacity]
+                    held.append((doc, piece, start // 4, len(own) // 4, zlib.crc32(own)))
+            if len(held) >= rows:
+                yield flush()
         if held:
             yield flush()
 
