@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, line_dedup, ngram_join, packing, quality_model, quality_rules, toxicity, url_filters
+from textloom.llm import decontamination, licenses, line_dedup, ngram_join, packing, quality_model, quality_rules, toxicity, url_filters, warc
+from textloom.llm._shared import fresh_path
 from textloom.runtime import ship
 
 
@@ -64,6 +65,26 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write(warc.plan(_table(spark, sf_dir, "pages")), path)
+    return warc.resolve(warc.read(spark, path))
+
+
+_OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+o AS (SELECT payload_digest, min(page_id) AS original FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN original <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN original <> page_id THEN original END AS refers_to
+FROM d LEFT JOIN o USING (payload_digest)
+"""
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -123,8 +144,10 @@ QUERIES = {
     "op10_url_filters": op10_url_filters,
     "op3_toxicity": op3_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
+    "op4_warc": op4_warc,
+    "op5_license_scans": op5_license_scans,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_rules": op8_quality_rules,
 }
-ORACLE_SQL = {"op2_line_dedup": _OP2_SQL, "op8_quality_rules": _OP8_SQL, "op10_url_filters": _OP10_SQL}
+ORACLE_SQL = {"op4_warc": _OP4_SQL, "op2_line_dedup": _OP2_SQL, "op8_quality_rules": _OP8_SQL, "op10_url_filters": _OP10_SQL}
