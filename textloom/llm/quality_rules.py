@@ -104,3 +104,15 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     s = statistics(docs, text, keep)
     base = tuple(r for r in rules if r.name in BASE)
     return s.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~verdict(base)).alias("base_failed"), verdict(rules).alias("kept"), "n_lines", "n_stop_words", "n_exclamations")
+
+
+def clean(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs that are kept, in the given columns.
+
+    The verdict passes through a one-row generator: a filter right on it would be pushed down through the projections,
+    and their expressions copied into each other until planning takes minutes.
+    """
+    own = [F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)]
+    judged = statistics(docs.select(*own, F.col(text).alias("_text")), "_text", tuple(f"_{i}" for i in range(len(own))))
+    kept = judged.select(*[f"_{i}" for i in range(len(own))], F.explode(F.array(verdict(rules))).alias("_kept")).filter("_kept")
+    return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
