@@ -1,0 +1,195 @@
+"""Parsing, links, lint, graph and search on a small wiki of our own."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from textloom.functions import text as X
+from textloom.operators import graph as G
+from textloom.operators import links as L
+from textloom.operators import lint
+from textloom.operators import search as S
+from textloom.sources import corpus, parse
+
+PAGES = {
+    "entities/falcon.md": "---\ntype: entity\ntitle: Falcon\ntags: [bird, fast]\ncreated: 2024-01-01\nupdated: 2024-01-02\nsources: [field-notes]\n---\nA falcon hunts. See [[heron|the heron]] and [[concepts/flight.md#speed]].\n\n## Speed\nVery fast falcon.\n\n```\n# not a heading\n```\n### Records\nFalcon Falcon.\n",
+    "entities/heron.md": "---\ntype: entity\ntitle: Heron\ntags:\n  - bird\n  - water\nupdated: 2023-05-01\n---\nHerons wade. [[falcon]] [[missing]] [[sources/flight]] [[heron]]\n",
+    "concepts/flight.md": "---\ntype: concept\ntitle: Flight\ntags: []\n---\n[[falcon]]\n# Lift\n### Drag\n## Thrust\ntext\n",
+    "sources/field-notes.md": "---\ntype: source\ntitle: Notes\nraw: raw/notes.txt\n---\nNo links.\n",
+    "concepts/broken.md": "---\ntype: concept\nno end",
+    "index.md": "# Index\n",
+}
+
+
+@pytest.fixture(scope="module")
+def root(tmp_path_factory):
+    base = tmp_path_factory.mktemp("wiki")
+    for name, text in PAGES.items():
+        (base / name).parent.mkdir(exist_ok=True)
+        (base / name).write_text(text)
+    (base / "bad.md").write_bytes(b"\xff\xfe\xff")
+    return str(base)
+
+
+@pytest.fixture(scope="module")
+def pages(spark, root):
+    return parse.parse_pages(corpus.pages(spark, root)).persist()
+
+
+def test_scan_leaves_out_index_and_unreadable(pages):
+    assert {r.rel_path for r in pages.collect()} == {k for k in PAGES if k != "index.md"}
+
+
+def test_lint_scan_keeps_unreadable(spark, root):
+    got = {r.rel_path: r.read_error for r in corpus.lint_pages(spark, root).collect()}
+    assert got["bad.md"] and not got["entities/heron.md"]
+
+
+def test_frontmatter(pages):
+    r = {x.slug: x for x in pages.collect()}
+    assert r["falcon"].tags == ["bird", "fast"] and r["heron"].tags == ["bird", "water"]
+    assert r["broken"].malformed and not r["heron"].malformed
+    assert r["heron"].links == ["falcon", "missing", "sources/flight", "heron"]
+
+
+def test_open_list_stays_open_after_a_scalar():
+    m = parse.frontmatter("---\ntags:\n  - a\ntitle: T\n  - b\n---\nx")["meta"]
+    assert m["tags"]["items"] == ["a", "b"] and m["title"] == {"is_list": False, "items": ["T"]}
+
+
+def test_sections_nest_and_skip_fences():
+    s = parse.sections(parse.frontmatter(PAGES["entities/falcon.md"])["body"])
+    assert [x["heading_path"] for x in s] == [[], ["Speed"], ["Speed", "Records"]]
+    s = parse.sections("# Lift\n### Drag\n## Thrust\ntext")
+    assert [x["heading_path"] for x in s] == [[], ["Lift"], ["Lift", "Drag"], ["Lift", "Thrust"]]
+    assert s[0]["text"] == "" and parse.sections(None)[0]["section_index"] == 0
+
+
+def test_page_body_round_trip(pages):
+    r = pages.filter("slug = 'flight'").select(parse.page_body("sections").alias("b"), "body").first()
+    assert [x for x in r.b.split("\n") if x] == [x for x in r.body.split("\n") if x]
+
+
+def test_sentences():
+    got = parse.sentences("# H\nOne is. Two is!\ncontinued?\n\n- item a\n- item b\n```\ncode.\n```\n")
+    assert got == ["One is.", "Two is!", "continued?", "item a", "item b"]
+
+
+def test_yaml(spark):
+    df = spark.createDataFrame([("---\na: [1, {b: 2}]\n---\n",), ("---\n: : [\n---\n",), ("none",)], "t string").coalesce(1)
+    assert [r.j for r in df.select(parse.yaml_frontmatter("t").alias("j")).collect()] == ['{"a": [1, {"b": 2}]}', "{}", "{}"]
+
+
+def test_parse_cache_changes_nothing(spark, root, pages):
+    files = corpus.pages(spark, root)
+    cold = corpus.parse_incremental(files, None)
+    stale = pages.withColumn("sha256", F.when(F.col("slug") == "heron", "old").otherwise(F.col("sha256")))
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(corpus.parse_incremental(files, stale)) == key(cold)
+
+
+def test_links_resolve(pages):
+    r = L.resolve(L.link_rows(pages), pages)
+    got = {(x.src_slug, x.raw): x.target for x in r.collect()}
+    assert got["falcon", "heron"] == "heron" and got["falcon", "concepts/flight.md#speed"] == "flight"
+    assert got["heron", "sources/flight"] is None and got["heron", "missing"] is None
+    assert {x.slug for x in L.backlinks(r, "falcon").collect()} == {"heron", "flight"}
+    assert L.top_linked(r, 1).first().key == "falcon"
+    assert {x.slug for x in L.orphans(pages, r).collect()} == {"field-notes", "broken"}
+
+
+def test_find_page(spark, pages):
+    w = spark.createDataFrame([("FALCON",), ("Concepts/Flight",), ("nope",)], "name string")
+    assert {r.name: r.rel_path for r in L.find_page(pages, w).collect()} == {"FALCON": "entities/falcon.md", "Concepts/Flight": "concepts/flight.md", "nope": None}
+
+
+def test_lint_report(pages):
+    rows = {(r.category, r.path) for r in lint.report(pages, "2024-06-01", 1).collect()}
+    assert ("broken_links", "entities/heron.md") in rows and ("malformed_frontmatter", "concepts/broken.md") in rows
+    assert ("missing_frontmatter", "concepts/flight.md") in rows and ("missing_frontmatter", "entities/falcon.md") not in rows
+    n = {r.category: r.n for r in lint.summary(lint.report(pages, "2024-06-01")).collect()}
+    assert n["oversized_hard"] == 0 and n["orphans"] == 2
+
+
+def test_search_sections(pages):
+    s = parse.section_rows(pages)
+    got = S.search(s, "falcon", n=10, per_page=2).collect()
+    assert got[0].slug == "falcon" and got[0].heading_path == ["Speed", "Records"] and sum(r.slug == "falcon" for r in got) == 2
+    assert got[0].neighbors.prev == "Speed" and got[0].neighbors.next is None
+    only = S.search(s, "falcon", S.Filters(tags=("water",)))
+    assert {r.slug for r in only.collect()} == {"heron"}
+    assert {r.slug for r in S.search(s, "falcon", S.Filters(since="2024-01-01")).collect()} == {"falcon"}
+    assert S.search(s, "?!").count() == 0
+
+
+def test_hybrid_falls_back_and_fuses(spark, pages):
+    s = parse.section_rows(pages)
+    v = s.select("rel_path", "section_index", F.when(F.col("slug") == "flight", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>").alias("embedding"))
+    q = spark.createDataFrame([([1.0, 0.0],)], "q array<float>")
+    got = {r.slug: r.retrievers for r in S.search(s, "falcon", vectors=v, query_vector=q, per_page=1).collect()}
+    assert got["falcon"] == ["lexical"] and "vector" in got["flight"]
+
+
+def test_bm25_by_hand(spark):
+    import math
+
+    rows = [(1, "a b a"), (2, "b c"), (3, "c c c c"), (4, "")]
+    got = {r.id: r.score for r in S.bm25(spark.createDataFrame(rows, "id int, t string"), "t", "a c a").collect()}
+    n, avg = 4, (3 + 2 + 4 + 0) / 4
+    idf = lambda d: math.log(1 + (n - d + 0.5) / (d + 0.5))
+    part = lambda tf, dl, d: idf(d) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg))
+    assert got == pytest.approx({1: 2 * part(2, 3, 1), 2: part(1, 2, 2), 3: part(4, 4, 2)})
+
+
+def test_graph(spark, pages):
+    onto, preds = corpus.ontology(spark, "node_types:\n  bird: {maps_from: {type: entity}}\npredicates:\n  eats: {subject_types: [bird], object_types: [bird], requires_evidence: true}\n")
+    rel = "array<struct<predicate:string,object:string,source:string,evidence:string,confidence:string,status:string>>"
+    t = pages.select("rel_path", "slug", "title", "type", "sources", F.coalesce(parse.meta_text("raw"), F.lit("")).alias("raw"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("explicit_type"), F.lit(None).cast("string").alias("node_id"), F.array().cast("array<string>").alias("aliases"))
+    eats = F.array(F.struct(F.lit("eats").alias("predicate"), F.lit("bird:heron").alias("object"), F.lit("").alias("source"), F.lit(None).cast("string").alias("evidence"), F.lit("sure").alias("confidence"), F.lit("current").alias("status")))
+    t = G.node_types(t.withColumn("relationships", F.when(F.col("slug") == "falcon", eats).otherwise(F.array()).cast(rel)), onto)
+    nodes, slugs, _ = G.build_nodes(t)
+    assert {r.id for r in nodes.collect()} == {"bird:falcon", "bird:heron", "concept:flight", "concept:field-notes", "concept:broken"}
+    e = G.build_edges(nodes, slugs, L.resolve(L.link_rows(pages), pages)).persist()
+    got = {(r.subject, r.predicate, r.object) for r in e.collect()}
+    assert got == {
+        ("bird:falcon", "eats", "bird:heron"), ("bird:falcon", "mentions", "bird:heron"), ("bird:falcon", "mentions", "concept:flight"), ("bird:heron", "mentions", "bird:falcon"),
+        ("concept:flight", "mentions", "bird:falcon"), ("bird:falcon", "sourced_from", "concept:field-notes"), ("concept:field-notes", "summarizes_raw", "raw:raw/notes.txt"),
+    }
+    path = G.shortest_path(e, nodes, "bird:heron", "concept:flight").orderBy("hop").collect()
+    assert [r.node for r in path] == ["bird:heron", "bird:falcon", "concept:flight"]
+    assert [r.node for r in G.shortest_path(e, nodes, "bird:heron", "bird:heron").collect()] == ["bird:heron"]
+    assert G.shortest_path(e, nodes, "concept:broken", "bird:heron").count() == 0 and G.shortest_path(e, nodes, "x", "bird:heron").count() == 0
+    assert {(r.node, r.distance) for r in G.neighbors(e, "concept:flight", 2).collect()} == {("bird:falcon", 1), ("bird:heron", 2), ("concept:field-notes", 2)}
+    found = {r.category for r in G.lint_edges(e, nodes, preds).collect()}
+    assert found == {"missing_evidence", "missing_source_field", "invalid_confidence"}
+    assert {r.id for r in G.orphan_nodes(nodes, e).collect()} == {"concept:flight", "concept:field-notes", "concept:broken"}
+    assert G.neighbor_rows(e, nodes, "bird:heron").first().title == "Falcon"
+    xml = "".join(r.value for r in G.graphml(nodes, e).orderBy("ord").collect())
+    import xml.etree.ElementTree as ET
+
+    assert len(ET.fromstring(xml).findall(".//{*}edge")) == 7
+
+
+def test_text_functions(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(X.split_lines(F.lit("a\r\nb\u2028c\n"))) == ["a", "b", "c"]
+    assert one(X.snippet(F.lit("  a\n b  "))) == "a b"
+    assert one(X.line_slice(F.lit("1\n2\n3\n4"), 2, 3)) == "2\n3"
+    assert one(X.replace_unique(F.lit("aba"), "b", "c")) == "aca" and one(X.replace_unique(F.lit("aba"), "a", "c")) is None
+    assert one(X.truncate_evidence(F.lit("x" * 150))).endswith("…") and len(one(X.truncate_evidence(F.lit("x" * 150)))) == 140
+    assert one(X.clean_target(F.lit("/a\\b.MD#c|d"))) == "a/b" and one(X.slug_of(F.lit("a/.hidden"))) == ".hidden"
+    assert one(X.path_error(F.lit("a/../b.md"))) == "bad_component" and one(X.path_error(F.lit("a/b.md"))) is None
+    assert one(X.iso_date(F.lit("2026-2-3"))) is None and str(one(X.iso_date(F.lit("2026-02-03T10")))) == "2026-02-03"
+    assert one(X.since(F.lit("x"), "2024-01-01")) is False and one(X.since(F.lit(None).cast("string"), "junk")) is True
+    assert one(X.renormalize(F.create_map(F.lit("a"), F.lit(1.0), F.lit("b"), F.lit(3.0), F.lit("z"), F.lit(9.0)), ["a", "b"])) == {"a": 0.25, "b": 0.75}
+    assert one(X.types_match(F.array(F.lit("*")), F.lit("q"))) and not one(X.types_match(F.array(F.lit("p")), F.lit("q")))
+    assert one(X.heading_slug(F.lit(" A b! C "))) == "a-b-c" and one(X.escape_xml(F.lit('<a&">'))) == "&lt;a&amp;&quot;&gt;"
+
+
+def test_import_scan(spark, root):
+    got = {r.rel_path: r.reason for r in corpus.import_scan(corpus.files(spark, root)).collect()}
+    assert got["bad.md"] == "not_utf8" and got["index.md"] == "generated" and got["entities/heron.md"] is None
+
+
+def test_order_and_partitions_do_not_matter(pages):
+    a = S.search_pages(pages.repartition(8), "falcon heron").collect()
+    assert a == S.search_pages(pages.coalesce(1).orderBy(F.desc("slug")), "falcon heron").collect()
