@@ -82,7 +82,7 @@ def alternate_split(rows: DataFrame, key: str) -> DataFrame:
 
 def pass_totals(runs: DataFrame) -> DataFrame:
     """passed and runs by split and variant, variants side by side."""
-    return runs.groupBy("split").pivot("variant", ["baseline", "candidate"]).agg(F.count_if("passed").alias("passed"), F.count("*").alias("runs"))
+    return runs.groupBy("split").pivot("variant", ["baseline", "candidate"]).agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("runs"))
 
 
 def accepted(totals: DataFrame, cost_ratio: Column, max_ratio: float) -> DataFrame:

@@ -580,3 +580,144 @@ def stream_changes(spark, sf_dir):
     rows = spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     feed.drain(rows, lambda df, i: df.select("event_type", (F.col("user_id") % 2).alias("half")).write.mode("overwrite").parquet(f"{out}/data/batch={i}"), f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data").groupBy("event_type", "half").agg(F.count("*").alias("n"))
+
+
+# --- more of parsing, lint, graph building, sinks and merges
+
+
+def _wiki_files(spark, sf_dir) -> DataFrame:
+    """Documents as Markdown pages with frontmatter."""
+    d = table(spark, sf_dir, "documents")
+    body = F.concat(F.lit("---\ntitle: \"Doc "), F.col("doc_id").cast("string"), F.lit("\"\ntype: "), F.col("lang"), F.lit("\ntags: ["), F.col("source"), F.lit(", all]\nsources:\n  - s"), (F.col("doc_id") % 5).cast("string"), F.lit("\n  - s9\nupdated: 2024-01-"), F.format_string("%02d", F.col("doc_id") % 28 + 1), F.lit("\n---\nHead line of "), F.col("source"), F.lit("\n"))
+    return d.select(F.concat(F.col("lang"), F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel_path"), body.alias("content"))
+
+
+@query("SELECT 'doc-' || doc_id AS slug, 'Doc ' || doc_id AS title, lang AS type, source || ',all' AS tags, 's' || (doc_id % 5) || ',s9' AS sources, '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS updated, CAST(11 AS BIGINT) AS line_count FROM documents")
+def frontmatter_fields(spark, sf_dir):
+    p = parse.parse_pages(_wiki_files(spark, sf_dir))
+    return p.select("slug", "title", "type", F.array_join("tags", ",").alias("tags"), F.array_join("sources", ",").alias("sources"), "updated", "line_count")
+
+
+@query("SELECT 'doc-' || doc_id AS slug FROM documents WHERE source = 'src1' AND doc_id % 28 >= 14 AND lang = 'en'")
+def page_filters(spark, sf_dir):
+    p = parse.parse_pages(_wiki_files(spark, sf_dir))
+    return p.filter(S.Filters(type="en", tags=("src1", "all"), since="2024-01-15").column()).select("slug")
+
+
+@query("SELECT 'missing_frontmatter' AS category, count(*) AS n FROM documents UNION ALL SELECT 'orphans', count(*) FROM documents UNION ALL SELECT c, 0 FROM (VALUES ('broken_links'), ('oversized_hard'), ('oversized_soft'), ('malformed_frontmatter'), ('duplicate_slugs'), ('stale_pages'), ('suggested_pages'), ('read_errors')) AS v(c)")
+def lint_summary(spark, sf_dir):
+    return Lint.summary(Lint.report(parse.parse_pages(_wiki_files(spark, sf_dir)), "2024-06-01"))
+
+
+def _wiki_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    p = wiki(spark, sf_dir)
+    rel = "array<struct<predicate:string,object:string,source:string,evidence:string,confidence:string,status:string>>"
+    top = F.substring_index("rel_path", "/", 1)
+    t = p.select(
+        "page_id", "rel_path", "slug", F.col("slug").alias("title"), F.when(top == "sources", "source").otherwise("page").alias("type"), F.when(top == "entities", "thing").alias("kind"),
+        F.lit(None).cast("string").alias("explicit_type"), F.lit(None).cast("string").alias("node_id"), F.array().cast("array<string>").alias("aliases"),
+        F.when(top == "sources", F.array()).otherwise(F.array(F.concat(F.lit("page-"), (F.col("page_id") + 1).cast("string")))).cast("array<string>").alias("sources"),
+        F.when(top == "sources", F.concat(F.lit("raw/"), F.col("page_id").cast("string"))).otherwise("").alias("raw"), F.array().cast(rel).alias("relationships"),
+    )
+    rules = spark.createDataFrame([("entity", "page", "thing", False, 0), ("concept", "page", None, False, 1), ("source", "source", None, False, 2)], "node_type string, type string, kind string, explicit_only boolean, ord int")
+    nodes, slugs, _ = G.build_nodes(G.node_types(t, rules))
+    return nodes, G.build_edges(nodes, slugs, L.resolve(L.link_rows(p), p))
+
+
+_KIND = "CASE WHEN {0} % 3 = 0 THEN 'entity:page-' WHEN {0} % 3 = 1 THEN 'concept:page-' ELSE 'source:page-' END || {0}"
+
+
+@query(f"SELECT {_KIND.format('page_id')} AS id, 'page-' || page_id AS slug FROM pages")
+def graph_build_nodes(spark, sf_dir):
+    return _wiki_graph(spark, sf_dir)[0].select("id", "slug")
+
+
+@query(f"""WITH {_LINKS},
+m AS (SELECT DISTINCT src, CAST(substr(target, 6) AS BIGINT) AS t FROM rs WHERE target IS NOT NULL AND target <> 'page-' || src),
+e AS (SELECT {_KIND.format('src')} AS subject, 'mentions' AS predicate, {_KIND.format('t')} AS object, '' AS source, 'low' AS confidence FROM m
+  UNION ALL SELECT {_KIND.format('a.page_id')}, 'sourced_from', {_KIND.format('b.page_id')}, 'page-' || b.page_id, 'high' FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 WHERE a.page_id % 3 <> 2
+  UNION ALL SELECT {_KIND.format('page_id')}, 'summarizes_raw', 'raw:raw/' || page_id, '', 'high' FROM pages WHERE page_id % 3 = 2)
+SELECT substr(sha256(subject || chr(31) || predicate || chr(31) || object || chr(31) || source || chr(31)), 1, 24) AS id, subject, predicate, object, source, confidence FROM e""")
+def graph_build_edges(spark, sf_dir):
+    return _wiki_graph(spark, sf_dir)[1].select("id", "subject", "predicate", "object", "source", "confidence")
+
+
+@query(f"WITH {_GRAPH} SELECT n.n_name AS title, e.n FROM (SELECT object, count(*) AS n FROM eg WHERE predicate = 'lives_in' GROUP BY object) e JOIN nation n ON e.object = 'nation:' || n.n_nationkey")
+def graph_neighbor_titles(spark, sf_dir):
+    v, e = graph(spark, sf_dir)
+    n = e.filter("predicate = 'lives_in'").groupBy("object").agg(F.count("*").alias("n"))
+    return n.join(v.select(F.col("id").alias("object"), "title"), "object").select("title", "n")
+
+
+@query(f"WITH {_GRAPH} SELECT 1 + (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM eg) + 1 AS n_lines")
+def graph_export(spark, sf_dir):
+    v, e = graph(spark, sf_dir)
+    return G.graphml(v, e.withColumn("status", F.lit("current"))).agg(F.count("*").alias("n_lines"))
+
+
+@query("SELECT 'page-' || page_id AS name, CASE WHEN page_id % 3 = 0 THEN 'entities' WHEN page_id % 3 = 1 THEN 'concepts' ELSE 'sources' END || '/page-' || page_id || '.md' AS rel_path FROM pages WHERE page_id < 20 UNION ALL SELECT 'nowhere', NULL")
+def find_pages(spark, sf_dir):
+    p = wiki(spark, sf_dir)
+    names = p.filter("page_id < 20").select(F.col("slug").alias("name")).unionByName(spark.createDataFrame([("nowhere",)], "name string"))
+    return L.find_page(p, names)
+
+
+@query(f"""WITH {_LOG}, m AS (SELECT max(seq) // 2 AS h FROM vs),
+b AS (SELECT path, sha256 FROM (SELECT vs.* FROM vs, m WHERE seq <= h QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1) WHERE NOT deleted),
+f AS (SELECT la.* FROM la, m WHERE seq > h)
+SELECT coalesce(b.path, f.path) AS path, CASE WHEN f.path IS NULL THEN b.sha256 ELSE f.sha256 END AS sha256 FROM b FULL JOIN f ON b.path = f.path WHERE f.path IS NULL OR NOT f.deleted""")
+def mirror_merge(spark, sf_dir):
+    v = versions(spark, sf_dir)
+    half = table(spark, sf_dir, "events").agg(F.call_function("div", F.max("event_id"), F.lit(2))).first()[0]
+    old = St.as_of(v, half).select("path", "content", "sha256")
+    return St.mirror(old, old.select("path", "sha256"), St.changes(v, half).select("path", "content", "sha256", "deleted"))[0].select("path", "sha256")
+
+
+@query("WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 10 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 1) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'new' WHEN a.doc_id IS NULL THEN 'stale' WHEN a.h = b.h THEN 'kept' ELSE 'changed' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id")
+def index_sync_states(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    old = d.filter("doc_id % 10 <> 1").withColumn("h", F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("h")))
+    return St.stale_rows(d.filter("doc_id % 10 <> 0"), old, ["doc_id"], "h")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unchanged' WHEN doc_id % 3 = 1 THEN 'conflict' ELSE 'stored' END AS outcome FROM documents")
+def raw_put_outcomes(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))
+    old = d.filter("doc_id % 3 < 2").select("path", F.when(F.col("doc_id") % 3 == 0, F.col("sha256")).otherwise(F.lit("other")).alias("sha256"))
+    return St.put_raw(old, d.select("path", "sha256")).select(F.col("path").cast("long").alias("doc_id"), "outcome")
+
+
+@query("SELECT event_type AS split, count(*) FILTER (WHERE user_id % 2 = 0 AND value > 50) AS baseline_passed, count(*) FILTER (WHERE user_id % 2 = 0) AS baseline_runs, count(*) FILTER (WHERE user_id % 2 = 1 AND value > 50) AS candidate_passed, count(*) FILTER (WHERE user_id % 2 = 1) AS candidate_runs FROM events GROUP BY event_type")
+def pass_totals(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("split"), F.when(F.col("user_id") % 2 == 0, "baseline").otherwise("candidate").alias("variant"), F.coalesce(F.col("value") > 50, F.lit(False)).alias("passed"))
+    return E.pass_totals(e)
+
+
+@query("SELECT item_id, CASE WHEN row_number() OVER (ORDER BY item_id) % 2 = 1 THEN 'tune' ELSE 'test' END AS fold FROM benchmark")
+def tune_test_split(spark, sf_dir):
+    return E.alternate_split(table(spark, sf_dir, "benchmark").select("item_id"), "item_id")
+
+
+@query("SELECT doc_id, text[2:3] AS rest, length(text) > 140 AS long_text, length(CASE WHEN length(text) > 140 THEN rtrim(substr(text, 1, 139)) || '…' ELSE text END) AS cut FROM documents".replace("text[2:3]", "array_to_string(string_split(text, chr(10))[2:3], chr(10))"))
+def text_slices(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.line_slice("text", 2, 3).alias("rest"), (F.length("text") > 140).alias("long_text"), F.length(X.truncate_evidence("text")).cast("long").alias("cut"))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def daily_counts(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@query()
+def sentence_rows(spark, sf_dir):
+    """Sentences of every document, at most 60 each as the evidence check takes them; tested against the parser itself."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parse.split_sentences("text")).alias("pos", "sentence"))
+
+
+@query()
+def snapshot_diffs(spark, sf_dir):
+    """Unified diffs between two states of the log."""
+    v = versions(spark, sf_dir)
+    half = table(spark, sf_dir, "events").agg(F.call_function("div", F.max("event_id"), F.lit(2))).first()[0]
+    return St.diff_snapshots(St.as_of(v, half).select("path", "content"), St.live(v).select("path", "content"))
