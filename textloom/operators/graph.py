@@ -103,26 +103,26 @@ def select_edges(edges: DataFrame, subject: str | None = None, predicate: str |
 def shortest_path(edges: DataFrame, nodes: DataFrame, start: str, goal: str, depth: int = 6) -> DataFrame:
     """hop, node, predicate, edge_id of the first shortest directed path, or no row.
 
-    Among equally short ones that which expands nodes in visiting order and edges in order of (predicate, object, id).
-    The frontier keeps one parent per node; every hop is one join, and the path is read back over the same tables.
+    Among equally short ones that which expands nodes in visiting order and edges in order of (predicate, object, id): a
+    node's place in that order is the list of these parts along its path, so a level needs no global numbering. Every hop
+    is one join and one grouped minimum, combined map-side; the path is read back over the same tables.
     """
     spark = edges.sparkSession
     schema = "hop int, node string, predicate string, edge_id string"
     ends = {r.id for r in nodes.filter(F.col("id").isin(start, goal)).select("id").distinct().collect()}
     if not {start, goal} <= ends:
         return spark.createDataFrame([], schema)
-    level = spark.createDataFrame([(start, None, None, None, 0)], "node string, parent string, predicate string, edge_id string, ord long")
+    level = spark.createDataFrame([(start, None, None, None, [])], "node string, parent string, predicate string, edge_id string, place array<string>")
     seen, levels = level.select("node"), [level]
     e = edges.select("subject", "predicate", "object", F.col("id").alias("edge_id"))
     found = start == goal
     for _ in range(max(0, min(12, depth))):
         if found:
             break
-        step = e.join(level.select(F.col("node").alias("subject"), F.col("ord").alias("_p")), "subject")
-        first = step.withColumn("_k", F.row_number().over(W.partitionBy("object").orderBy("_p", "predicate", "object", "edge_id"))).filter("_k = 1")
-        first = first.join(seen, first["object"] == seen["node"], "left_anti")
-        level = first.select(F.col("object").alias("node"), F.col("subject").alias("parent"), "predicate", "edge_id", F.struct("_p", "predicate", "object", "edge_id").alias("_o"))
-        level = level.withColumn("ord", F.row_number().over(W.orderBy("_o")).cast("long")).drop("_o").persist()
+        step = e.join(level.select(F.col("node").alias("subject"), F.col("place").alias("_p")), "subject")
+        step = step.select(F.col("object").alias("node"), F.concat("_p", F.array("predicate", "object", "edge_id")).alias("place"), F.struct(F.col("subject").alias("parent"), "predicate", "edge_id").alias("v"))
+        first = step.groupBy("node").agg(F.min_by("v", "place").alias("v"), F.min("place").alias("place")).join(seen, "node", "left_anti")
+        level = first.select("node", "v.parent", "v.predicate", "v.edge_id", "place").persist()
         levels.append(level)
         seen = seen.unionByName(level.select("node"))
         found = bool(level.filter(F.col("node") == goal).limit(1).count())
