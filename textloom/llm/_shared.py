@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +38,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def one_batch(batches: Iterator, rows: int) -> Iterator:
-    """Arrow record batches cut to at most `rows` rows."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, uid: Column) -> DataFrame:
     """left LEFT JOIN right USING (key), where right has unique keys and `weight` says how many left rows hold each.
 
@@ -69,47 +60,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: rows (node, component), component the smallest node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): every step is a grouped minimum with map-side
-    combining, and the number of edges never grows beyond nodes + edges. Nodes without edges don't appear.
+    combining, and joins with it salt nodes with many neighbours; the number of edges never grows beyond nodes + edges. Nodes without edges don't appear.
     """
-    spark = edges.sparkSession
     cur = cut(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).filter("lo <> hi").distinct())
+    size = cur.count()
     before = None
     while True:
-        both = cur.unionByName(cur.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
+        both = cur.select(F.col("lo").alias("n"), "hi").unionByName(cur.select(F.col("hi").alias("n"), F.col("lo").alias("hi")))
         # large star: every larger neighbour is tied to the smallest of the neighbourhood (the node itself included)
-        least = both.groupBy(F.col("lo").alias("n")).agg(F.min("hi").alias("m0")).select("n", F.least("n", "m0").alias("m"))
-        large = both.join(least, both.lo == least.n).filter("hi > lo").select(F.col("m").alias("lo"), "hi").filter("lo <> hi").distinct()
+        least = both.groupBy("n").agg(F.least("n", F.min("hi")).alias("m"), F.count("*").alias("c"))
+        large = skew_join(both, least, "n", "c", 2 * size, F.col("hi")).filter("hi > n and m <> hi").select(F.col("m").alias("lo"), F.col("hi").alias("n")).distinct()
         # small star: smaller neighbours and the node itself are tied to the smallest
-        low = large.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("m"))
-        small = large.join(low, large.hi == low.n).select(F.col("m").alias("x"), F.col("lo").alias("y")).unionByName(low.select(F.col("m").alias("x"), F.col("n").alias("y")))
-        cur = cut(small.select(F.col("x").alias("lo"), F.col("y").alias("hi")).filter("lo <> hi").distinct())
-        state = cur.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
-        if tuple(state) == before:
+        low = large.groupBy("n").agg(F.min("lo").alias("m"), F.count("*").alias("c"))
+        small = skew_join(large, low, "n", "c", 2 * size, F.col("lo")).select(F.col("m").alias("lo"), F.explode(F.array("lo", "n")).alias("hi"))
+        cur = cut(small.filter("lo <> hi").distinct())
+        size, digest = cur.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()
+        if (size, digest) == before:
             break
-        before = tuple(state)
-    del spark
+        before = size, digest
     return cur.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component")).unionByName(
         cur.select(F.col("lo").alias("node")).distinct().withColumn("component", F.col("node"))
     )
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-def text_bytes(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of an Arrow string column: the UTF-8 bytes of all rows in a row, and each row's start and end. Nulls are empty."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    column = pc.fill_null(column, "").cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None and len(column) else np.zeros(0, np.uint8)
-    base = offsets[0] if len(offsets) else 0
-    data = data[base : offsets[-1]] if len(offsets) else data
-    return data, (offsets[:-1] - base), (offsets[1:] - base)
-
-
 #: Labelled rows of each class that a classifier is fitted on, at most.
 FIT_ROWS = 10_000
 
