@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without recurring lines; those with no word left go."""
     ship(spark)
-    kept = line_dedup.clean(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    kept = line_dedup.shorten(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(*[F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
