@@ -185,6 +185,34 @@ def test_long_lines_need_fewer_contexts(spark):
     assert got == {0: 0, 1: 1, 2: 1}
 
 
+def test_clashing_columns(spark):
+    """Extra columns named like those that operators make."""
+    names = ("n_lines", "n_dropped", "_dropped", "_id", "_gone", "key", "fp", "i", "_salt", "n_words", "kept", "matches", "_0", "_text", "component_id", "lo", "hi", "part", "score")
+    docs = frame(spark, [(i, f"{chr(97 + i)} first line\nthe very same boilerplate line\n{chr(97 + i)} last line " + "the end of it " * 20) for i in range(9)])
+    wide = docs.select("*", *[F.lit("x").alias(n) for n in names])
+    assert line_dedup.shorten(wide).columns == wide.columns and {r.n_dropped for r in line_dedup.clean(wide).collect()} == {0, 1}
+    assert ngram_join.keep_one(wide).columns == wide.columns and ngram_join.keep_one(wide).count() == ngram_join.keep_one(docs).count()
+    assert quality_rules.clean(wide).columns == wide.columns and quality_rules.judge(wide).count() == 9
+    bench = spark.createDataFrame([(1, "a first line the very same", "x")], "item_id long, text string, doc_id string")
+    assert decontamination.clean(wide, bench).columns == wide.columns
+    assert packing.pack(wide, tokenizer_path()).count() == 9 and licenses.scan(wide).count() == 9
+
+
+def test_null_ids(spark):
+    docs = frame(spark, [(None, "a b c d e f g"), (1, "a b c d e f g"), (None, None), (2, None), (None, "a b c d e f g")])
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(docs).collect()]
+    assert sorted(got, key=str) == sorted([(None, 3, None), (1, 3, 1), (None, 0, None), (2, 0, 2), (None, 3, None)], key=str)
+    assert ngram_join.keep_one(docs).count() == 5 and packing.pack(docs, tokenizer_path()).count() == 5 and line_dedup.clean(docs).count() == 5
+    bench = spark.createDataFrame([(None, "a b c d e f g"), (3, None), (4, "a b c d e")], "item_id long, text string")
+    assert sorted(r.item_ids for r in decontamination.matches(docs, bench).collect()) == [[], [], [4], [4], [4]]
+    assert licenses.scan(docs).count() == 5 and quality_rules.judge(docs).count() == 5
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    for m in (toxicity, quality_model):
+        assert {r.held_out for r in m.score(docs, m.fit(docs, labels)).collect()} <= {True, False}
+    p = spark.createDataFrame([(None, None, None), (None, "http://a.com/", "x" * 100), (3, "u", "x" * 100)], "page_id long, url string, html string")
+    assert url_filters.judge(p).count() == 3 and warc.plan(p).filter("refers_to is not null").count() == 0
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.clean(empty(spark)).count() == 0
 

@@ -16,7 +16,8 @@
 No step gathers a class, a posting list or a family in one task without a bound, and no pairs of copies are made.
 
 Defined results: null, empty and white-space texts have the empty set, n_shingles 0, and are linked with nothing.
-Repeated rows have equal sets and one class; a doc_id stands for one text. An empty table gives an empty result.
+Repeated rows have equal sets and one class; a doc_id stands for one text. Rows with a null doc_id are linked with
+nothing, and their component_id is null. An empty table gives an empty result.
 Extra columns are ignored.
 """
 
@@ -77,7 +78,7 @@ def _describe(n: int):
         for ids, texts in text_steps(batches):
             sets = _sets(texts, n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s, d) for s, d in zip(sets, ids, strict=True)], pa.binary())],
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([None if d is None else _print(s, d) for s, d in zip(sets, ids, strict=True)], pa.binary())],
                 ["doc_id", "n_shingles", "fp"],
             )
 
@@ -305,8 +306,8 @@ def links(docs: DataFrame, n: int = N, block_tokens: int = BLOCK_TOKENS) -> tupl
     ranges = max(4, shuffle_partitions(spark))
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     described = cut(source.mapInArrow(_describe(n), "doc_id long, n_shingles long, fp binary"))
-    classes = cut(described.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("size")))
-    packed = source.mapInArrow(_scatter(n, ranges), "part int, docs binary, sizes binary, counts binary, low binary, high binary")
+    classes = cut(described.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("size")))
+    packed = source.filter("doc_id is not null").mapInArrow(_scatter(n, ranges), "part int, docs binary, sizes binary, counts binary, low binary, high binary")
     shared = packed.groupBy("part").applyInArrow(_count(ranges, ranges), "g int, docs binary, sizes binary, counts binary, codes binary, dfs binary")
     reps = classes.filter("size > 0").select("rep", F.pmod(F.xxhash64("rep"), F.lit(ranges)).cast("int").alias("g"))
     found = cut(shared.groupBy("g").cogroup(reps.groupBy("g")).applyInArrow(_candidates, "doc long, size long, codes array<bigint>, prefix int"))

@@ -9,7 +9,7 @@ Tokens are found by white-space separated chunk, with a bounded cache per worker
 never looks across it, so a text's ids are its chunks' ids in order (tests compare whole texts).
 
 Defined results: a null text counts as empty, and an empty text is one piece holding the end id only. Repeated rows are
-separate documents. An empty table gives an empty result. Extra columns are ignored.
+separate documents; a null doc_id stays null. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,10 +133,11 @@ def _local(path: str, capacity: int, end_id: int, rows: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal first
-            cols = [np.asarray(c, np.int64) for c in zip(*held, strict=True)]
+            docs, *rest = zip(*held, strict=True)
+            cols = [None, *(np.asarray(c, np.int64) for c in rest)]
             into, at, fills = best_fit(cols[3], capacity)
             out = pa.RecordBatch.from_arrays(
-                [pa.array(cols[0]), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:]), pa.array(into + first), pa.array(at), pa.array(np.asarray(fills, np.int32)[into])],
+                [pa.array(docs, pa.int64()), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:]), pa.array(into + first), pa.array(at), pa.array(np.asarray(fills, np.int32)[into])],
                 ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "fill"],
             )
             first += len(fills)
