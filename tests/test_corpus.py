@@ -105,7 +105,7 @@ def test_find_page(spark, pages):
 def test_lint_report(pages):
     rows = {(r.category, r.path) for r in lint.report(pages, "2024-06-01", 1).collect()}
     assert ("broken_links", "entities/heron.md") in rows and ("malformed_frontmatter", "concepts/broken.md") in rows
-    assert ("missing_frontmatter", "concepts/flight.md") in rows and ("missing_frontmatter", "entities/falcon.md") not in rows
+    assert ("missing_frontmatter", "concepts/broken.md") not in rows and ("missing_frontmatter", "concepts/flight.md") in rows and ("missing_frontmatter", "entities/falcon.md") not in rows
     n = {r.category: r.n for r in lint.summary(lint.report(pages, "2024-06-01")).collect()}
     assert n["oversized_hard"] == 0 and n["orphans"] == 2
 
@@ -159,6 +159,8 @@ def test_graph(spark, pages):
     assert [r.node for r in G.shortest_path(e, nodes, "bird:heron", "bird:heron").collect()] == ["bird:heron"]
     assert G.shortest_path(e, nodes, "concept:broken", "bird:heron").count() == 0 and G.shortest_path(e, nodes, "x", "bird:heron").count() == 0
     assert {(r.node, r.distance) for r in G.neighbors(e, "concept:flight", 2).collect()} == {("bird:falcon", 1), ("bird:heron", 2), ("concept:field-notes", 2)}
+    found = {r.category for r in G.lint_edges(e.withColumn("contradicts", F.lit("bird:falcon")).withColumn("supersedes", F.lit("nobody")), nodes, preds).collect()}
+    assert found == {"missing_evidence", "missing_source_field", "invalid_confidence", "broken_supersedes"}
     found = {r.category for r in G.lint_edges(e, nodes, preds).collect()}
     assert found == {"missing_evidence", "missing_source_field", "invalid_confidence"}
     assert {r.id for r in G.orphan_nodes(nodes, e).collect()} == {"concept:flight", "concept:field-notes", "concept:broken"}

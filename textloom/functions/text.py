@@ -128,20 +128,22 @@ def path_error(path: Column | str, max_bytes: int = 512) -> Column:
     return (
         F.when(c.isNull() | (c == ""), "empty")
         .when(F.octet_length(c) > max_bytes, "too_long")
-        .when(c.startswith("/") | c.contains("\\"), "not_relative")
+        .when(c.contains("\\"), "backslash")
         .when(c.rlike(r"[\x00-\x1F\x7F]"), "control_character")
-        .when(F.exists(parts, lambda p: (p == "") | (p == ".") | (p == "..")), "bad_component")
-        .when(~F.lower(c).endswith(".md"), "not_markdown")
+        .when(c.startswith("/"), "not_relative")
+        .when(F.exists(parts, lambda p: p == ""), "empty_component")
+        .when(F.exists(parts, lambda p: (p == ".") | (p == "..")), "bad_component")
+        .when(F.exists(parts, lambda p: p.startswith(".")) & ~c.rlike(r"^\.[a-z0-9-]+-template\.(md|json)$"), "hidden_component")
     )
 
 
 def searchable(path: Column | str, skip_files: tuple[str, ...], skip_dirs: tuple[str, ...]) -> Column:
-    """Whether a page takes part in search: no hidden component, listed top-level file or directory."""
+    """Whether a page takes part in search: its name isn't hidden, nor its first component among those left out."""
     parts = F.split(_c(path), "/")
     top = F.element_at(parts, 1)
     named = top.isin(*skip_files) if skip_files else F.lit(False)
-    inside = ((F.size(parts) > 1) & top.isin(*skip_dirs)) if skip_dirs else F.lit(False)
-    return ~F.exists(parts, lambda p: p.startswith(".")) & ~named & ~inside
+    inside = top.isin(*skip_dirs) if skip_dirs else F.lit(False)
+    return ~F.element_at(parts, -1).startswith(".") & ~named & ~inside
 
 
 # --- dates, hashes, sets, probabilities

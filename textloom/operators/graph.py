@@ -10,7 +10,7 @@ from textloom.functions import text as X
 
 # Fixed values of the edge vocabulary.
 CONFIDENCE = ("low", "medium", "high")
-STATUS = ("current", "historical", "disputed", "superseded")
+STATUS = ("current", "historical", "proposed", "disputed", "superseded")
 IMPLICIT = ("mentions", "sourced_from", "summarizes_raw")
 EDGE = ["id", "subject", "predicate", "object", "source", "evidence", "confidence", "status", "extraction_method", "page"]
 FINDINGS = (
@@ -145,7 +145,9 @@ def predicate_counts(edges: DataFrame) -> DataFrame:
 def lint_edges(edges: DataFrame, nodes: DataFrame, predicates: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Findings (category, subject, predicate, object) of typed edges against the ontology's predicates.
 
-    predicates: rows (predicate, subject_types, object_types, requires_evidence); sources: rows (slug) of source pages.
+    predicates: rows (predicate, subject_types, object_types, requires_evidence; null: required); sources: rows (slug) of
+    source pages. An unknown predicate is the only finding of its edge. Where the columns contradicts and supersedes are
+    given, they must name a node or a source page.
     """
     typed = edges.filter(~F.col("predicate").isin(*IMPLICIT))
     kinds = nodes.select(F.col("id"), F.col("node_type"))
@@ -158,17 +160,23 @@ def lint_edges(edges: DataFrame, nodes: DataFrame, predicates: DataFrame, source
         j = j.withColumn("_source", F.lit(True))
     filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     known = F.col("_known").isNotNull()
+    needs = known & F.coalesce(F.col("requires_evidence"), F.lit(True))
+    refs = kinds.select(F.col("id").alias("_ref")) if sources is None else kinds.select(F.col("id").alias("_ref")).unionByName(sources.select(F.col("slug").alias("_ref")))
+    refs = refs.distinct()
+    for c in ("contradicts", "supersedes"):
+        if c in edges.columns:
+            j = j.join(refs.select(F.col("_ref").alias(c), F.lit(True).alias(f"_{c}")), c, "left")
     checks = {
         "unknown_predicates": ~known,
-        "broken_object_refs": F.col("_there").isNull() & ~F.col("object").startswith("raw:"),
-        "subject_type_mismatch": known & F.col("_s").isNotNull() & ~X.types_match("subject_types", "_s"),
+        "broken_object_refs": known & F.col("_there").isNull() & ~F.coalesce(F.array_contains("object_types", "*"), F.lit(False)),
+        "subject_type_mismatch": known & ~X.types_match("subject_types", "_s"),
         "object_type_mismatch": known & F.col("_there").isNotNull() & ~X.types_match("object_types", "_o"),
-        "missing_evidence": known & F.coalesce(F.col("requires_evidence"), F.lit(False)) & ~filled("evidence"),
-        "missing_source_field": known & F.coalesce(F.col("requires_evidence"), F.lit(False)) & ~filled("source"),
-        "broken_source_refs": filled("source") & F.col("_source").isNull(),
-        "invalid_confidence": filled("confidence") & ~F.col("confidence").isin(*CONFIDENCE),
-        "invalid_status": filled("status") & ~F.col("status").isin(*STATUS),
-    }
+        "missing_evidence": needs & ~filled("evidence"),
+        "missing_source_field": needs & ~filled("source"),
+        "broken_source_refs": known & filled("source") & F.col("_source").isNull(),
+        "invalid_confidence": known & filled("confidence") & ~F.col("confidence").isin(*CONFIDENCE),
+        "invalid_status": known & filled("status") & ~F.col("status").isin(*STATUS),
+    } | {f"broken_{c}": known & filled(c) & F.col(f"_{c}").isNull() for c in ("contradicts", "supersedes") if c in edges.columns}
     hits = F.array_compact(F.array(*[F.when(c, name) for name, c in checks.items()]))
     return j.select(F.explode(hits).alias("category"), "subject", "predicate", "object")
 

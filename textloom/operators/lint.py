@@ -63,7 +63,7 @@ def report(pages: DataFrame, today: str, suggest_min: int | None = None) -> Data
         row(L.orphans(pages, resolved), "orphans", F.col("rel_path"), F.col("slug")),
         row(L.broken(resolved), "broken_links", F.col("src"), F.col("raw")),
         row(oversized(pages), F.col("category"), F.col("rel_path"), F.col("line_count")),
-        row(missing_fields(pages), "missing_frontmatter", F.col("rel_path"), F.array_join("missing", ",")),
+        row(missing_fields(pages.filter("not malformed")), "missing_frontmatter", F.col("rel_path"), F.array_join("missing", ",")),
         row(pages.filter("malformed"), "malformed_frontmatter", F.col("rel_path"), F.lit("")),
         row(duplicate_slugs(pages), "duplicate_slugs", F.get("paths", 0), F.array_join("paths", ",")),
         row(stale(pages, resolved, today), "stale_pages", F.col("rel_path"), F.col("age")),

