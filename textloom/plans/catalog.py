@@ -556,10 +556,10 @@ def overlap_gate(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT 'r' || (turn % 4) AS entity, conv_id * 1000 + turn AS ord, conv_id AS path FROM conversations WHERE conv_id < 40)
+WITH c AS (SELECT 'r' || (turn % 4) AS entity, conv_id * 1000 + turn AS ord, conv_id AS path FROM conversations)
 SELECT a.entity, a.ord AS i, b.ord AS j FROM c a JOIN c b ON a.entity = b.entity AND a.ord < b.ord AND a.path <> b.path ORDER BY a.entity, i, j LIMIT 50""")
 def contradiction_pairs(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("conv_id < 40").select(F.concat(F.lit("r"), (F.col("turn") % 4).cast("string")).alias("entity"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("conv_id").alias("path"), "text")
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("r"), (F.col("turn") % 4).cast("string")).alias("entity"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("conv_id").alias("path"), "text")
     return E.contradiction_pairs(c, 50).select("entity", "i", "j")
 
 
@@ -655,10 +655,10 @@ def graph_export(spark, sf_dir):
     return G.graphml(v, e.withColumn("status", F.lit("current"))).agg(F.count("*").alias("n_lines"))
 
 
-@query("SELECT 'page-' || page_id AS name, CASE WHEN page_id % 3 = 0 THEN 'entities' WHEN page_id % 3 = 1 THEN 'concepts' ELSE 'sources' END || '/page-' || page_id || '.md' AS rel_path FROM pages WHERE page_id < 20 UNION ALL SELECT 'nowhere', NULL")
+@query("SELECT 'page-' || page_id AS name, CASE WHEN page_id % 3 = 0 THEN 'entities' WHEN page_id % 3 = 1 THEN 'concepts' ELSE 'sources' END || '/page-' || page_id || '.md' AS rel_path FROM pages UNION ALL SELECT 'nowhere', NULL")
 def find_pages(spark, sf_dir):
     p = wiki(spark, sf_dir)
-    names = p.filter("page_id < 20").select(F.col("slug").alias("name")).unionByName(spark.createDataFrame([("nowhere",)], "name string"))
+    names = p.select(F.col("slug").alias("name")).unionByName(spark.createDataFrame([("nowhere",)], "name string"))
     return L.find_page(p, names)
 
 
