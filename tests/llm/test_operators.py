@@ -71,7 +71,9 @@ def test_components(spark):
 def test_skew_join_splits_heavy_keys_and_keeps_all_rows(spark):
     left = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 500).cast("string"))).alias("k"))
     right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("m"))
-    got = _shared.skew_join(left, right.filter("m < 400"), "k", "n", 9000, F.col("id")).orderBy("id").collect()
+    joined = _shared.skew_join(left, right.filter("m < 400"), "k", "n", 9000, F.col("id"))
+    assert re.search(r"Join \[k#\d+, _salt#\d+\]", joined._jdf.queryExecution().executedPlan().toString()), "the salt is a key of the join"
+    got = joined.orderBy("id").collect()
     want = left.join(right.filter("m < 400"), "k", "left").select("id", "k", "n", "m").orderBy("id").collect()
     assert got == want
 

@@ -48,7 +48,8 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: i
     payload = [c for c in right.columns if c != key]
     bound = max(8, total // HEAVY)
     heavy = right.filter(F.col(weight) > bound).select(key, *[F.col(c).alias(f"_h_{c}") for c in payload])
-    rest = right.filter(F.col(weight) <= bound).select(key, F.lit(0).alias("_salt"), *[F.col(c).alias(f"_r_{c}") for c in payload])
+    # always 0, but not a constant that the optimizer would take out of the join's keys
+    rest = right.filter(F.col(weight) <= bound).select(key, F.when(F.col(weight) > bound, -1).otherwise(0).alias("_salt"), *[F.col(c).alias(f"_r_{c}") for c in payload])
     salted = left.join(F.broadcast(heavy), key, "left").withColumn(
         "_salt", F.when(F.col(f"_h_{weight}").isNotNull(), (F.pmod(F.xxhash64(uid), F.lit(1 << 20)) + 1).cast("int")).otherwise(F.lit(0))
     )
