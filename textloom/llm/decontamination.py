@@ -10,7 +10,7 @@ The benchmark's index is broadcast in chunks of at most `chunk_words` words (16
 a larger benchmark takes several passes over the documents. An item with fewer words than min_match is one seed of all
 its words.
 
-Defined results: null and empty texts, and items without words, match nothing. Repeated documents or items are judged
+Defined results: null and empty texts, and items without words or id, match nothing. Repeated documents or items are judged
 one by one; among equally long matches that which begins first in the item, then in the document, is marked first.
 Empty tables give no matches. Extra columns are ignored.
 """
@@ -129,7 +129,8 @@ def _chunks(benchmark: DataFrame, chunk_words: int) -> Iterator[tuple[list[int],
     ids: list[int] = []
     texts: list[bytes] = []
     words = 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("i"), F.encode(F.col("text").cast("string"), "UTF-8").alias("t")).toLocalIterator():
+    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.encode(F.col("text").cast("string"), "UTF-8").alias("t"))
+    for r in rows.filter("i is not null and t is not null").toLocalIterator():
         t = bytes(r.t or b"")
         ids.append(r.i)
         texts.append(t)
@@ -163,7 +164,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, c
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
-    """docs without the contaminated ones, in the given columns; ids must be unique."""
-    bad = matches(docs, benchmark, **parameters).filter("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_bad"], "left_anti")
+def _drop(index, coverage: float, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds: SeedIndex = index.value
+        for batch in batches:
+            bad: set[int] = set()
+            place = pa.array(range(batch.num_rows), pa.int64())
+            for at, texts in text_steps(iter([pa.RecordBatch.from_arrays([place, batch.column(column)], ["at", "text"])])):
+                bad.update(at[t] for t, item, n in seeds.covered(texts) if n >= coverage * int(seeds.lengths[item]))
+            yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """docs without the contaminated ones, in the given columns. Rows are dropped where they are read: nothing is shuffled."""
+    sc = docs.sparkSession.sparkContext
+    for ids, texts in _chunks(benchmark, chunk_words):
+        docs = docs.mapInArrow(_drop(sc.broadcast(SeedIndex(ids, texts, min_match)), coverage, docs.columns.index("text")), docs.schema)
+    return docs
