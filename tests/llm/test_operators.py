@@ -187,6 +187,38 @@ def test_long_lines_need_fewer_contexts(spark):
     assert got == {0: 0, 1: 1, 2: 1}
 
 
+def brute_lines(rows):
+    """Dropped lines by document: templates in five different texts, or in two from 20 tokens."""
+    mask = lambda x: " ".join("<*>" if re.search("[0-9@]", w) else w for w in re.findall(SPACE, x))
+    holders, out = {}, {}
+    for d, text in sorted(r for r in rows if r[1] is not None):
+        for i, x in enumerate(text.split("\n")):
+            holders.setdefault(mask(x), []).append((d, i, text))
+    for d, text in rows:
+        out[d] = []
+        for i, x in enumerate(text.split("\n") if text is not None else []):
+            tokens, found = len(mask(x).split()), holders[mask(x)]
+            enough = len({t for _, _, t in found}) >= (2 if tokens >= 20 else 5)
+            if tokens >= 3 and enough and (text, i) != (found[0][2], found[0][1]):
+                out[d].append(i)
+    return out
+
+
+def test_lines_recur_by_documents(spark):
+    r = random.Random(12)
+    long = [" ".join(f"v{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)) for k in range(3)]
+    passage = "\n".join(f"inner passage line {chr(97 + k)}" for k in range(4))
+    rows = [(i, f"{chr(97 + i)} alone at the start\n{passage}\n{chr(97 + i)} alone at the end") for i in range(7)]
+    rows += [(20 + i, f"the intro\n{long[0]}\n{long[1]}\nthe outro{chr(97 + i)}") for i in range(2)]
+    rows += [(30, "\n".join(f"only one document has this\nword {chr(97 + i)} comes between" for i in range(9))), (31, f"x\n{long[2]}\ny\n{long[2]}\nz\n{long[2]}")]
+    rows += [(40 + i, rows[0][1]) for i in range(3)] + [(50, None), (51, "")]
+    rows += [(60 + i, "\n".join(r.choice("abcdef") + " in some place" for _ in range(5))) for i in range(12)]
+    got = {x.doc_id: x.dropped for x in line_dedup.decisions(frame(spark, rows)).collect()}
+    want = brute_lines(rows)
+    assert got == {i: d for i, d in want.items() if d}
+    assert want[3] == [1, 2, 3, 4] and want[21] == [1, 2] and not want[30] and not want[31] and not want[40], "passages go; one document's own lines and exact copies stay"
+
+
 def test_clashing_columns(spark):
     """Extra columns named like those that operators make."""
     names = ("n_lines", "n_dropped", "_dropped", "_id", "_gone", "key", "fp", "i", "_salt", "n_words", "kept", "matches", "_0", "_text", "component_id", "lo", "hi", "part", "score")

@@ -2,17 +2,19 @@ r"""Line dedup with a log-template tree, in built-in expressions only.
 
 A line's template has its white space collapsed and every field with a digit or an @ (numbers, dates, ids, addresses)
 replaced by <*>. The tree has a fixed depth: the number of tokens, then the first `LEADING` tokens, then the leaf's
-template. A template recurs if it stands in enough different contexts, a context being the templates of the line before
-and the line after: boilerplate and passages put into different documents are in different contexts, while copies of one
-document repeat one context. Long lines need fewer contexts than short ones, and lines under three tokens never recur.
+template. By the rule `DOCUMENTS` (the default) a template recurs if enough different documents hold it: five, or two for
+a line of 20 tokens. Exact copies of a text count as one document and get the same decisions, so that the n-gram join
+still finds them equal; a line repeated in one document alone never recurs. By the rule `LIMITS`, a template recurs if it
+stands in enough different contexts, a context being the templates of the line before and the line after; it misses
+the inner lines of shared passages and counts contexts within one document. Lines under three tokens never recur.
 Recurring lines are dropped from all documents, but for the first one (smallest doc_id, then line).
 
-Counting has map-side combining and spreads a template over its contexts; the join back to lines broadcasts only the
+Counting has map-side combining and spreads a template over its documents (or contexts); the join back to lines broadcasts only the
 fewer than 2,000 templates that hold more than 1/2,000 of all lines, and salts their rows. The last join moves each
 text once. No step gathers the lines of a template.
 
 Defined results: a null text stays null, with no lines; an empty text has one empty line, which stays. Repeated lines of
-one document in one context count once. Repeated rows with one doc_id get the same decisions. An empty table gives an
+one document (or in one context) count once. Texts are told apart by 64 bits of hash. Repeated rows with one doc_id get the same decisions. An empty table gives an
 empty result. Extra columns are kept by clean() and shorten() and ignored by decisions().
 """
 
@@ -34,43 +36,49 @@ class Limits:
     long_tokens: int = 20
     contexts: int = 5
     long_contexts: int = 3
+    #: A context is the whole document, so that contexts are counted as different documents.
+    documents: bool = False
 
 
 LIMITS = Limits()
+DOCUMENTS = Limits(long_contexts=2, documents=True)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, limits: Limits) -> DataFrame:
     """doc_id, i, tokens, key (the path in the tree), context of every line."""
     # both patterns begin only where they match: plain single spaces and words without a digit cost one look
     t = F.regexp_replace(F.col("text"), r"(?:[\t\x0B\f\r]| (?=[ \t\x0B\f\r]))[ \t\x0B\f\r]*+", " ")
     t = F.when(F.col("text").rlike("[0-9@]"), F.regexp_replace(t, r"(?<![^ \n])[^ \n0-9@]*+[0-9@][^ \n]*+", "<*>")).otherwise(t)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.transform(F.split(t, "\n", -1), lambda x: F.trim(x)).alias("_t"))
-    d = d.select("doc_id", "_t", F.transform("_t", lambda x: F.xxhash64(x)).alias("_h"))
-    d = d.select("doc_id", "_h", F.posexplode("_t").alias("i", "t"))
+    text = F.xxhash64("text") if limits.documents else F.lit(None).cast("long")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_d"), F.transform(F.split(t, "\n", -1), lambda x: F.trim(x)).alias("_t"))
+    d = d.select("doc_id", "_d", "_t", F.transform("_t", lambda x: F.xxhash64(x)).alias("_h"))
+    d = d.select("doc_id", "_d", "_h", F.posexplode("_t").alias("i", "t"))
+    around = F.xxhash64(F.get("_h", F.col("i") - 1), F.get("_h", F.col("i") + 1))
     d = d.select(
-        "doc_id", "i", "t", F.get("_h", F.col("i")).alias("leaf"), F.xxhash64(F.get("_h", F.col("i") - 1), F.get("_h", F.col("i") + 1)).alias("context"),
+        "doc_id", "i", "t", F.get("_h", F.col("i")).alias("leaf"), (F.col("_d") if limits.documents else around).alias("context"),
         F.when(F.col("t") == "", 0).otherwise(F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1).alias("tokens"),
     )
     node = F.xxhash64(F.col("tokens"), F.substring_index("t", " ", LEADING))
     return d.select("doc_id", "i", "tokens", F.struct(node.alias("node"), F.col("leaf")).alias("key"), "context")
 
 
-def recurring(lines: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """key, n (lines), contexts, first (doc_id and line) of the templates that recur; lines: those of min_tokens or more."""
+def recurring(lines: DataFrame, limits: Limits = DOCUMENTS) -> DataFrame:
+    """key, n (lines), contexts, first (doc_id, line and context) of the templates that recur; lines: those of min_tokens or more."""
     by_context = lines.groupBy("key", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "i")).alias("first"), F.max("tokens").alias("tokens")
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "i", "context")).alias("first"), F.max("tokens").alias("tokens")
     )
     found = by_context.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"), F.min("first").alias("first"), F.max("tokens").alias("tokens"))
     return found.filter(F.col("contexts") >= F.when(F.col("tokens") >= limits.long_tokens, limits.long_contexts).otherwise(limits.contexts))
 
 
-def decisions(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def decisions(docs: DataFrame, limits: Limits = DOCUMENTS) -> DataFrame:
     """doc_id, dropped: the numbers (from 0) of the lines to drop, of documents that have any."""
-    lines = cut(_lines(docs).filter(F.col("tokens") >= limits.min_tokens))  # hashes and numbers only, for two uses
+    lines = cut(_lines(docs, limits).filter(F.col("tokens") >= limits.min_tokens))  # hashes and numbers only, for two uses
     found = cut(recurring(lines, limits).select("key", "n", "first"))
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hit = skew_join(lines.select("doc_id", "i", "key"), found, "key", "n", total, F.struct("doc_id", "i"))
-    hit = hit.filter("first is not null and struct(doc_id, i) <> first")
+    hit = skew_join(lines.select("doc_id", "i", "key", *(["context"] if limits.documents else [])), found, "key", "n", total, F.struct("doc_id", "i"))
+    # exact copies of the first document keep the line as well
+    hit = hit.filter("first is not null and " + ("struct(context, i) <> struct(first.context, first.i)" if limits.documents else "struct(doc_id, i) <> struct(first.doc_id, first.i)"))
     return hit.groupBy("doc_id").agg(F.sort_array(F.collect_set("i")).alias("dropped"))
 
 
@@ -82,13 +90,13 @@ def _joined(docs: DataFrame, limits: Limits) -> tuple[DataFrame, Column, Column]
     return docs.join(d, docs["doc_id"].cast("long") == d["__line_dedup_id"], "left"), text, dropped
 
 
-def shorten(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def shorten(docs: DataFrame, limits: Limits = DOCUMENTS) -> DataFrame:
     """docs with text shortened, in the given columns."""
     joined, text, _ = _joined(docs, limits)
     return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
-def clean(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def clean(docs: DataFrame, limits: Limits = DOCUMENTS) -> DataFrame:
     """docs with text shortened, and the columns n_lines and n_dropped, in place of any so named."""
     joined, text, dropped = _joined(docs, limits)
     return joined.select(

@@ -98,6 +98,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By contexts, as in its SQL."""
+    return line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.LIMITS)
+
+
+def op2_line_dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By different documents, as in the pipeline."""
     return line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -141,6 +147,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h L
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
+    "op2_line_dedup_documents": op2_line_dedup_documents,
     "op10_url_filters": op10_url_filters,
     "op3_toxicity": op3_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
