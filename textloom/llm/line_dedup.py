@@ -1,8 +1,9 @@
-r"""Line dedup with a log-template tree, in built-in expressions only.
+r"""Line dedup by equal line templates, in built-in expressions only.
 
 A line's template has its white space collapsed and every field with a digit or an @ (numbers, dates, ids, addresses)
-replaced by <*>. The tree has a fixed depth: the number of tokens, then the first `LEADING` tokens, then the leaf's
-template. By the rule `DOCUMENTS` (the default) a template recurs if enough different documents hold it: five, or two for
+replaced by <*>. Lines meet if their templates are equal; there is no tree that generalises templates, so other variable
+words make other templates. The key's node (token count, first `LEADING` tokens) only spreads the keys.
+By the rule `DOCUMENTS` (the default) a template recurs if enough different documents hold it: five, or two for
 a line of 20 tokens. Exact copies of a text count as one document and get the same decisions, so that the n-gram join
 still finds them equal; a line repeated in one document alone never recurs. By the rule `LIMITS`, a template recurs if it
 stands in enough different contexts, a context being the templates of the line before and the line after; it misses
