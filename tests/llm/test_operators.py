@@ -125,6 +125,16 @@ def test_join_equals_all_pairs(spark, block):
     assert got == brute_join(rows)
 
 
+@pytest.mark.parametrize("block", [10**6, 500])
+def test_join_counts_all_links(spark, block):
+    rows = corpus(3, 100) + [(20_000 + i, " ".join("abcdefghijklmnopqrstuvwxyz" * 3) + f" end{i}") for i in range(12)]
+    rows += rows[:5]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, min(len(w), 1)))} for i, t in rows for w in [re.findall(SPACE, lower(t))]}
+    want = {i: sum(i != j and bool(a and b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    got = ngram_join.join(frame(spark, rows), block_tokens=block).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.n_links for r in got} == want and want[20_000] == 11
+
+
 def test_join_keeps_one(spark):
     rows = corpus(5, 60)
     want = brute_join(rows)

@@ -9,15 +9,17 @@
    stars over the prefix's postings tie all linked documents into families.
 4. A family is joined with a trie of its sets in global order, the most frequent shingles first: one traversal shares
    partial overlaps along common paths, subtrees are cut when the remaining lengths can't reach the overlap needed,
-   and subtrees that lie wholly in the document's own component are skipped. A family over `block_tokens` is cut into
+   and, where only components are wanted, subtrees that lie wholly in the document's own component are skipped. A family over `block_tokens` is cut into
    blocks, and every pair of blocks is one task.
-5. Links (a spanning forest of each task's links) and classes give components.
+5. Links (a spanning forest of each task's links) and classes give components. To count links, every link is visited and
+   added to both documents' counts within the task, weighted by the copies of the other; pairs leave no task.
 
 No step gathers a class, a posting list or a family in one task without a bound, and no pairs of copies are made.
 
 Defined results: null, empty and white-space texts have the empty set, n_shingles 0, and are linked with nothing.
-Repeated rows have equal sets and one class; a doc_id stands for one text. Rows with a null doc_id are linked with
-nothing, and their component_id is null. An empty table gives an empty result.
+n_links is the number of other doc_ids that are similar enough, equal sets included. Repeated rows have equal sets and
+one class; a doc_id stands for one text and counts once. Rows with a null doc_id are linked with nothing: their n_links
+is 0 and their component_id null. An empty table gives an empty result.
 Extra columns are ignored.
 """
 
@@ -171,11 +173,12 @@ def needed(a, b):
 
 
 def _candidates(blobs: pa.Table, reps: pa.Table) -> pa.Table:
-    """Representatives with enough shared shingles: their shared codes, the rarest first, and how many are in the prefix."""
+    """Representatives with enough shared shingles: their shared codes, the rarest first, how many are in the prefix, and their class's documents."""
     docs, sizes, counts = _joined(blobs, "docs", np.int64), _joined(blobs, "sizes", np.uint32), _joined(blobs, "counts", np.uint32)
     codes, dfs = _joined(blobs, "codes", np.uint64), _joined(blobs, "dfs", np.uint32)
-    rows: list[list] = [[], [], [], []]
+    rows: list[list] = [[], [], [], [], []]
     if len(docs) and reps.num_rows:
+        copies_of = dict(zip(reps.column("rep").to_pylist(), reps.column("docs").to_pylist(), strict=True))
         keep = np.isin(docs, reps.column("rep").to_numpy())
         each = np.repeat(keep, counts)
         owner, codes, dfs = np.repeat(docs, counts)[each], codes[each], dfs[each]
@@ -187,9 +190,9 @@ def _candidates(blobs: pa.Table, reps: pa.Table) -> pa.Table:
             size = size_of[doc]
             least = -(-PART * size // WHOLE)
             if m >= least:
-                for column, value in zip(rows, (doc, size, codes[a : a + m].astype(np.int64), m - least + 1), strict=True):
+                for column, value in zip(rows, (doc, size, codes[a : a + m].astype(np.int64), m - least + 1, copies_of[doc]), strict=True):
                     column.append(value)
-    return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.int32())], names=["doc", "size", "codes", "prefix"])
+    return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.int32()), pa.array(rows[4], pa.int64())], names=["doc", "size", "codes", "prefix", "copies"])
 
 
 class _Node:
@@ -204,10 +207,11 @@ class _Node:
 
 
 class TrieJoin:
-    """Links among sets that arrive one by one. add() returns the links that join two components."""
+    """Links among sets that arrive one by one. add() returns the links that join two components, or with `every` all links."""
 
-    def __init__(self, step: int = 24):
-        self.root, self.parent, self.sizes, self.step = _Node([], 0, 1 << 62), {}, {}, step
+    def __init__(self, step: int = 24, every: bool = False):
+        self.root, self.parent, self.sizes, self.step, self.every = _Node([], 0, 1 << 62), {}, {}, step, every
+        self.joined: list[tuple[int, int]] = []  # the last add's links that join two components
 
     def find(self, x: int) -> int:
         parent = self.parent
@@ -220,18 +224,19 @@ class TrieJoin:
         """codes: in global order."""
         self.parent.setdefault(doc, doc)
         self.sizes[doc] = size
+        self.joined = []
         found = self._search(doc, size, codes) if search else []
         if insert:
             self._insert(doc, size, codes)
         return found
 
     def _search(self, doc: int, size: int, codes: list[int]) -> list[tuple[int, int]]:
-        own, find, step, total = set(codes), self.find, self.step, len(codes)
+        own, find, step, total, every = set(codes), self.find, self.step, len(codes), self.every
         links: list[tuple[int, int]] = []
         stack = [(c, 0) for c in self.root.children.values()]
         while stack:
             node, overlap = stack.pop()
-            if not node.mixed and find(node.rep) == find(doc):
+            if not every and not node.mixed and find(node.rep) == find(doc):
                 continue
             goal = needed(size, node.least)
             rest, segment = node.rest, node.segment
@@ -249,9 +254,11 @@ class TrieJoin:
                         a, b = find(doc), find(other)
                         if a != b:
                             self.parent[b] = a
+                            self.joined.append((doc, other))
+                        if every:
                             links.append((doc, other))
                 stack.extend((c, overlap) for c in node.children.values())
-        return links
+        return links if every else self.joined
 
     def _insert(self, doc: int, size: int, codes: list[int]) -> None:
         node, at, n = self.root, 0, len(codes)
@@ -280,44 +287,67 @@ class TrieJoin:
         node.leaf.append(doc)
 
 
-def _link(table: pa.Table) -> pa.Table:
-    """Links within the families of one table. side 0 and 1: two blocks of one family, 1 looks for links to 0; 2: all with all."""
-    rows: list[list[int]] = [[], []]
-    cols = [table.column(c) for c in ("task", "side", "doc", "size")]
-    task, side, doc, size = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in cols)
-    codes = table.column("codes").combine_chunks()
-    offsets, values = codes.offsets.to_numpy(), codes.values.to_numpy()
-    order = np.lexsort((doc, size, side, task))
-    last, join = None, TrieJoin()
-    for i in order.tolist():
-        if task[i] != last:
-            last, join = task[i], TrieJoin()
-        own = values[offsets[i] : offsets[i + 1]][::-1].tolist()
-        found = join.add(int(doc[i]), int(size[i]), own, search=side[i] != 0, insert=side[i] != 1)
-        for a, b in found:
-            rows[0].append(a)
-            rows[1].append(b)
-    return pa.table([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64())], names=["a", "b"])
-
-
-def links(docs: DataFrame, n: int = N, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with n_shingles and fingerprint, classes with their representative, links between representatives)."""
+def _link(every: bool):
+    def run(table: pa.Table) -> pa.Table:
+        """Links within the families of one table. side 0 and 1: two blocks of one family, 1 looks for links to 0; 2: all with all.
+
+        Rows (a, b, n): links that join components, n null; with `every` also the number n of documents linked with a, b null.
+        """
+        rows: list[list] = [[], [], []]
+        cols = [table.column(c) for c in ("task", "side", "doc", "size", "copies")]
+        task, side, doc, size, copies = (np.asarray(c.to_numpy(zero_copy_only=False)) for c in cols)
+        codes = table.column("codes").combine_chunks()
+        offsets, values = codes.offsets.to_numpy(), codes.values.to_numpy()
+        copies_of = dict(zip(doc.tolist(), copies.tolist(), strict=True))
+        counts: dict[int, int] = {}
+        order = np.lexsort((doc, size, side, task))
+        last, join = None, TrieJoin(every=every)
+        for i in order.tolist():
+            if task[i] != last:
+                last, join = task[i], TrieJoin(every=every)
+            own = values[offsets[i] : offsets[i + 1]][::-1].tolist()
+            me = int(doc[i])
+            found = join.add(me, int(size[i]), own, search=side[i] != 0, insert=side[i] != 1)
+            if every:
+                for _, b in found:
+                    counts[b] = counts.get(b, 0) + copies_of[me]
+                if found:
+                    counts[me] = counts.get(me, 0) + sum(copies_of[b] for _, b in found)
+            for a, b in join.joined:
+                rows[0].append(a)
+                rows[1].append(b)
+                rows[2].append(None)
+        for d, n in counts.items():
+            rows[0].append(d)
+            rows[1].append(None)
+            rows[2].append(n)
+        return pa.table([pa.array(r, pa.int64()) for r in rows], names=["a", "b", "n"])
+
+    return run
+
+
+def links(docs: DataFrame, n: int = N, block_tokens: int = BLOCK_TOKENS, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with n_shingles and fingerprint, classes with their representative, links between representatives).
+
+    The links (a, b) are those that tie the components. With `every`, rows (a, null, n) beside them count the documents
+    that a is linked with in a task.
+    """
     spark = docs.sparkSession
     ranges = max(4, shuffle_partitions(spark))
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     described = cut(source.mapInArrow(_describe(n), "doc_id long, n_shingles long, fp binary"))
-    classes = cut(described.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("size")))
+    classes = cut(described.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.count_distinct("doc_id").alias("docs"), F.first("n_shingles").alias("size")))
     packed = source.filter("doc_id is not null").mapInArrow(_scatter(n, ranges), "part int, docs binary, sizes binary, counts binary, low binary, high binary")
     shared = packed.groupBy("part").applyInArrow(_count(ranges, ranges), "g int, docs binary, sizes binary, counts binary, codes binary, dfs binary")
-    reps = classes.filter("size > 0").select("rep", F.pmod(F.xxhash64("rep"), F.lit(ranges)).cast("int").alias("g"))
-    found = cut(shared.groupBy("g").cogroup(reps.groupBy("g")).applyInArrow(_candidates, "doc long, size long, codes array<bigint>, prefix int"))
+    reps = classes.filter("size > 0").select("rep", "docs", F.pmod(F.xxhash64("rep"), F.lit(ranges)).cast("int").alias("g"))
+    found = cut(shared.groupBy("g").cogroup(reps.groupBy("g")).applyInArrow(_candidates, "doc long, size long, codes array<bigint>, prefix int, copies long"))
 
     postings = found.select("doc", F.explode(F.slice("codes", F.lit(1), F.col("prefix"))).alias("code"))
     stars = cut(postings.groupBy("code").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
     total = stars.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tied = skew_join(postings, stars, "code", "n", total, F.struct("doc", "code")).filter("hub <> doc").select(F.col("hub").alias("a"), F.col("doc").alias("b"))
     family = components(tied).select(F.col("node").alias("doc"), F.col("component").alias("family"))
-    member = found.join(family, "doc").select("doc", "size", "codes", "family")
+    member = found.join(family, "doc").select("doc", "size", "codes", "copies", "family")
     weight = cut(member.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.size("codes")).alias("tokens")))
     docs_in, tokens_in = weight.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     buckets = max(ranges, -(-tokens_in // block_tokens))
@@ -329,22 +359,34 @@ def links(docs: DataFrame, n: int = N, block_tokens: int = BLOCK_TOKENS) -> tupl
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(buckets)).cast("string"))
         .otherwise(F.concat_ws(":", "family", F.least("own", "with"), F.greatest("own", "with"))).alias("bucket"),
         F.col("family").alias("task"),
-        F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1).alias("side"), "doc", "size", "codes",
+        F.when(F.col("own") == F.col("with"), 2).when(F.col("own") < F.col("with"), 0).otherwise(1).alias("side"), "doc", "size", "codes", "copies",
     )
-    linked = task.groupBy("bucket").applyInArrow(_link, "a long, b long")
+    linked = task.groupBy("bucket").applyInArrow(_link(every), "a long, b long, n long")
     return described, classes, linked
 
 
-def join(docs: DataFrame, n: int = N, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
-    described, classes, linked = links(docs, n, block_tokens)
-    comp = components(linked).select(F.col("node").alias("rep"), "component")
-    classes = cut(classes.join(comp, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "copies"))
+def _components(docs: DataFrame, n: int, block_tokens: int, every: bool) -> DataFrame:
+    described, classes, linked = links(docs, n, block_tokens, every)
+    linked = cut(linked) if every else linked
+    comp = components(linked.filter("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")
+    classes = classes.join(comp, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    columns = ["component_id"]
+    if every:
+        counts = linked.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+        alike = F.when(F.col("size") > 0, F.col("docs") - 1 + F.coalesce("others", F.lit(0))).otherwise(0)
+        classes = classes.join(counts, "rep", "left").withColumn("n_links", alike)
+        columns.append("n_links")
     total = described.count()
-    return skew_join(described, classes, "fp", "copies", total, F.col("doc_id")).select("doc_id", "n_shingles", "component_id")
+    found = skew_join(described, cut(classes.select("fp", "copies", *columns)), "fp", "copies", total, F.col("doc_id"))
+    return found.select("doc_id", "n_shingles", *[F.coalesce(c, F.lit(0)).alias(c) if c == "n_links" else c for c in columns])
+
+
+def join(docs: DataFrame, n: int = N, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id, n_links (other documents that are similar enough)."""
+    return _components(docs, n, block_tokens, True)
 
 
-def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = N, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """docs without those whose component holds a smaller id."""
-    gone = join(docs, **parameters).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone = _components(docs, n, block_tokens, False).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
