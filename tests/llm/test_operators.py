@@ -365,6 +365,19 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_wrapped_and_adjoining_licenses(spark):
+    prose = "the grey heron stood in the shallow water of the lake and waited "
+    rows = [
+        (1, f"{prose}\nThis Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.\n{prose}"), (2, "This work is licensed under the GNU General Public License,\nversion 3."),
+        (3, "Licensed under CC\nBY-NC 4.0."), (4, "Released under the MIT License. Licensed under CC BY 4.0. All rights reserved."), (5, f"{prose * 20}\nLicensed under CC\nBY-SA 4.0.\n{prose * 20}"),
+        (6, "\n".join(licenses.TEMPLATES[1].text.split())), (7, f"Released\nunder the MIT License. {prose * 9}\n{prose * 9}\nLicensed under the Apache\nLicense, Version\n2.0."), (8, f"Licensed under CC\n{prose}\nBY-NC 4.0."),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    want = {1: ["MPL-2.0"], 2: ["GPL-3.0"], 3: ["CC-BY-NC-4.0"], 4: ["CC-BY-4.0", "MIT", "proprietary"], 5: ["CC-BY-SA-4.0"], 6: ["MIT"], 7: ["Apache-2.0", "MIT"], 8: []}
+    assert {i: r.licenses for i, r in got.items()} == want
+    assert [x.line for x in got[1].found] == [1] and [x.line for x in got[7].found] == [0, 3]
+
+
 def test_license_ranking_agrees_with_comparing_all(spark, sf):
     scanner = licenses.Scanner()
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
