@@ -38,6 +38,16 @@ def test_matches_sql(spark, db, sf, name):
     assert got == want
 
 
+def test_evidence_in_any_place(spark, tmp_path):
+    docs = ["One two three four five six", "xone two three four fivex", '"one two three four five"', "two", "a (one two) b", None, "", "one  two\nthree four  FIVE"]
+    items = ["one two three four five", "two", "one two", "e two three fou", "ne two three four fiv", "absent", " ", None, "three four five six"]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    flat = lambda t: " ".join(t.lower().split())
+    want = {(i, d) for i, e in enumerate(items) if e and flat(e) for d, t in enumerate(docs) if t and flat(e) in flat(t)}
+    assert {tuple(r) for r in catalog.evidence_contains(spark, str(tmp_path)).select("item_id", "doc_id").collect()} == want
+
+
 def test_entry_runs(spark):
     import __spark_entry__
 

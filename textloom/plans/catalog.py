@@ -193,14 +193,16 @@ def section_neighbors(spark, sf_dir):
 SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(
   lower(trim(regexp_replace(d.text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\\s+', ' ', 'g')))) WHERE trim(b.text) <> ''""".replace("\\\\", "\\"))
 def evidence_contains(spark, sf_dir):
-    """Containment of whole words: candidates share the evidence's first three words, so this is an equi join."""
+    """Containment: a match's inner words are whole words of the document, so candidates share the first three of them
+    and this is an equi join. Items of under five words have too few and are looked for in every document."""
     d = table(spark, sf_dir, "documents").select("doc_id", X.normalized("text").alias("body"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", X.normalized("text").alias("e")).filter("e <> ''")
-    words = lambda c, n: F.array_join(F.slice(F.split(c, " "), 1, n), " ")
-    heads = b.select("item_id", "e", words("e", 3).alias("k"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", X.normalized("text").alias("e")).filter("e <> ''").withColumn("ws", F.split("e", " "))
+    heads = b.filter(F.size("ws") >= 5).select("item_id", "e", F.array_join(F.slice("ws", 2, 3), " ").alias("k"))
     tokens = d.select("doc_id", "body", F.split("body", " ").alias("w"))
     grams = tokens.select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("k"))
-    return grams.join(heads, "k").filter(F.col("body").contains(F.col("e"))).select("item_id", "doc_id").distinct()
+    long = grams.join(heads, "k").filter(F.col("body").contains(F.col("e"))).select("item_id", "doc_id")
+    short = d.join(F.broadcast(b.filter(F.size("ws") < 5).select("item_id", "e")), F.col("body").contains(F.col("e"))).select("item_id", "doc_id")
+    return long.unionByName(short).distinct()
 
 
 # --- links: page_id as pages, links by arithmetic
