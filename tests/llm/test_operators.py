@@ -178,55 +178,85 @@ def test_trie_finds_links_a_scan_finds():
 # --- 2
 
 
-def test_lines_drop_in_many_contexts_but_once(spark):
-    rows = [(i, f"Unique opening words of number {chr(97 + i)} here\nVisit page {i} of our site now\nClosing sentence made by {chr(97 + i)} alone") for i in range(8)]
-    rows += [(100 + i, "copy line one is here\ncopy line two is here\ncopy line three is here") for i in range(9)]
-    rows += [(200, None), (201, ""), (202, "a\n\na\n")]
+def brute_tree(rows):
+    """Dropped lines by (doc_id, text) and the recurring templates, from a tree of dictionaries."""
+    mask = lambda x: ["<*>" if re.search("[0-9@]", w) else w for w in re.findall(SPACE, x)]
+    tree, out, holders = {}, {}, {}
+    for d, text in rows:
+        if d is not None and text is not None:
+            holders[text] = min(d, holders.get(text, d))
+
+    def paths(w):
+        n = len(w)
+        if n >= 3:
+            yield n, tuple(w), 2 if n >= 20 else 5
+            for s in range(4 if n >= 6 else 0):
+                shut = tuple(t for i, t in enumerate(w) if 4 * i // n != s or i < 2)
+                if len(shut) < n:
+                    yield n, (s, shut), 5
+
+    for text, d in holders.items():
+        for w in map(mask, text.split("\n")):
+            for n, path, least in paths(w):
+                node = tree.setdefault(n, {}).setdefault(tuple(w[:2]), {}).setdefault(path, (set(), [], least))
+                node[0].add((d, text))
+                node[1].append(w)
+    for d, text in rows:
+        for i, x in enumerate((text or "").split("\n")):
+            w = mask(x)
+            for n, path, least in paths(w) if d is not None and text is not None else ():
+                found = tree[n][tuple(w[:2])][path][0]
+                if len(found) >= least and min(found)[1] != text:
+                    out.setdefault((d, text), set()).add(i)
+    found = sorted((" ".join(t if len(set(c)) == 1 else "<*>" for c in zip(*ws, strict=True) for t in c[:1]), len(docs)) for a in tree.values() for b in a.values() for docs, ws, least in b.values() if len(docs) >= least)
+    return {k: sorted(v) for k, v in out.items()}, set(dict(found).items())
+
+
+def test_lines_of_a_template_with_names_go(spark):
+    names = "Anna Bob Carla Dan Eve Frank Gina Hans Iris Jan Kim Leo".split()
+    rows = [(i, f"Hello dear {n} welcome back to the forum\nOnly {n} wrote this") for i, n in enumerate(names)]
     got = {r.doc_id: r for r in line_dedup.clean(frame(spark, rows)).collect()}
-    assert got[0].text == rows[0][1] and got[0].n_dropped == 0
-    assert all("Visit page" not in got[i].text and got[i].n_dropped == 1 and got[i].n_lines == 3 for i in range(1, 8))
-    assert all(got[100 + i].text == rows[8][1] for i in range(9)), "copies of a document are one context"
-    assert got[200].text is None and got[200].n_lines == 0 and got[201].text == "" and got[202].text == "a\n\na\n"
-    assert got[0].family == "clash"
+    assert got[0].n_dropped == 0 and got[0].n_lines == 2 and got[0].family == "clash"
+    assert all(got[i].text == f"Only {n} wrote this" and got[i].n_dropped == 1 for i, n in enumerate(names) if i)
+    shown = {(r.template, r.tokens, r.documents, r.first_doc) for r in line_dedup.templates(frame(spark, rows)).collect()}
+    assert shown == {("Hello dear <*> welcome back to the forum", 8, 12, 0)}
+
+
+def test_all_lines_of_a_shared_footer_go(spark):
+    footer = "All about our site\nWrite to us at any time\nThe terms of use apply here\nThank you for reading this"
+    rows = [(i, f"{chr(97 + i)} alone\n{footer}") for i in range(20)]
+    got = {r.doc_id: r.text for r in line_dedup.clean(frame(spark, rows)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"{chr(97 + i)} alone" for i in range(1, 20))
 
 
-def test_long_lines_need_fewer_contexts(spark):
+def test_a_refrain_of_one_document_stays(spark):
+    rows = [(1, "\n".join(f"sing the same song again\nverse {chr(97 + i)} is another one" for i in range(8))), (2, "something else entirely in here")]
+    assert {r.text for r in line_dedup.clean(frame(spark, rows)).collect()} == {t for _, t in rows}
+
+
+def test_long_lines_need_two_documents(spark):
     passage = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
-    rows = [(i, f"{chr(97 + i)} one two three\n{passage}\nthree two one {chr(97 + i)}") for i in range(3)]
-    got = {r.doc_id: r.n_dropped for r in line_dedup.clean(frame(spark, rows)).collect()}
-    assert got == {0: 0, 1: 1, 2: 1}
-
-
-def brute_lines(rows):
-    """Dropped lines by document: templates in five different texts, or in two from 20 tokens."""
-    mask = lambda x: " ".join("<*>" if re.search("[0-9@]", w) else w for w in re.findall(SPACE, x))
-    holders, out = {}, {}
-    for d, text in sorted(r for r in rows if r[1] is not None):
-        for i, x in enumerate(text.split("\n")):
-            holders.setdefault(mask(x), []).append((d, i, text))
-    for d, text in rows:
-        out[d] = []
-        for i, x in enumerate(text.split("\n") if text is not None else []):
-            tokens, found = len(mask(x).split()), holders[mask(x)]
-            enough = len({t for _, _, t in found}) >= (2 if tokens >= 20 else 5)
-            if tokens >= 3 and enough and (text, i) != (found[0][2], found[0][1]):
-                out[d].append(i)
-    return out
+    rows = [(i, f"{chr(97 + i)} one two three\n{passage}\nthree two one {chr(97 + i)}") for i in range(2)]
+    assert {r.doc_id: r.n_dropped for r in line_dedup.clean(frame(spark, rows)).collect()} == {0: 0, 1: 1}
 
 
-def test_lines_recur_by_documents(spark):
+def test_line_tree_equals_brute_force(spark):
     r = random.Random(12)
     long = [" ".join(f"v{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)) for k in range(3)]
-    passage = "\n".join(f"inner passage line {chr(97 + k)}" for k in range(4))
-    rows = [(i, f"{chr(97 + i)} alone at the start\n{passage}\n{chr(97 + i)} alone at the end") for i in range(7)]
-    rows += [(20 + i, f"the intro\n{long[0]}\n{long[1]}\nthe outro{chr(97 + i)}") for i in range(2)]
-    rows += [(30, "\n".join(f"only one document has this\nword {chr(97 + i)} comes between" for i in range(9))), (31, f"x\n{long[2]}\ny\n{long[2]}\nz\n{long[2]}")]
-    rows += [(40 + i, rows[0][1]) for i in range(3)] + [(50, None), (51, "")]
-    rows += [(60 + i, "\n".join(r.choice("abcdef") + " in some place" for _ in range(5))) for i in range(12)]
-    got = {x.doc_id: x.dropped for x in line_dedup.decisions(frame(spark, rows)).collect()}
-    want = brute_lines(rows)
-    assert got == {i: d for i, d in want.items() if d}
-    assert want[3] == [1, 2, 3, 4] and want[21] == [1, 2] and not want[30] and not want[31] and not want[40], "passages go; one document's own lines and exact copies stay"
+    rows = [(20 + i, f"the intro\n{long[0]}\n{long[1]}\nthe outro{chr(97 + i)}") for i in range(2)] + [(31, f"x\n{long[2]}\ny\n{long[2]}\nz\n{long[2]}")]
+    for i in range(60):
+        line = lambda n: " ".join(r.choice("abc" if r.random() < 0.7 else "abcdefgh7") for _ in range(n))
+        rows.append((40 + i, "\n".join(f"in some {line(r.randint(0, 10))}".rstrip() for _ in range(6))))
+    rows += [(200 + i, rows[10][1]) for i in range(3)] + [(50, rows[11][1])] * 2 + [(None, rows[12][1])] * 7 + [(300, None), (301, ""), (302, "a\n\na\n"), (303, "\n".join(f"line {k} of a very long text here" for k in range(3000)))]
+    rows += [(304 + i, f"\t{x}  in  some a b c\r") for i, x in enumerate("abcdef")]
+    want, shown = brute_tree(rows)
+    got = line_dedup.decisions(frame(spark, rows)).collect()
+    assert {(x.doc_id, tuple(x.dropped)) for x in got} == {(d, tuple(i)) for (d, _), i in want.items()} and len(want) >= 30
+    assert {(x.template, x.documents) for x in line_dedup.templates(frame(spark, rows)).collect()} == shown
+    whole = line_dedup.clean(frame(spark, rows)).collect()
+    assert len(whole) == len(rows)
+    cut = lambda d, t: t and "\n".join(y for k, y in enumerate(t.split("\n")) if k not in want.get((d, t), ()))
+    assert Counter((x.doc_id, x.text) for x in whole) == Counter((d, cut(d, t)) for d, t in rows)
 
 
 def test_clashing_columns(spark):

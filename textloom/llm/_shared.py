@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key held by more than 1/HEAVY of all rows is heavy, so there are fewer than HEAVY heavy keys.
-HEAVY = 2000
+#: A key held by more than 1/HEAVY of all rows is heavy, and so is one with more than HEAVY_ROWS rows, unless that
+#: could make more than MOST_HEAVY heavy keys.
+HEAVY, HEAVY_ROWS, MOST_HEAVY = 2000, 1_000_000, 100_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -41,12 +42,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, uid: Column) -> DataFrame:
     """left LEFT JOIN right USING (key), where right has unique keys and `weight` says how many left rows hold each.
 
-    Keys with more than total/HEAVY rows are fewer than HEAVY, so they are broadcast. Left rows of those keys go to
-    random partitions of the second, shuffled join instead of gathering in one. Output: the columns of left, then the
-    columns of right except key.
+    Heavy keys are fewer than MOST_HEAVY, so they are broadcast; right's rows must be of bounded size (numbers, hashes, short
+    names). Left rows of those keys go to random partitions of the second, shuffled join instead of gathering in one.
+    Output: the columns of left, then the columns of right except key.
     """
     payload = [c for c in right.columns if c != key]
-    bound = max(8, total // HEAVY)
+    bound = max(8, min(total // HEAVY, HEAVY_ROWS), total // MOST_HEAVY)
     heavy = right.filter(F.col(weight) > bound).select(key, *[F.col(c).alias(f"_h_{c}") for c in payload])
     # always 0, but not a constant that the optimizer would take out of the join's keys
     rest = right.filter(F.col(weight) <= bound).select(key, F.when(F.col(weight) > bound, -1).otherwise(0).alias("_salt"), *[F.col(c).alias(f"_r_{c}") for c in payload])

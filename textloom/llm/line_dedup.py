@@ -1,22 +1,28 @@
-r"""Line dedup by equal line templates, in built-in expressions only.
-
-A line's template has its white space collapsed and every field with a digit or an @ (numbers, dates, ids, addresses)
-replaced by <*>. Lines meet if their templates are equal; there is no tree that generalises templates, so other variable
-words make other templates. The key's node (token count, first `LEADING` tokens) only spreads the keys.
-By the rule `DOCUMENTS` (the default) a template recurs if enough different documents hold it: five, or two for
-a line of 20 tokens. Exact copies of a text count as one document and get the same decisions, so that the n-gram join
-still finds them equal; a line repeated in one document alone never recurs. By the rule `LIMITS`, a template recurs if it
-stands in enough different contexts, a context being the templates of the line before and the line after; it misses
-the inner lines of shared passages and counts contexts within one document. Lines under three tokens never recur.
-Recurring lines are dropped from all documents, but for the first one (smallest doc_id, then line).
-
-Counting has map-side combining and spreads a template over its documents (or contexts); the join back to lines broadcasts only the
-fewer than 2,000 templates that hold more than 1/2,000 of all lines, and salts their rows. The last join moves each
-text once. No step gathers the lines of a template.
-
-Defined results: a null text stays null, with no lines; an empty text has one empty line, which stays. Repeated lines of
-one document (or in one context) count once. Texts are told apart by 64 bits of hash. Repeated rows with one doc_id get the same decisions. An empty table gives an
-empty result. Extra columns are kept by clean() and shorten() and ignored by decisions().
+r"""Line dedup by a log-template tree of fixed depth, in built-in expressions only.
+
+A line's tokens are what white space separates; a token with a digit or an @ (numbers, dates, ids, addresses) is
+masked as <*>. The tree's levels are the token count, the first `LEADING` tokens, and, below them, which part of the
+line is left open: a line is filed under all of its tokens (nothing open), and under all but those of each of its
+`PARTS` quarters. So lines that agree on everything outside one quarter meet in one node however many words (names,
+cities, titles) differ inside it; templates() shows a node's positions whose tokens differ as <*>. Depth and the number
+of nodes a line is filed under are constants, and a node's lines agree on three quarters of their tokens.
+
+A node's template recurs if enough different documents hold it: five, or two where nothing is open and the line has 20
+tokens or more. Exact copies of a text count as one document and get the same decisions, so that the n-gram join still
+finds them equal; lines repeated within one document alone never recur. Lines of a recurring template are dropped from
+all documents but the first that holds it (the smallest doc_id), which stays as it is for that template; a line under
+several recurring templates is dropped if one of them began in another document. Lines under three tokens never recur,
+and only lines of `open_tokens` or more are filed with an open quarter.
+
+A document's distinct nodes are found within its row, so counting is one grouped count with map-side combining. The join
+back to lines broadcasts only the heaviest nodes and salts their rows (_shared.skew_join); the last join moves each
+text once. No step gathers the lines of a node.
+
+Defined results: a null text stays null, with no lines; an empty text has one empty line, which stays. Repeated rows
+count once and get equal decisions; rows with a null doc_id count for nothing and keep their text. Two documents with
+one doc_id are told apart by their text, texts and nodes by 63 and 64 bits of hash. Ties don't arise: the first document
+of a template is the smallest (doc_id, text hash). Very long texts are one row of hashes: 44 bytes a line. An empty table
+gives an empty result. Extra columns are kept by clean() and shorten() and ignored by decisions() and templates().
 """
 
 from __future__ import annotations
@@ -28,76 +34,104 @@ from pyspark.sql import functions as F
 
 from textloom.llm._shared import cut, skew_join
 
-LEADING = 3
+LEADING = 2
+PARTS = 4
+_PATHS = PARTS + 1
 
 
 @dataclass(frozen=True)
 class Limits:
     min_tokens: int = 3
     long_tokens: int = 20
-    contexts: int = 5
-    long_contexts: int = 3
-    #: A context is the whole document, so that contexts are counted as different documents.
-    documents: bool = False
+    open_tokens: int = 6
+    documents: int = 5
+    long_documents: int = 2
 
 
 LIMITS = Limits()
-DOCUMENTS = Limits(long_contexts=2, documents=True)
 
 
-def _lines(docs: DataFrame, limits: Limits) -> DataFrame:
-    """doc_id, i, tokens, key (the path in the tree), context of every line."""
+def _masked(text: Column) -> Column:
+    """The text's lines as arrays of masked tokens."""
     # both patterns begin only where they match: plain single spaces and words without a digit cost one look
-    t = F.regexp_replace(F.col("text"), r"(?:[\t\x0B\f\r]| (?=[ \t\x0B\f\r]))[ \t\x0B\f\r]*+", " ")
-    t = F.when(F.col("text").rlike("[0-9@]"), F.regexp_replace(t, r"(?<![^ \n])[^ \n0-9@]*+[0-9@][^ \n]*+", "<*>")).otherwise(t)
-    text = F.xxhash64("text") if limits.documents else F.lit(None).cast("long")
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_d"), F.transform(F.split(t, "\n", -1), lambda x: F.trim(x)).alias("_t"))
-    d = d.select("doc_id", "_d", "_t", F.transform("_t", lambda x: F.xxhash64(x)).alias("_h"))
-    d = d.select("doc_id", "_d", "_h", F.posexplode("_t").alias("i", "t"))
-    around = F.xxhash64(F.get("_h", F.col("i") - 1), F.get("_h", F.col("i") + 1))
-    d = d.select(
-        "doc_id", "i", "t", F.get("_h", F.col("i")).alias("leaf"), (F.col("_d") if limits.documents else around).alias("context"),
-        F.when(F.col("t") == "", 0).otherwise(F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1).alias("tokens"),
-    )
-    node = F.xxhash64(F.col("tokens"), F.substring_index("t", " ", LEADING))
-    return d.select("doc_id", "i", "tokens", F.struct(node.alias("node"), F.col("leaf")).alias("key"), "context")
-
-
-def recurring(lines: DataFrame, limits: Limits = DOCUMENTS) -> DataFrame:
-    """key, n (lines), contexts, first (doc_id, line and context) of the templates that recur; lines: those of min_tokens or more."""
-    by_context = lines.groupBy("key", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "i", "context")).alias("first"), F.max("tokens").alias("tokens")
-    )
-    found = by_context.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"), F.min("first").alias("first"), F.max("tokens").alias("tokens"))
-    return found.filter(F.col("contexts") >= F.when(F.col("tokens") >= limits.long_tokens, limits.long_contexts).otherwise(limits.contexts))
-
-
-def decisions(docs: DataFrame, limits: Limits = DOCUMENTS) -> DataFrame:
-    """doc_id, dropped: the numbers (from 0) of the lines to drop, of documents that have any."""
-    lines = cut(_lines(docs, limits).filter(F.col("tokens") >= limits.min_tokens))  # hashes and numbers only, for two uses
-    found = cut(recurring(lines, limits).select("key", "n", "first"))
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hit = skew_join(lines.select("doc_id", "i", "key", *(["context"] if limits.documents else [])), found, "key", "n", total, F.struct("doc_id", "i"))
-    # exact copies of the first document keep the line as well
-    hit = hit.filter("first is not null and " + ("struct(context, i) <> struct(first.context, first.i)" if limits.documents else "struct(doc_id, i) <> struct(first.doc_id, first.i)"))
-    return hit.groupBy("doc_id").agg(F.sort_array(F.collect_set("i")).alias("dropped"))
+    t = F.regexp_replace(text, r"(?:[\t\x0B\f\r]| (?=[ \t\x0B\f\r]))[ \t\x0B\f\r]*+", " ")
+    t = F.when(text.rlike("[0-9@]"), F.regexp_replace(t, r"(?<![^ \n])[^ \n0-9@]*+[0-9@][^ \n]*+", "<*>")).otherwise(t)
+    return F.transform(F.split(t, "\n", -1), lambda x: F.split(F.trim(x), " ", -1))
+
+
+def _paths(w: Column, limits: Limits) -> Column:
+    """The nodes of a line of masked tokens: all tokens, then all but each quarter's (null where nothing is open).
+
+    A node is 63 bits of hash; the lowest bit says that long_documents are enough.
+    """
+    n = F.size(w)
+    node = lambda h, flag: F.call_function("shiftleft", F.call_function("shiftright", h, F.lit(1)), F.lit(1)) + flag
+    paths = [node(F.xxhash64(F.lit(PARTS), n, w), F.when(n >= limits.long_tokens, 1).otherwise(0))]
+    for s in range(PARTS):
+        low = F.greatest(F.lit(LEADING), F.call_function("div", n * s + (PARTS - 1), F.lit(PARTS)).cast("int"))
+        high = F.call_function("div", n * (s + 1) + (PARTS - 1), F.lit(PARTS)).cast("int")
+        rest = node(F.xxhash64(F.lit(s), n, F.slice(w, F.lit(1), low), F.slice(w, high + 1, n)), F.lit(0))
+        paths.append(F.when((n >= limits.open_tokens) & (high > low), rest))
+    return F.array(*paths)
+
+
+def _filed(docs: DataFrame, limits: Limits) -> DataFrame:
+    """uid, doc_id, h (the text's hash), i (numbers of the lines that can recur), k (their nodes, _PATHS for each line)."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    filed = F.transform(_masked(F.col("text")), lambda w, i: F.when(F.size(w) >= limits.min_tokens, F.struct(i.alias("i"), _paths(w, limits).alias("k"))))
+    d = d.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("h"), F.array_compact(filed).alias("l"))
+    return d.select("uid", "doc_id", "h", F.col("l.i").alias("i"), F.flatten("l.k").alias("k")).filter(F.size("i") > 0)
+
+
+def recurring(filed: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """key, n (documents), most (its lines at most, copies included), first (doc_id and text hash) of the nodes whose templates recur."""
+    texts = filed.groupBy("h").agg(F.min(F.struct("doc_id", "uid")).alias("r"), F.count("*").alias("c")).select(F.col("r.uid").alias("uid"), "c")
+    each = filed.join(texts, "uid").select("doc_id", "h", (F.size("i") * F.col("c")).alias("c"), F.explode(F.array_distinct("k")).alias("key")).filter("key is not null")
+    found = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("c").alias("most"), F.min(F.struct("doc_id", "h")).alias("first"))
+    return found.filter(F.col("n") >= F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, limits.long_documents).otherwise(limits.documents))
+
+
+def decisions(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """doc_id, h (the text's hash), dropped: the numbers (from 0) of the lines to drop, of documents that have any."""
+    filed = cut(_filed(docs, limits))  # hashes and numbers only, for two uses
+    found = cut(recurring(filed, limits).select("key", "most", F.col("first.h").alias("first")))
+    total = found.agg(F.coalesce(F.sum("most"), F.lit(0))).first()[0]
+    lines = filed.select("uid", "doc_id", "h", F.inline(F.transform("k", lambda x, p: F.struct(F.get("i", F.call_function("div", p, F.lit(_PATHS)).cast("int")).alias("i"), x.alias("key")))))
+    hit = skew_join(lines.filter("key is not null"), found, "key", "most", total, F.struct("uid", "i")).filter("first is not null and first <> h")
+    return hit.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("i")).alias("dropped"))
+
+
+def templates(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """template (differing positions as <*>), tokens, documents, first_doc of the recurring nodes; nodes that show one template are one."""
+    filed = cut(_filed(docs, limits))
+    found = cut(recurring(filed, limits))
+    own = docs.select(F.posexplode(_masked(F.col("text").cast("string"))).alias("i", "w")).filter(F.size("w") >= limits.min_tokens)
+    own = own.select("w", F.explode(_paths(F.col("w"), limits)).alias("key")).filter("key is not null")
+    total = found.agg(F.coalesce(F.sum("most"), F.lit(0))).first()[0]
+    token = skew_join(own, found, "key", "most", total, F.col("w")).filter("n is not null").select("key", "n", "first", F.posexplode("w").alias("p", "t"))
+    place = token.groupBy("key", "n", "first", "p").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    word = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("<*>")
+    joined = place.groupBy("key", "n", "first").agg(F.sort_array(F.collect_list(F.struct("p", word.alias("t")))).alias("w"))
+    shown = joined.select(F.array_join("w.t", " ").alias("template"), F.size("w").alias("tokens"), "n", "first")
+    return shown.groupBy("template", "tokens").agg(F.max("n").alias("documents"), F.min("first.doc_id").alias("first_doc"))
 
 
 def _joined(docs: DataFrame, limits: Limits) -> tuple[DataFrame, Column, Column]:
     """docs with the decisions beside them, the shortened text and the dropped lines' numbers, under names of our own."""
-    d = decisions(docs, limits).select(F.col("doc_id").alias("__line_dedup_id"), F.col("dropped").alias("__line_dedup_dropped"))
+    d = decisions(docs, limits).select(F.col("doc_id").alias("__line_dedup_id"), F.col("h").alias("__line_dedup_text"), F.col("dropped").alias("__line_dedup_dropped"))
     dropped = F.col("__line_dedup_dropped")
     text = F.when(dropped.isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(dropped, i)), "\n"))
-    return docs.join(d, docs["doc_id"].cast("long") == d["__line_dedup_id"], "left"), text, dropped
+    same = (docs["doc_id"].cast("long") == d["__line_dedup_id"]) & (F.xxhash64(docs["text"]) == d["__line_dedup_text"])
+    return docs.join(d, same, "left"), text, dropped
 
 
-def shorten(docs: DataFrame, limits: Limits = DOCUMENTS) -> DataFrame:
+def shorten(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """docs with text shortened, in the given columns."""
     joined, text, _ = _joined(docs, limits)
     return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])
 
 
-def clean(docs: DataFrame, limits: Limits = DOCUMENTS) -> DataFrame:
+def clean(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """docs with text shortened, and the columns n_lines and n_dropped, in place of any so named."""
     joined, text, dropped = _joined(docs, limits)
     return joined.select(

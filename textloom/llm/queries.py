@@ -98,31 +98,28 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By contexts, as in its SQL."""
-    return line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.LIMITS)
-
-
-def op2_line_dedup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By different documents, as in the pipeline."""
     return line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+# The tree in SQL: a line's nodes are all of its tokens (s = 4), or all but those of quarter s; the first two stay.
 _OP2_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '[ \t\x0B\f\r]+', ' ', 'g'), '[^ \n]*[0-9@][^ \n]*', '<*>', 'g'), chr(10)) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(list_transform(ls, lambda x: trim(x, ' '))) AS t FROM d),
-c AS (
-  SELECT doc_id, i, t, CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) + 1 END AS tokens,
-         coalesce(lag(t) OVER w, chr(1)) || chr(0) || coalesce(lead(t) OVER w, chr(1)) AS context
-  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+u AS (SELECT text, min(doc_id) AS rep, any_value(ls) AS ls FROM d GROUP BY text),
+l AS (SELECT rep, unnest(range(0, len(ls))) AS i, unnest(list_transform(ls, lambda x: string_split(trim(x, ' '), ' '))) AS w FROM u),
+b AS (SELECT rep, i, w, len(w) AS n, unnest([0, 1, 2, 3, 4]) AS s FROM l WHERE len(w) >= 3),
+o AS (SELECT *, greatest(2, (s * n + 3) // 4) AS lo, ((s + 1) * n + 3) // 4 AS hi FROM b),
+k AS (
+  SELECT rep, i, n, s, CASE WHEN s = 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:lo], ' ') || chr(1) || array_to_string(w[hi + 1:], ' ') END AS key
+  FROM o WHERE s = 4 OR (n >= 6 AND hi > lo)),
 r AS (
-  SELECT t, min((doc_id, i)) AS first FROM c WHERE tokens >= 3
-  GROUP BY t HAVING count(DISTINCT context) >= CASE WHEN max(tokens) >= 20 THEN 3 ELSE 5 END),
-x AS (SELECT doc_id, list(i) AS dropped FROM c JOIN r USING (t) WHERE (doc_id, i) <> first GROUP BY doc_id)
+  SELECT n, s, key, min(rep) AS first FROM k GROUP BY n, s, key
+  HAVING count(DISTINCT rep) >= CASE WHEN s = 4 AND n >= 20 THEN 2 ELSE 5 END),
+x AS (SELECT rep, list(DISTINCT i) AS dropped FROM k JOIN r USING (n, s, key) WHERE rep <> first GROUP BY rep)
 SELECT doc_id,
-       CASE WHEN dropped IS NULL THEN text
-            ELSE coalesce(array_to_string(list_transform(list_filter(range(0, len(ls)), lambda k: NOT list_contains(dropped, k)), lambda k: string_split(text, chr(10))[k + 1]), chr(10)), '') END AS text,
-       CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped
-FROM d LEFT JOIN x USING (doc_id)
+       CASE WHEN dropped IS NULL THEN d.text
+            ELSE coalesce(array_to_string(list_transform(list_filter(range(0, len(d.ls)), lambda j: NOT list_contains(dropped, j)), lambda j: string_split(d.text, chr(10))[j + 1]), chr(10)), '') END AS text,
+       CAST(coalesce(len(d.ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped
+FROM d LEFT JOIN u ON d.text = u.text LEFT JOIN x ON u.rep = x.rep
 """
 
 
@@ -147,7 +144,6 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h L
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
-    "op2_line_dedup_documents": op2_line_dedup_documents,
     "op10_url_filters": op10_url_filters,
     "op3_toxicity": op3_toxicity,
     "op9_quality_classifier": op9_quality_classifier,
