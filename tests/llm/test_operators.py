@@ -148,10 +148,42 @@ def test_join_of_nothing(spark):
     assert [(r.doc_id, r.component_id) for r in ngram_join.join(frame(spark, rows)).collect()] == [(1, 1), (1, 1)]
 
 
-def test_hash_of_long_is_sparks(spark):
-    ids = [0, 5, -3, 1 << 40]
-    want = [r.h for r in spark.createDataFrame([(i,) for i in ids], "x long").coalesce(1).select(F.xxhash64("x").alias("h")).collect()]
-    assert ngram_join.xxhash64_long(np.array(ids)).tolist() == want
+def test_join_of_rows_repeated_across_partitions(spark):
+    """Doubled codes must make no link: four texts that are just under the similarity, one of them in every partition."""
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    rows = [(1, " ".join(words))]
+    for k in (2, 3, 4):
+        w = list(words)
+        for j in range(k, 120, 40):
+            w[j] = f"changed{k}"
+        w[60 + k : 60 + k] = [f"more{k}{chr(97 + x)}" for x in range(14)]
+        rows.append((k, " ".join(w)))
+    want = brute_join(rows)
+    assert all(c == i for i, (_, c) in want.items())
+    docs = frame(spark, rows + rows[:1] * 3, 4).unionByName(frame(spark, rows[:1]))
+    for r in ngram_join.join(docs).collect():
+        assert (r.n_shingles, r.component_id, r.n_links) == (*want[r.doc_id], 0)
+
+
+def test_join_of_one_id_with_two_texts(spark):
+    texts = [" ".join(chr(97 + i) * (1 + (i + k) % 3) for i in range(26)) for k in range(3)]
+    rows = [(1, texts[0]), (2, texts[0]), (1, texts[1]), (3, texts[1] + " end"), (4, texts[2])]
+    got = Counter((r.doc_id, r.component_id) for r in ngram_join.join(frame(spark, rows)).collect())
+    assert got == Counter([(1, 1), (2, 1), (1, 1), (3, 1), (4, 4)])
+
+
+def test_join_in_small_ranges_and_bands(spark):
+    """Many hash ranges, and a family over the bound whose sets have very different lengths."""
+    r = random.Random(4)
+    base = [f"{a}{b}" for a in "abcdefghijklm" for b in "nopqrstuvwxyz"]
+    rows = []
+    for i in range(60):
+        w = base[: r.randint(20, 169)]
+        w[r.randrange(len(w))] = f"x{chr(97 + i % 26)}{i // 26}"
+        rows.append((i, " ".join(w)))
+    want = brute_join(rows)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.join(frame(spark, rows), block_tokens=300, range_codes=100).collect()}
+    assert got == want and len({c for _, c in want.values()}) > 1
 
 
 def test_trie_finds_links_a_scan_finds():
@@ -350,7 +382,7 @@ def test_warc_round_trip(spark, tmp_path):
     big = "é" * 60 + "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n"
     rows = [(5, "http://a", big), (3, "http://b\r\nX: y", big), (9, None, big), (1, "u", None), (2, "u", ""), (4, "u", "small"), (6, "u", "small"), (7, "u", "z" * 100), (8, "u", "z" * 100), (10, "u", "z" * 99), (11, "u", "z" * 99)]
     path = str(tmp_path / "w")
-    warc.write(warc.plan(pages(spark, rows)), path, records_per_file=3)
+    warc.write(warc.plan(pages(spark, rows)), path, file_bytes=3 << 15)
     got = {r.page_id: r for r in warc.resolve(warc.read(spark, path)).collect()}
     assert len(got) == len(rows)
     for i, _, html in rows:
@@ -527,6 +559,41 @@ def test_tiling_equals_brute_force(spark):
     assert decontamination.matches(empty(spark), bench).count() == 0
 
 
+def test_rows_are_the_same_in_any_chunks(spark):
+    item = "one two three four five six seven eight"
+    rows = [(1, f"intro {item}"), (1, f"intro {item}"), (None, f"{item} end"), (2, None), (None, "nothing"), (3, "")]
+    bench = spark.createDataFrame([(1, item), (1, item), (2, "nine ten eleven twelve thirteen"), (3, "five six seven eight nine"), (4, item + " x y z")] * 3, "item_id long, text string")
+    key = lambda df: sorted(map(str, df.collect()))
+    whole = key(decontamination.matches(frame(spark, rows), bench))
+    assert len(whole) == 6 and sum("item_ids=[1, 4]" in r for r in whole) == 3
+    assert all(key(decontamination.matches(frame(spark, rows), bench, chunk_words=n)) == whole for n in (5, 40))
+    left = sorted(str(tuple(r)) for r in frame(spark, rows).collect() if r.text in (None, "", "nothing"))
+    assert all(sorted(str(tuple(r)) for r in decontamination.clean(frame(spark, rows), bench, chunk_words=n).collect()) == left for n in (5, 10**6))
+
+
+def test_tiles_without_listed_places():
+    r = random.Random(3)
+    for _ in range(120):
+        item, doc = ([r.choice("ab" if r.random() < 0.8 else "cd") for _ in range(r.randint(1, 40))] for _ in range(2))
+        got = {}
+        for most in (0, 10**6):
+            seeds = decontamination.SeedIndex([0], [" ".join(item).encode()], 3, most)
+            got[most] = list(seeds.covered([b"x y", " ".join(doc).encode()], 0.3))
+        want = brute_tiles(doc, item, 3)
+        assert got[0] == got[10**6] == ([(1, 0, want)] if want and want >= 0.3 * len(item) else [])
+
+
+def test_equal_words_without_end():
+    """Memory in proportion to the texts: 20,000 equal words against an item of 2,000 have 40 million places."""
+    import tracemalloc
+
+    seeds = decontamination.SeedIndex([1, 2], [b"word " * 2000, b"a b " * 1000], 5)
+    tracemalloc.start()
+    got = list(seeds.covered([b"word " * 20_000, b"a b " * 10_000], 0.5))
+    assert got == [(0, 0, 2000), (1, 1, 2000)] and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 # --- 8
 
 

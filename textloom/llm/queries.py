@@ -97,6 +97,23 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+# All pairs that share a shingle, and everything reachable by links.
+_OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * m >= 75 * (na + nb - m)),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT r.doc_id, g.b FROM reach r JOIN g ON r.c = g.a),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM g GROUP BY a)
+SELECT s.doc_id, CAST(len(any_value(sh)) AS BIGINT) AS n_shingles, min(c) AS component_id, CAST(coalesce(any_value(n_links), 0) AS BIGINT) AS n_links
+FROM s JOIN reach USING (doc_id) LEFT JOIN k ON s.doc_id = k.doc_id GROUP BY s.doc_id
+"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -153,4 +170,4 @@ QUERIES = {
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_rules": op8_quality_rules,
 }
-ORACLE_SQL = {"op4_warc": _OP4_SQL, "op2_line_dedup": _OP2_SQL, "op8_quality_rules": _OP8_SQL, "op10_url_filters": _OP10_SQL}
+ORACLE_SQL = {"op1_ngram_jaccard_join": _OP1_SQL, "op4_warc": _OP4_SQL, "op2_line_dedup": _OP2_SQL, "op8_quality_rules": _OP8_SQL, "op10_url_filters": _OP10_SQL}
