@@ -96,6 +96,15 @@ def shingle_hashes(words: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.nd
     return out, begin
 
 
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Karp-Rabin hashes of all runs of n words, from one running sum."""
+    _grow(len(words) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * _powers[: len(words)], out=sums[1:])
+        return (sums[n:] - sums[: len(sums) - n]) * _inverse[: max(len(sums) - n, 0)]
+
+
 def text_steps(batches: Iterator[pa.RecordBatch], size: int = STEP_BYTES) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, texts in UTF-8) of bounded size from batches of (id, text); a null text is empty."""
     for batch in batches:
