@@ -4,7 +4,9 @@ Words are runs of characters other than space and 0x09-0x0D. Every figure is com
 built-in expressions, so the plan is one scan and one projection whatever the size of the corpus.
 
 Defined results: a null or empty text has no words, all counts are 0, it fails the base rules and isn't kept. Repeated
-rows are judged one by one. An empty table gives an empty result. Extra columns are ignored.
+rows and null ids are judged one by one; there are no ties. Very long texts are counted whole, in memory in proportion to
+their words; windows are compared by 64 bits of hash. An empty table gives an empty result. Extra columns are ignored by
+judge() and kept by clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -62,26 +64,23 @@ def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         F.filter(F.split("_t", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
     )
     n = F.size("_words").cast("long")
-    # One long per 3-word window: its hash (as many bits as fit) above its position, so that equal windows are
-    # neighbours after sorting. 62 bits are shared: a window of a 500-word text has 53 bits of hash.
-    window = lambda i: F.coalesce(
-        F.pmod(F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)), F.expr("4611686018427387904 div size(_words)")) * n + i.cast("long"), F.lit(0).cast("long")
-    )
+    # A 3-word window is 64 bits of hash and its position, so that equal windows are neighbours after sorting.
+    window = lambda i: F.struct(F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i"))
     d = d.select(
         *keep, "word_chars", "n_symbols", "n_exclamations", "_words", n.alias("n_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("_words", lambda w: w.isin(*stop_words))).cast("long").alias("n_stop_words"),
-        F.when(n >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_words") - 3), window))).otherwise(F.array().cast("array<bigint>")).alias("_keys"),
+        F.when(n >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_words") - 3), window))).otherwise(F.array().cast("array<struct<h: bigint, i: int>>")).alias("_keys"),
     )
-    hashed = lambda k: F.call_function("div", k, F.col("n_words"))
+    near = lambda k, i: F.coalesce(F.get("_keys", i)["h"] == k["h"], F.lit(False))
     d = d.select(
         *keep, "n_words", "word_chars", "n_symbols", "n_exclamations", "n_lines", "n_dup_lines", "n_stop_words",
-        F.filter("_keys", lambda k, i: F.coalesce(hashed(F.get("_keys", i - 1)) == hashed(k), F.lit(False)) | F.coalesce(hashed(F.get("_keys", i + 1)) == hashed(k), F.lit(False))).alias("_repeated"),
+        F.filter("_keys", lambda k, i: near(k, i - 1) | near(k, i + 1))["i"].alias("_repeated"),
     )
-    d = d.withColumn("_at", F.sort_array(F.transform("_repeated", lambda k: k % F.col("n_words"))))
+    d = d.withColumn("_at", F.sort_array("_repeated"))
     gaps = F.aggregate(
-        F.zip_with(F.slice("_at", 2, F.greatest(F.size("_at") - 1, F.lit(0))), F.slice("_at", 1, F.greatest(F.size("_at") - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(3).cast("long"))),
+        F.zip_with(F.slice("_at", 2, F.greatest(F.size("_at") - 1, F.lit(0))), F.slice("_at", 1, F.greatest(F.size("_at") - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(3)).cast("long")),
         F.lit(3).cast("long"), lambda s, x: s + x,
     )
     return d.withColumn("n_repeat_words", F.when(F.size("_at") > 0, gaps).otherwise(F.lit(0).cast("long"))).drop("_at", "_repeated")
