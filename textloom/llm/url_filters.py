@@ -12,21 +12,24 @@ together take a few bytes per listed key however large the corpus is; the size i
 Only filter words come to the driver, never keys. Everything is built-in expressions.
 
 Defined results: a null URL, or one without ://, has an empty host and path, no rule, and the default verdict. Repeated
-rows are judged one by one. Empty tables give empty results. Extra columns are ignored.
+rows and null ids are judged one by one. Of fitting rules of equal length that with the longer host wins. Very long URLs
+are judged whole; a URL has as many candidate keys as its host has labels times the number of path lengths of rules. Empty
+tables and empty rule lists give empty results and the default verdict. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm._shared import cut
 
-#: Bytes of all levels at most.
-MAX_BYTES = 64 << 20
+#: Bytes of a level at most: about five million listed keys. A level goes into the plan as one literal.
+MAX_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -72,9 +75,13 @@ class Level:
     seed: int
     words: bytes
 
+    @cached_property
+    def literal(self) -> Column:
+        return F.lit(bytearray(self.words))
+
     def has(self, key: Column) -> Column:
         """Whether all of the key's bits are set."""
-        filter_ = F.lit(bytearray(self.words))
+        filter_ = self.literal
         found = F.lit(True)
         for p in positions(key, self.bits, self.hashes, self.seed):
             byte = F.conv(F.hex(F.substr(filter_, (F.call_function("div", p, F.lit(8)) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
@@ -138,7 +145,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, default: str = "all
     p = pages.select("page_id", host.alias("host"), path.alias("path"))
     p = p.withColumn("_keys", candidates("host", "path", lengths) if rules else F.array().cast("array<string>"))
     universe = cut(p.select(F.explode("_keys").alias("key")).distinct())
-    cascades = {v: build(spark.createDataFrame([(k,) for k in sorted({r.key for r in rules if r.verdict == v})], "key string"), universe) for v in ("block", "allow")}
+    keys = {v: sorted({r.key for r in rules if r.verdict == v}) for v in ("block", "allow")}
+    # rows made in the JVM, a thousand keys to an array
+    some = lambda own: spark.range(1).select(F.explode(F.array(*map(F.lit, own)).cast("array<string>")).alias("key"))
+    listed = lambda v: reduce(DataFrame.unionByName, [some(keys[v][i : i + 1000]) for i in range(0, max(len(keys[v]), 1), 1000)])
+    cascades = {v: build(listed(v), universe) for v in ("block", "allow")}
     verdict = lambda k: F.when(cascades["block"].lists(k), F.lit("block")).when(cascades["allow"].lists(k), F.lit("allow"))
     hit = F.get(F.filter(F.transform("_keys", lambda k: F.struct(k.alias("k"), verdict(k).alias("v"))), lambda x: x["v"].isNotNull()), F.lit(0))
     p = p.select("page_id", "host", "path", hit.alias("_hit"))
