@@ -7,12 +7,15 @@ are then written with fresh headers by Spark's text writer, a record per value,
 asks; payloads of revisits aren't written. read() parses archives record by record by Content-Length, streaming within a
 file, and resolve() joins revisits to their originals by record id.
 
-Files hold at most `records_per_file` records, so a reader's memory is bounded by that and the longest page.
+Spark's writer ends a file after a number of records, so payloads are written by size class (powers of two), each with
+as many records a file as make up `file_bytes`: a reader's memory is bounded by that and the longest page. A file is
+one gzip member, since the writer compresses files; records are found by reading a file from its start.
 
 Defined results: a null payload is empty; payloads under `min_bytes` are always responses. Equal payloads with the same
-page_id (repeated rows) are each a response or revisit of that page_id as the smallest id says. A null URL has no
-target header; control characters in URLs are percent-encoded. Empty tables give empty archives and results. Extra
-columns are ignored.
+page_id (repeated rows) are each a response or revisit of that page_id as the smallest id says; a null page_id never
+stands first, and has neither id nor reference in the archive. A null URL has no target header; control characters in
+URLs are percent-encoded. Very long payloads are written and read whole. Empty tables give empty archives and results.
+Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,10 @@ from pyspark.sql import functions as F
 from textloom.llm._shared import cut, skew_join
 
 MIN_BYTES = 100
-RECORDS_PER_FILE = 2000
+#: Payload bytes of a file; a larger payload is a file of its own.
+FILE_BYTES = 64 << 20
+#: Payloads up to 2 to this power share files; beyond, each power has files of its own.
+_SMALL = 15
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -77,8 +83,15 @@ def records(planned: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     return planned.select(F.concat(F.concat_ws(END, *headers), F.lit(END + END), block).alias("value"))
 
 
-def write(planned: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> None:
-    records(planned).write.option("lineSep", END + END).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+def write(planned: DataFrame, path: str, file_bytes: int = FILE_BYTES, compression: str = "gzip") -> None:
+    """Archives under path, a new folder."""
+    power = F.greatest(F.lit(_SMALL), F.ceil(F.log2(F.greatest("payload_bytes", F.lit(1).cast("long")))).cast("int"))
+    # at most about 16 classes; each job reads the pages' lengths, and hashes and joins those of its class
+    classes = sorted(r[0] for r in planned.select(power.alias("p")).distinct().collect()) or [_SMALL]
+    for p in classes:
+        own = planned.filter(power == p) if len(classes) > 1 else planned
+        out = records(own).write.mode("append").option("lineSep", END + END).option("compression", compression)
+        out.option("maxRecordsPerFile", max(1, file_bytes >> p)).text(path)
 
 
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -137,8 +150,8 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     return files.mapInArrow(_read(payloads), _ROWS + ", payload binary" * payloads)
 
 
-def resolve(rows: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to: revisits joined to their originals by record id."""
+def resolve(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, keep, payload_bytes, payload_digest, record_type, refers_to: revisits joined to their originals by record id."""
     rows = rows.withColumn("key", F.coalesce("refers_to_id", "record_id"))
     named = rows.filter(F.col("record_type") == "revisit").groupBy("key").agg(F.count("*").alias("n"))
     first = rows.filter(F.col("record_type") == "response").groupBy(F.col("record_id").alias("key")).agg(F.min(F.struct("page_id", "payload_bytes", "payload_digest")).alias("o"))
@@ -147,20 +160,29 @@ def resolve(rows: DataFrame) -> DataFrame:
     joined = skew_join(rows, originals, "key", "n", total, F.struct("page_id", "record_id"))
     revisit = F.col("record_type") == "revisit"
     return joined.select(
-        "page_id", F.when(revisit, F.col("o.payload_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        "page_id", *keep, F.when(revisit, F.col("o.payload_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("o.payload_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type", F.when(revisit, F.col("o.page_id")).alias("refers_to"),
     )
 
 
 def dedupe(spark: SparkSession, source: str, target: str, min_bytes: int = MIN_BYTES) -> None:
-    """Reads archives, whose revisits get their originals' payload back, and writes deduplicated ones with fresh headers."""
+    """Reads archives and writes deduplicated ones with fresh headers.
+
+    Who refers to whom follows from headers alone; a payload moves once, to the page that becomes the response. Payloads under min_bytes are
+    so short that they may be broadcast.
+    """
     rows = read(spark, source, payloads=True)
-    full = rows.filter(F.col("record_type") == "response")
-    asked = rows.filter(F.col("record_type") == "revisit").select("page_id", "url", "refers_to_id")
-    wanted = asked.groupBy("refers_to_id").agg(F.count("*").alias("n"))
-    found = cut(full.select(F.col("record_id").alias("refers_to_id"), "payload").join(wanted, "refers_to_id").dropDuplicates(["refers_to_id"]))
-    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    back = skew_join(asked, found, "refers_to_id", "n", total, F.struct("page_id", "url"))
-    pages = full.select("page_id", "url", "payload").unionByName(back.select("page_id", "url", "payload")).select("page_id", "url", F.col("payload").cast("string").alias("html"))
-    write(plan(pages, min_bytes), target)
+    heads = cut(resolve(rows.drop("payload"), ("url",)).select("page_id", "url", "payload_bytes", "payload_digest"))
+    held = rows.filter("record_type = 'response'").select("payload_digest", F.col("payload").cast("string").alias("payload")).dropDuplicates(["payload_digest"])
+    headers = heads.filter(F.col("payload_bytes") >= min_bytes)
+    originals = cut(headers.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")))
+    total = heads.count()
+    large = skew_join(headers, originals, "payload_digest", "n", total, F.struct("page_id", "url")).drop("n")
+    large = cut(large.withColumn("refers_to", F.when(F.col("original") != F.col("page_id"), F.col("original"))).drop("original"))
+    short = heads.filter(F.col("payload_bytes") < min_bytes)
+    counts = short.groupBy("payload_digest").agg(F.count("*").alias("n"))
+    small = skew_join(short, cut(counts.join(held, "payload_digest")), "payload_digest", "n", total, F.struct("page_id", "url")).withColumn("refers_to", F.lit(None).cast("long"))
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to"]
+    parts = [large.filter("refers_to is null").join(held, "payload_digest"), large.filter("refers_to is not null").withColumn("payload", F.lit("")), small]
+    write(parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2].select(*columns)), target)
