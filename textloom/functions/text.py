@@ -17,6 +17,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x computed once: an expression named within a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 def tokenize(x: Column | str) -> Column:
     """Lower-case ASCII letters and digits in runs."""
     return F.regexp_extract_all(F.lower(_c(x)), F.lit(TOKEN), F.lit(0))
@@ -67,7 +72,7 @@ def replace_unique(x: Column | str, old: str, new: str) -> Column:
 
 def truncate_evidence(x: Column | str, size: int = EVIDENCE) -> Column:
     c = _c(x)
-    return F.when(F.length(c) > size, F.concat(F.rtrim(F.substring(c, 1, size - 1)), F.lit("…"))).otherwise(c)
+    return F.when(F.length(c) > size, F.concat(F.regexp_replace(F.substring(c, 1, size - 1), r"(?U)\s+$", ""), F.lit("…"))).otherwise(c)
 
 
 def normalized(x: Column | str) -> Column:
@@ -75,14 +80,61 @@ def normalized(x: Column | str) -> Column:
     return F.lower(collapse(x))
 
 
+def folded(x: Column | str) -> Column:
+    """normalized(), and letters that differ in case only by length or place in a word (ß and ss, final sigma, ligatures) are equal."""
+    c = normalized(F.upper(_c(x)))
+    return F.replace(F.replace(c, F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
+
+
+def clip(x: Column | str, size: int = 1000) -> Column:
+    """The first characters; code points are never split."""
+    return F.substring(_c(x), 1, size)
+
+
+def bounded(items: Column | str, size: int = 16_000, each: int = 1000) -> Column:
+    """The leading items, each clipped, whose JSON array stays within a size."""
+    sized = F.transform(_c(items), lambda x: let(clip(x, each), lambda y: F.struct(y.alias("x"), (F.length(F.to_json(F.array(y))) - 1).alias("n"))))
+    # one pass: the running size of those kept so far, -1 once it was too much
+    start = F.struct(F.lit(2).alias("n"), F.array().cast("array<string>").alias("kept"))
+    step = lambda s, x: F.when((s["n"] < 0) | (s["n"] + x["n"] > size), F.struct(F.lit(-1).alias("n"), s["kept"].alias("kept"))).otherwise(F.struct((s["n"] + x["n"]).alias("n"), F.concat(s["kept"], F.array(x["x"])).alias("kept")))
+    return F.aggregate(sized, start, step)["kept"]
+
+
+def byte_range(data: Column | str, offset: int, length: int) -> Column:
+    """A slice of binary data as text between whole UTF-8 characters, or else in base64.
+
+    encoding, offset, length (of what is returned), total_bytes, more, text, data; null beyond the end.
+    """
+    c = _c(data)
+    total = F.octet_length(c)
+    raw = F.substr(c, F.lit(offset + 1), F.lit(length))
+    n = F.octet_length(raw)
+    byte = lambda i: F.conv(F.hex(F.substr(raw, i, F.lit(1))), 16, 10).cast("int")
+    follows = lambda i: F.coalesce((byte(i) >= 128) & (byte(i) < 192), F.lit(False))
+    lead = F.when(follows(F.lit(1)) & follows(F.lit(2)) & follows(F.lit(3)), 3).when(follows(F.lit(1)) & follows(F.lit(2)), 2).when(follows(F.lit(1)), 1).otherwise(0) if offset else F.lit(0)
+    back = F.when(follows(n) & follows(n - 1) & follows(n - 2), 3).when(follows(n) & follows(n - 1), 2).when(follows(n), 1).otherwise(0)
+    first = byte(n - back)
+    need = F.when(first >= 240, 4).when(first >= 224, 3).when(first >= 192, 2).otherwise(0)
+    cut = (F.lit(offset) + n < total) & (need > back + 1)
+    body = F.substr(raw, lead + 1, n - lead - F.when(cut, back + 1).otherwise(0))
+    text = F.try_validate_utf8(body.cast("string"))
+    size, at = F.when(text.isNotNull(), F.octet_length(body)).otherwise(n), F.when(text.isNotNull(), F.lit(offset) + lead).otherwise(F.lit(offset))
+    out = F.struct(
+        F.when(text.isNotNull(), "utf-8").otherwise("base64").alias("encoding"), at.cast("long").alias("offset"), size.cast("long").alias("length"), total.cast("long").alias("total_bytes"),
+        (at + size < total).alias("more"), text.alias("text"), F.when(text.isNull(), F.base64(raw)).alias("data"),
+    )
+    return F.when((F.lit(offset) < total) | (total == 0), out)
+
+
 def contains_evidence(body: Column | str, evidence: Column | str) -> Column:
     e = normalized(evidence)
     return (e != "") & normalized(body).contains(e)
 
 
-def escape_xml(x: Column | str) -> Column:
+def escape_xml(x: Column | str, quotes: bool = True, breaks: bool = False) -> Column:
+    """Text for XML or HTML; quotes too where it goes into an attribute, and line breaks and tabs in one of an XML file."""
     c = _c(x)
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), *[('"', "&quot;")] * quotes, *[("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#09;")] * breaks):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
@@ -184,8 +236,15 @@ def types_match(allowed: Column | str, actual: Column | str) -> Column:
 
 
 def renormalize(probabilities: Column | str, labels: list[str]) -> Column:
-    """A map's finite, non-negative entries of known labels, scaled to sum 1; null if nothing is left."""
+    """A map's finite, non-negative entries of known labels, scaled to sum 1; null if nothing is left.
+
+    Of two labels one may be missing: it gets the rest to 1.
+    """
     kept = F.map_filter(_c(probabilities), lambda k, v: k.isin(*labels) & (v >= 0) & (v < float("inf")) & ~F.isnan(v))
+    if len(labels) == 2:
+        rest = F.transform_values(kept, lambda k, v: 1 - v)
+        other = F.transform_keys(rest, lambda k, v: F.when(k == labels[0], labels[1]).otherwise(F.lit(labels[0])))
+        kept = F.when((F.size(kept) == 1) & (F.get(F.map_values(kept), 0) <= 1), F.map_concat(kept, other)).otherwise(kept)
     total = F.aggregate(F.map_values(kept), F.lit(0.0), lambda s, v: s + v)
     return F.when(total > 0, F.transform_values(kept, lambda k, v: v / total))
 

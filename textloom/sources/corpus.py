@@ -40,7 +40,7 @@ def pages(spark: SparkSession, root: str, skip_files: tuple[str, ...] = SEARCH_S
 def lint_pages(spark: SparkSession, root: str) -> DataFrame:
     """Parsed pages, unreadable ones kept with read_error."""
     f = decoded(files(spark, root)).filter(X.searchable("rel_path", LINT_SKIP_FILES, SKIP_DIRS))
-    return parse.parse_pages(f.select("rel_path", "content")).join(f.select("rel_path", F.col("content").isNull().alias("read_error")), "rel_path")
+    return parse.parse_pages(f.select("rel_path", "content", F.col("content").isNull().alias("read_error")))
 
 
 def parse_incremental(current: DataFrame, cache: DataFrame | None) -> DataFrame:
@@ -52,15 +52,34 @@ def parse_incremental(current: DataFrame, cache: DataFrame | None) -> DataFrame:
 
 
 def import_scan(raw: DataFrame, generated: tuple[str, ...] = ("index.md", "log.md")) -> DataFrame:
-    """rel_path, reason (null: importable) of files."""
+    """rel_path, reason (null: importable) of files. Rows may have the column link: symbolic links aren't imported."""
     d = decoded(raw)
+    link = F.coalesce(F.col("link"), F.lit(False)) if "link" in raw.columns else F.lit(False)
     reason = (
-        F.when(~F.lower("rel_path").endswith(".md"), "not_text").when(F.col("rel_path").isin(*generated), "generated").when(F.col("size") > MAX_FILE, "too_large")
+        F.when(link, "symlink").when(~F.lower("rel_path").endswith(".md"), "not_text").when(F.col("rel_path").isin(*generated), "generated").when(F.col("size") > MAX_FILE, "too_large")
         .when(F.col("content").isNull(), "not_utf8").otherwise(X.path_error("rel_path"))
     )
     return d.select("rel_path", "sha256", reason.alias("reason"))
 
 
+def raw_scan(spark: SparkSession, root: str) -> DataFrame:
+    """rel_path, size, sha256 of every file under a folder of sources, but for hidden ones."""
+    return files(spark, root, "*").filter(~F.exists(F.split("rel_path", "/"), lambda p: p.startswith("."))).select("rel_path", "size", "sha256")
+
+
+def snapshot_hash(listing: DataFrame) -> DataFrame:
+    """One row: files and the digest of a listing (rel_path, sha256), whatever its order."""
+    h = F.sha2(F.concat_ws("\0", "rel_path", "sha256"), 256)
+    parts = [F.sum(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")) for i in range(8)]
+    return listing.agg(F.count("*").alias("files"), F.sha2(F.concat_ws(":", *[F.coalesce(p, F.lit(0).cast("decimal(38,0)")).cast("string") for p in parts]), 256).alias("digest"))
+
+
+def compare_listings(a: DataFrame, b: DataFrame) -> DataFrame:
+    """rel_path, state of files that differ between two listings: removed, added or changed."""
+    j = a.select("rel_path", F.col("sha256").alias("_a")).join(b.select("rel_path", F.col("sha256").alias("_b")), "rel_path", "full_outer")
+    return j.filter("not (_a <=> _b)").select("rel_path", F.when(F.col("_b").isNull(), "removed").when(F.col("_a").isNull(), "added").otherwise("changed").alias("state"))
+
+
 def ontology(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
     """(node type rules, predicates) of an ontology in YAML: a configuration, so small."""
     import yaml
