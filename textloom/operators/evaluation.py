@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions import text as X
 
@@ -49,35 +53,44 @@ def best_threshold(scored: DataFrame, grid: tuple[float, ...] = GRID) -> DataFra
     return threshold_grid(scored, grid).orderBy(F.desc(F.round("f1", 9)), "threshold").limit(1)
 
 
-def auroc(scored: DataFrame) -> DataFrame:
-    """One row: auroc of (score, label), ties counting half.
+def _running(counted: DataFrame, value: str, amount: str, ranges: int = 1024) -> DataFrame:
+    """counted (distinct values, their amounts) with below: the sum of the amounts of all smaller values.
 
-    Counts by distinct score are summed first, so the running sum works on distinct scores and is dealt out by ranges of
-    the score: within each range a window, before each range the total of those below.
+    Values are dealt out by ranges: within each a window, before each the total of those below. The ranges come from the
+    values' quantiles, so they hold about as many values each.
     """
+    cuts = counted.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("_q"))  # one row
+    place = F.size(F.filter("_q", lambda q: q < F.col(value)))
+    g = counted.crossJoin(F.broadcast(cuts)).withColumn("_range", F.coalesce(place, F.lit(0))).drop("_q")
+    totals = g.groupBy("_range").agg(F.sum(amount).alias("_n"))
+    before = totals.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row per range
+    w = W.partitionBy("_range").orderBy(value)
+    return g.join(F.broadcast(before), "_range").withColumn("below", F.col("_before") + F.sum(amount).over(w) - F.col(amount)).drop("_range", "_before")
+
+
+def auroc(scored: DataFrame) -> DataFrame:
+    """One row: auroc of (score, label), ties counting half. Counts by distinct score come first."""
     g = scored.filter("score is not null").groupBy("score").agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
-    g = g.withColumn("_range", F.floor(F.col("score") * 1024))
-    ranges = g.groupBy("_range").agg(F.sum("n").alias("_n"))
-    below = ranges.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_below"))  # a row per range
-    w = W.partitionBy("_range").orderBy("score")
-    c = g.join(below, "_range").withColumn("_lower", F.col("_below") + F.sum("n").over(w) - F.col("n"))
-    t = c.agg(F.sum(F.col("p") * (F.col("_lower") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    t = _running(g, "score", "n").agg(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return t.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / F.col("p") / F.col("n")).alias("auroc"))
 
 
 def latencies(rows: DataFrame, value: str) -> DataFrame:
     """One row: the interpolated median, the nearest-rank 90th percentile at int(0.9 (n - 1)), and the mean."""
-    s = rows.filter(F.col(value).isNotNull())
-    counted = s.groupBy(value).agg(F.count("*").alias("c"))
-    n = s.agg(F.count("*").alias("_n"))
-    place = counted.withColumn("_to", F.sum("c").over(W.orderBy(value))).crossJoin(F.broadcast(n))
-    p90 = place.filter(F.col("_to") > F.floor(0.9 * (F.col("_n") - 1))).agg(F.min(value).alias("p90"))
-    return s.agg(F.percentile(value, 0.5).alias("p50"), F.avg(value).alias("mean")).crossJoin(F.broadcast(p90)).select("p50", "p90", "mean")
+    s = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    n = s.agg(F.sum("_c").alias("_n"), (F.sum(F.col(value) * F.col("_c")) / F.sum("_c")).alias("mean"))  # one row
+    place = _running(s, value, "_c").crossJoin(F.broadcast(n))
+    at = lambda k: F.min(F.when((F.col("below") <= k) & (F.col("below") + F.col("_c") > k), F.col(value)))
+    last = F.col("_n") - 1
+    one = place.agg(at(F.floor(last / 2)).alias("low"), at(F.ceil(last / 2)).alias("high"), at(F.floor(0.9 * last)).alias("p90"), F.min("mean").alias("mean"))
+    return one.select(((F.col("low") + F.col("high")) / 2).alias("p50"), "p90", "mean")
 
 
 def alternate_split(rows: DataFrame, key: str) -> DataFrame:
-    """rows with fold: tune and test in turns by key."""
-    return rows.withColumn("fold", F.when(F.row_number().over(W.orderBy(key)) % 2 == 1, "tune").otherwise("test"))
+    """rows with fold: tune and test in turns by key, a number. Keys are counted first, so no task sorts them all."""
+    order = _running(rows.groupBy(key).agg(F.count("*").alias("_c")), key, "_c").select(key, "below")
+    n = F.row_number().over(W.partitionBy(key).orderBy(F.lit(1))) + F.col("below")
+    return rows.join(order, key).withColumn("fold", F.when(n % 2 == 1, "tune").otherwise("test")).drop("below")
 
 
 def pass_totals(runs: DataFrame) -> DataFrame:
@@ -85,9 +98,153 @@ def pass_totals(runs: DataFrame) -> DataFrame:
     return runs.groupBy("split").pivot("variant", ["baseline", "candidate"]).agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("runs"))
 
 
-def accepted(totals: DataFrame, cost_ratio: Column, max_ratio: float) -> DataFrame:
-    better = F.col("candidate_passed") > F.col("baseline_passed")
-    return totals.withColumn("accepted", better & (cost_ratio <= max_ratio))
+def paired_regressions(runs: DataFrame) -> DataFrame:
+    """task, repeat of runs that the baseline passed and the candidate of the same task and repeat didn't."""
+    base = runs.filter("variant = 'baseline' and passed").select("task", "repeat")
+    return base.join(runs.filter("variant = 'candidate' and passed").select("task", "repeat"), ["task", "repeat"], "left_anti")
+
+
+def budgets(runs: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """metric, baseline, candidate, ratio_limit, passed of summed metrics; a sum with a missing value is null and passes nothing."""
+    total = lambda m, v: F.when(F.count_if((F.col("variant") == v) & F.col(m).isNull()) == 0, F.coalesce(F.sum(F.when(F.col("variant") == v, F.col(m))), F.lit(0)).cast("double"))
+    one = runs.agg(*[F.struct(F.lit(m).alias("metric"), total(m, "baseline").alias("baseline"), total(m, "candidate").alias("candidate"), F.lit(float(x)).alias("ratio_limit")).alias(m) for m, x in limits.items()])
+    r = one.select(F.explode(F.array(*limits)).alias("r")).select("r.*")
+    return r.withColumn("passed", F.coalesce(F.col("candidate") <= F.col("baseline") * F.col("ratio_limit"), F.lit(False)))
+
+
+def accepted(runs: DataFrame, limits: dict[str, float], better: str = "validation", no_worse: tuple[str, ...] = ("holdout",), critical: DataFrame | None = None) -> DataFrame:
+    """One row: accepted. The candidate passes more of one split, no less of others, keeps within the budgets, and no run
+    (of the critical tasks, if rows (task) are given) gets worse."""
+    t = pass_totals(runs)
+    lost = F.col("candidate_passed") < F.col("baseline_passed")
+    worse = t.agg(F.count_if((F.col("split") == better) & (F.col("candidate_passed") > F.col("baseline_passed"))).alias("up"), F.count_if(F.col("split").isin(*no_worse) & lost).alias("down"))
+    if critical is None:
+        regressions = paired_regressions(runs)
+    else:
+        per = runs.join(critical.select("task").distinct(), "task", "left_semi").groupBy("task")
+        regressions = per.agg(*[F.count_if((F.col("variant") == v) & F.col("passed")).alias(v) for v in ("baseline", "candidate")]).filter("candidate < baseline")
+    n = regressions.agg(F.count("*").alias("lost"))
+    b = budgets(runs, limits).agg(F.count_if(~F.col("passed")).alias("over")) if limits else n.select(F.lit(0).alias("over"))
+    return worse.crossJoin(n).crossJoin(b).select(((F.col("up") > 0) & (F.col("down") == 0) & (F.col("lost") == 0) & (F.col("over") == 0)).alias("accepted"))  # one row each
+
+
+def task_differences(runs: DataFrame) -> DataFrame:
+    """task, difference: the candidate's share of passed repeats less the baseline's. Repeats aren't tasks of their own."""
+    share = lambda v: F.avg(F.when(F.col("variant") == v, F.col("passed").cast("double")))
+    return runs.groupBy("task").agg((share("candidate") - share("baseline")).alias("difference"))
+
+
+def paired_report(runs: DataFrame, rounds: int = 10_000, seed: int = 0, alpha: float = 0.05, most: int = 2000) -> DataFrame:
+    """One row: tasks, accuracy_delta, the bootstrap interval over tasks (low, high), p_value of a sign flip test, positive_evidence.
+
+    Tasks are the few that an experiment runs; more than `most` are refused.
+    """
+    d = [r.difference for r in task_differences(runs).orderBy("task").limit(most + 1).collect()]
+    if not d or len(d) > most or None in d:
+        raise ValueError("tasks are missing, unpaired or too many")
+    spark = runs.sparkSession
+    mean = sum(d) / len(d)
+    b = bootstrap(spark, d, rounds, seed, 1 - alpha)
+    p = sign_flip_test(spark, d) if len(d) <= 16 else random_flips(spark, d, rounds, seed)
+    one = b.crossJoin(p).select(F.lit(len(d)).alias("tasks"), F.lit(mean).alias("accuracy_delta"), "low", "high", "p_value")  # one row each
+    return one.withColumn("positive_evidence", (F.col("accuracy_delta") > 0) & (F.col("low") > 0) & (F.col("p_value") < alpha))
+
+
+def random_flips(spark: SparkSession, differences: list[float], rounds: int = 10_000, seed: int = 0) -> DataFrame:
+    """One row: the two-sided p-value of the mean under random sign flips."""
+    values = F.array(*[F.lit(float(d)) for d in differences])
+    total = F.aggregate(F.transform(values, lambda v, i: F.when(F.xxhash64(F.col("id"), i, F.lit(seed)) % 2 == 0, v).otherwise(-v)), F.lit(0.0), lambda s, x: s + x)
+    seen = abs(sum(differences))
+    return spark.range(rounds).agg(((F.count_if(F.abs(total) >= seen - 1e-12) + 1) / (F.count("*") + 1)).alias("p_value"))
+
+
+def ledger(calls: DataFrame) -> DataFrame:
+    """One row over calls (input_tokens, output_tokens, cost, failed): calls, tokens, cost_usd. A failed call, or one that
+    doesn't say, makes the sum it belongs to null."""
+    said = lambda *c: F.count_if(F.col("failed") | F.coalesce(*c).isNull()) == 0
+    tokens = F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))
+    return calls.agg(
+        F.count("*").alias("calls"), F.when(said("input_tokens", "output_tokens"), F.coalesce(F.sum(tokens), F.lit(0))).alias("tokens"),
+        F.when(said("cost"), F.coalesce(F.sum(F.col("cost").cast("decimal(20,6)")), F.lit(0)).cast("double")).alias("cost_usd"),
+    )
+
+
+def experiment_history(events: DataFrame) -> DataFrame:
+    """id, kind, status of experiments from their events (id, file, status, ord).
+
+    file: run (a run's inputs), record, proposal, inputs, evaluation, transition. A run has the status of its last record,
+    else incomplete; a proposal that of its transition, else of its first evaluation, else incomplete if it has inputs.
+    """
+    has = lambda f: F.count_if(F.col("file") == f) > 0
+    pick = lambda f, by: by(F.when(F.col("file") == f, F.col("status")), F.when(F.col("file") == f, F.col("ord")))
+    g = events.groupBy("id").agg(
+        has("run").alias("r"), has("proposal").alias("p"), pick("record", F.max_by).alias("record"), pick("transition", F.max_by).alias("t"), pick("evaluation", F.min_by).alias("e"), has("inputs").alias("i"),
+    )
+    status = F.when(F.col("r"), F.coalesce("record", F.lit("incomplete"))).otherwise(F.coalesce("t", "e", F.when(F.col("i"), "incomplete").otherwise("proposed")))
+    return g.filter("r or p").select("id", F.when(F.col("r"), "run").otherwise("proposal").alias("kind"), status.alias("status"))
+
+
+def suite_problems(tasks: DataFrame, files: DataFrame, splits: tuple[str, ...] = ("validation", "holdout")) -> DataFrame:
+    """problem, id of a task suite: tasks (id, split, question, answer_all, citations, abstain) against files (path).
+
+    duplicate_id, repeated_question (in any case), bad_split, no_question, no_checks (answerable, without answers or citations), missing_citation,
+    missing_split (id: the split).
+    """
+    problem = lambda df, name: df.select(F.lit(name).alias("problem"), F.col("id").cast("string").alias("id"))
+    more = lambda key: tasks.groupBy(key.alias("k")).agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n > 1 and k is not null and k <> ''")
+    bare = ~F.col("abstain") & ((F.coalesce(F.size("answer_all"), F.lit(0)) <= 0) | (F.coalesce(F.size("citations"), F.lit(0)) <= 0))
+    cited = tasks.select("id", F.explode("citations").alias("path")).join(files.select("path").distinct(), "path", "left_anti").select("id").distinct()
+    wanted = tasks.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, splits))).alias("split"))
+    parts = [
+        problem(more(F.col("id")), "duplicate_id"), problem(more(X.folded("question")), "repeated_question"), problem(tasks.filter(~F.coalesce(F.col("split").isin(*splits), F.lit(False))), "bad_split"),
+        problem(tasks.filter(F.coalesce(X.strip("question"), F.lit("")) == ""), "no_question"), problem(tasks.filter(F.coalesce(bare, F.lit(True))), "no_checks"), problem(cited, "missing_citation"),
+        problem(wanted.join(tasks.select("split").distinct(), "split", "left_anti").withColumn("id", F.col("split")), "missing_split"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def accuracy(answers: DataFrame, choice: str = "choice", truth: str = "relation") -> DataFrame:
+    """One row: the share of answered rows whose choice is right; null if none is answered."""
+    return answers.filter(F.col(choice).isNotNull()).agg(F.round(F.avg((F.col(choice) == F.col(truth)).cast("double")), 4).alias("accuracy"))
+
+
+def gate_report(pool: DataFrame, threshold: float, k: int = 5) -> DataFrame:
+    """variant (baseline, gated), fp_rate, recall, rows_read over pools (query, negative, rank, relevant, score).
+
+    Gated keeps rows whose score reaches the threshold; of either the first k rows of a query are read.
+    """
+    gated = pool.filter(F.col("score") >= threshold)
+    out = None
+    every = pool.groupBy("query").agg(F.first("negative").alias("negative"))
+    for name, rows in (("baseline", pool), ("gated", gated)):
+        first = rows.withColumn("_k", F.row_number().over(W.partitionBy("query").orderBy("rank"))).filter(F.col("_k") <= k)
+        got = first.groupBy("query").agg(F.count("*").alias("read"), F.max(F.col("relevant").cast("int")).alias("hit"))
+        j = every.join(got, "query", "left").fillna(0, ["read", "hit"])
+        rate = lambda c, when: F.avg(F.when(when, c.cast("double")))
+        one = j.agg(F.lit(name).alias("variant"), rate(F.col("read") > 0, F.col("negative")).alias("fp_rate"), rate(F.col("hit") > 0, ~F.col("negative")).alias("recall"), F.sum("read").alias("rows_read"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def binary_report(items: DataFrame, grid: tuple[float, ...] = GRID) -> DataFrame:
+    """part (tune, test, all, all_at_0.5), threshold, tp, fp, fn, precision, recall, f1, n over items (id, score, label).
+
+    The threshold is fitted on every other item in order of id, and reported on the others too; items without a score are left out.
+    """
+    ok = alternate_split(items.filter("score is not null"), "id")
+    best = best_threshold(ok.filter("fold = 'tune'"), grid).select("threshold")  # one row
+    actual = F.col("label") == 1
+
+    def part(rows: DataFrame, name: str, threshold: Column) -> DataFrame:
+        c = rows.crossJoin(F.broadcast(best)).withColumn("_t", threshold).agg(F.lit(name).alias("part"), F.max("_t").alias("threshold"), *counts(F.col("score") >= F.col("_t"), actual), F.count("*").alias("n"))
+        return with_prf(c)
+
+    fit = F.col("threshold")
+    parts = [part(ok.filter("fold = 'tune'"), "tune", fit), part(ok.filter("fold = 'test'"), "test", fit), part(ok, "all", fit), part(ok, "all_at_0.5", F.lit(0.5))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def sign_flip_test(spark: SparkSession, differences: list[float]) -> DataFrame:
@@ -127,6 +284,27 @@ def gate(pool: DataFrame, score: Column, threshold: float = 0.65, n: int = 5) ->
     return s.filter(F.col("probability").isNull() | (F.col("probability") >= threshold)).orderBy("rank").limit(n)
 
 
+def evidence_pairs(bodies: DataFrame, items: DataFrame, body_id: str, item_id: str) -> DataFrame:
+    """item_id, body_id of all evidence (item_id, evidence) that occurs in a body (body_id, body), ignoring case and white space.
+
+    A match's inner words are whole words of the body, so a body shares the first three of them: an equi join of ids on hashes of
+    three words, after which each candidate's body is looked at once. Evidence of under five words has too few; it is looked
+    for in every body, and broadcast only if it is short in all, too.
+    """
+    d = bodies.select(body_id, X.normalized("body").alias("_b"))
+    e = items.select(item_id, X.normalized("evidence").alias("_e")).filter("_e <> ''").withColumn("_w", F.split("_e", " "))
+    gram = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    heads = e.filter(F.size("_w") >= 5).select(item_id, gram(F.col("_w"), F.lit(1)).alias("_k"))
+    every = X.let(F.split("_b", " "), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: gram(w, i))))
+    grams = d.select(body_id, F.explode(every).alias("_k"))
+    pairs = grams.join(heads, "_k").select(item_id, body_id).distinct()
+    found = pairs.join(e.select(item_id, "_e"), item_id).join(d, body_id).filter(F.col("_b").contains(F.col("_e"))).select(item_id, body_id)
+    few = e.filter(F.size("_w") < 5).select(item_id, "_e").distinct()
+    size = few.agg(F.coalesce(F.sum(F.octet_length("_e")), F.lit(0))).first()[0]
+    short = d.join(F.broadcast(few) if size <= 1 << 20 else few, F.col("_b").contains(F.col("_e"))).select(item_id, body_id)
+    return found.unionByName(short).distinct()
+
+
 def check_evidence(rows: DataFrame, body: str, evidence: str, claim: str, threshold: float = 0.55) -> DataFrame:
     """supported, by quote or by the best sentence of the body (array column `sentences`)."""
     best = F.array_max(F.transform("sentences", lambda s: F.struct(overlap_score(claim, s).alias("p"), s.alias("sentence"))))
@@ -145,15 +323,121 @@ def contradiction_pairs(claims: DataFrame, n: int = 200) -> DataFrame:
     return a.join(b, "entity").filter("i < j and path_a <> path_b").orderBy("entity", "i", "j").limit(n)
 
 
+def shortlist(candidates: DataFrame, score: Column, threshold: float = 0.5, n: int = 30) -> DataFrame:
+    """The first n candidates (rank), one per page, by what a scorer says of them: probability, shortlisted, position.
+
+    Where a score is missing all keep their search order and nothing is shortlisted (failed_open).
+    """
+    s = candidates.orderBy("rank").limit(n).withColumn("probability", F.round(score, 4))
+    s = s.withColumn("failed_open", F.count_if(F.col("probability").isNull()).over(W.partitionBy()) > 0)  # at most n rows
+    s = s.withColumn("probability", F.when(~F.col("failed_open"), F.col("probability"))).withColumn("shortlisted", F.coalesce(F.col("probability") >= threshold, F.lit(False)))
+    return s.withColumn("position", F.row_number().over(W.orderBy(F.desc("probability"), "rank")))
+
+
+def contradictions(pairs: DataFrame, score: Column, threshold: float = 0.5) -> DataFrame:
+    """Pairs that a scorer holds to contradict each other, with contradicts and position; ties in the pairs' order."""
+    s = pairs.withColumn("contradicts", score).filter(F.col("contradicts") >= threshold)
+    return s.withColumn("position", F.row_number().over(W.orderBy(F.desc("contradicts"), "entity", "i", "j"))).withColumn("contradicts", F.round("contradicts", 4))
+
+
 def flag_untrusted(rows: DataFrame, score: Column, threshold: float = 0.7) -> DataFrame:
     return rows.withColumn("probability", score).filter(F.col("probability") >= threshold).withColumn("kind", F.lit("untrusted_text"))
 
 
+def grounded(verdicts: DataFrame, sources: DataFrame) -> DataFrame:
+    """id, grounded of verdicts (id, needs_evidence, evidence: array of (source, quote)) against sources (source, body).
+
+    Every quote must be in the text of the source it names; a verdict that needs evidence must have some.
+    """
+    e = verdicts.select("id", F.explode("evidence").alias("e")).select("id", "e.source", "e.quote")
+    good = F.coalesce((F.col("quote") != "") & F.col("body").contains(F.col("quote")), F.lit(False))
+    bad = e.join(sources.select("source", "body"), "source", "left").filter(~good).select("id").distinct().withColumn("_bad", F.lit(True))
+    enough = ~F.col("needs_evidence") | (F.coalesce(F.size("evidence"), F.lit(0)) > 0)
+    return verdicts.join(bad, "id", "left").select("id", (F.col("_bad").isNull() & enough).alias("grounded"))
+
+
+def _json_subset(expected, actual) -> bool:
+    """Whether actual has all that expected has: keys of objects, in lists an element for each."""
+    if isinstance(expected, dict):
+        return isinstance(actual, dict) and all(k in actual and _json_subset(v, actual[k]) for k, v in expected.items())
+    if isinstance(expected, list):
+        return isinstance(actual, list) and all(any(_json_subset(e, a) for a in actual) for e in expected)
+    return type(expected) is type(actual) and expected == actual
+
+
+def _artifact(kind: str | None, want: str | None, text: str | None) -> bool:
+    if kind == "absent" or text is None:
+        return kind == "absent" and text is None
+    try:
+        if kind == "text":
+            return text == json.loads(want)
+        if kind == "contains":
+            return all(s in text for s in json.loads(want))
+        have = [json.loads(x) for x in text.splitlines() if x.strip()] if kind == "jsonl_subset" else json.loads(text)
+        return have == json.loads(want) if kind == "json" else kind in ("json_subset", "jsonl_subset") and _json_subset(json.loads(want), have)
+    except (ValueError, TypeError):
+        return False
+
+
+@F.pandas_udf(T.BooleanType())
+def _artifact_udf(kind: pd.Series, want: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([_artifact(*x) for x in zip(kind, want, text, strict=True)], dtype=bool)
+
+
+def json_subset(expected: Column | str, actual: Column | str) -> Column:
+    """Whether one JSON text contains another at every level; unreadable ones don't."""
+    return _artifact_udf(F.lit("json_subset"), expected, actual)
+
+
+def artifact_checks(checks: DataFrame, files: DataFrame) -> DataFrame:
+    """checks (path, kind, equals in JSON) with passed, against files (path, content).
+
+    Kinds: text, contains, json, json_subset, jsonl_subset, absent.
+    """
+    j = checks.join(files.select("path", F.col("content").alias("_c")), "path", "left")
+    return j.withColumn("passed", _artifact_udf("kind", "equals", "_c")).drop("_c")
+
+
+def consolidate(patterns: DataFrame, updates: DataFrame, observed: DataFrame, iteration: int) -> tuple[DataFrame, DataFrame]:
+    """(patterns by id after the updates; updates refused). patterns: id, claim, scope, counterexamples, evidence, iteration, sources.
+
+    An update replaces the pattern of its id but keeps its sources. Its texts must say something, and its evidence name tasks (task) that were observed.
+    """
+    cited = updates.select("id", F.explode("evidence").alias("task")).join(observed.select("task").distinct(), "task", "left_anti").select("id").distinct().withColumn("_bad", F.lit(True))
+    blank = lambda c: F.coalesce(X.strip(c), F.lit("")) == ""
+    j = updates.join(cited, "id", "left")
+    wrong = F.col("_bad").isNotNull() | blank("claim") | blank("scope") | blank("counterexamples") | (F.coalesce(F.size("evidence"), F.lit(0)) <= 0) | F.col("id").isNull()
+    good = j.filter(~wrong).drop("_bad").withColumn("iteration", F.lit(iteration)).join(patterns.select("id", "sources"), "id", "left")
+    good = good.withColumn("sources", F.coalesce("sources", F.array().cast("array<string>"))).select(*patterns.columns)
+    return patterns.join(good.select("id"), "id", "left_anti").select(*patterns.columns).unionByName(good), j.filter(wrong).drop("_bad")
+
+
+def unseen(proposals: DataFrame, before: DataFrame, columns: list[str]) -> DataFrame:
+    """Proposals (ord) whose content is new: not among those before, and the first of equal ones."""
+    mark = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    new = proposals.withColumn("fingerprint", mark).join(before.select(mark.alias("fingerprint")).distinct(), "fingerprint", "left_anti")
+    return new.withColumn("_k", F.row_number().over(W.partitionBy("fingerprint").orderBy("ord"))).filter("_k = 1").drop("_k")
+
+
+def capture(records: DataFrame, kept: DataFrame) -> DataFrame:
+    """id, outcome, sha256 of experience records (id, task, verification, model, tools, scope, outcome, actions) against those kept (id, sha256).
+
+    stored, unchanged (the same content), conflict (an id's content never changes), or invalid.
+    """
+    text = lambda c: F.coalesce(X.strip(c), F.lit("")) != ""
+    body = F.to_json(F.struct(*sorted(records.columns)), {"ignoreNullFields": "false"})
+    ok = F.col("id").rlike(r"^[a-z0-9][a-z0-9-]*\z") & F.col("outcome").isin("success", "failure") & (F.size("actions") > 0) & F.forall("actions", text)
+    for c in ("task", "verification", "model", "tools", "scope"):
+        ok &= text(c)
+    j = records.select("id", F.coalesce(ok, F.lit(False)).alias("_ok"), F.sha2(body, 256).alias("sha256")).join(kept.select("id", F.col("sha256").alias("_s")), "id", "left")
+    return j.select("id", F.when(~F.col("_ok"), "invalid").when(F.col("_s").isNull(), "stored").when(F.col("_s") == F.col("sha256"), "unchanged").otherwise("conflict").alias("outcome"), "sha256")
+
+
 def task_checks(answers: DataFrame) -> DataFrame:
     """passed of answers with the columns answer, answer_all, answer_none, citations, cited, abstain, abstained."""
-    a = X.normalized("answer")
-    every = F.forall("answer_all", lambda w: a.contains(X.normalized(w)))
-    none = ~F.exists("answer_none", lambda w: a.contains(X.normalized(w)))
+    a = X.folded("answer")
+    every = F.forall("answer_all", lambda w: a.contains(X.folded(w)))
+    none = ~F.exists("answer_none", lambda w: a.contains(X.folded(w)))
     cited = F.size(F.array_except("citations", "cited")) == 0
     same = F.col("abstain") == F.col("abstained")
     return answers.select("*", every.alias("has_all"), none.alias("has_none"), cited.alias("cites"), same.alias("abstains"), (every & none & cited & same).alias("passed"))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import links as L
+from textloom.operators.graph import first_k
 
 SOFT, HARD = 400, 800
 REQUIRED = ("type", "title", "tags", "created", "updated")
 STALE_DAYS, STALE_INBOUND = 90, 3
 # Phrases that begin with one of these are section headers, not names.
 HEADERS = ("Section", "Where", "Sources", "Tags", "Type", "Title")
-PHRASE = r"\b([A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+){0,3})\b"
+PHRASE = r"(?U)\b([A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+){0,3})\b"
 CATEGORIES = ("orphans", "broken_links", "oversized_hard", "oversized_soft", "missing_frontmatter", "malformed_frontmatter", "duplicate_slugs", "stale_pages", "suggested_pages", "read_errors")
 
 
@@ -22,8 +23,9 @@ def oversized(pages: DataFrame, soft: int = SOFT, hard: int = HARD) -> DataFrame
     return pages.select("rel_path", "line_count", c.alias("category")).filter("category is not null")
 
 
-def duplicate_slugs(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("slug").agg(F.sort_array(F.collect_set("rel_path")).alias("paths")).filter(F.size("paths") > 1)
+def duplicate_slugs(pages: DataFrame, most: int = 50) -> DataFrame:
+    """slug, n, paths (the first ones) of slugs that several pages have."""
+    return first_k(pages.select("slug", "rel_path").distinct(), ["slug"], ["rel_path"], most, "paths").filter("n > 1")
 
 
 def missing_fields(pages: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
@@ -56,7 +58,9 @@ def phrases(rows: DataFrame, text: str, page: str, at_least: int, known: DataFra
 
 
 def report(pages: DataFrame, today: str, suggest_min: int | None = None) -> DataFrame:
-    """All findings as rows (category, path, detail)."""
+    """All findings as rows (category, path, detail). Unreadable pages (read_error) are findings of that kind only."""
+    unreadable = pages.filter("read_error") if "read_error" in pages.columns else pages.limit(0)
+    pages = pages.filter("not read_error") if "read_error" in pages.columns else pages
     resolved = L.resolve(L.link_rows(pages), pages)
     row = lambda df, category, path, detail: df.select(F.lit(category).alias("category") if isinstance(category, str) else category.alias("category"), path.alias("path"), detail.cast("string").alias("detail"))
     parts = [
@@ -67,6 +71,7 @@ def report(pages: DataFrame, today: str, suggest_min: int | None = None) -> Data
         row(pages.filter("malformed"), "malformed_frontmatter", F.col("rel_path"), F.lit("")),
         row(duplicate_slugs(pages), "duplicate_slugs", F.get("paths", 0), F.array_join("paths", ",")),
         row(stale(pages, resolved, today), "stale_pages", F.col("rel_path"), F.col("age")),
+        row(unreadable, "read_errors", F.col("rel_path"), F.lit("not UTF-8")),
     ]
     if suggest_min is not None:
         known = pages.select(F.explode(F.array(F.lower("title"), F.lower(F.replace("slug", F.lit("-"), F.lit(" "))))).alias("name")).distinct()
@@ -79,10 +84,28 @@ def report(pages: DataFrame, today: str, suggest_min: int | None = None) -> Data
 
 def summary(findings: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """category, n, with zeros."""
-    names = findings.sparkSession.createDataFrame([(c,) for c in categories], "category string")
+    names = findings.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, categories))).alias("category"))
     return names.join(findings.groupBy("category").agg(F.count("*").alias("n")), "category", "left").fillna(0, ["n"])
 
 
+#: What a text report calls a category.
+LABELS = {
+    "orphans": "Pages that no page links to", "broken_links": "Links to no page", "oversized_hard": "Too long, to be split", "oversized_soft": "Long", "missing_frontmatter": "Frontmatter fields missing",
+    "malformed_frontmatter": "Frontmatter that does not end", "duplicate_slugs": "Several pages of one name", "stale_pages": "Much linked, but not updated", "read_errors": "Unreadable pages", "suggested_pages": "Names without a page",
+}
+
+
+def text_report(findings: DataFrame, most: int = 50) -> DataFrame:
+    """Lines (ord, value) of a report: per category with findings its label and number, the first of them, and how many more; sort by ord."""
+    g = first_k(findings.select("category", "path", F.coalesce("detail", F.lit("")).alias("detail")), ["category"], ["path", "detail"], most, "first")
+    place = F.create_map(*[x for i, c in enumerate(CATEGORIES) for x in (F.lit(c), F.lit(i))])[F.col("category")]
+    label = F.coalesce(F.create_map(*[x for c, v in LABELS.items() for x in (F.lit(c), F.lit(v))])[F.col("category")], F.col("category"))
+    items = F.transform("first", lambda x: F.concat(F.lit("  - "), x["path"], F.when(x["detail"] == "", "").otherwise(F.concat(F.lit(": "), x["detail"]))))
+    more = F.when(F.col("n") > most, F.array(F.concat(F.lit("  ... and "), F.col("n") - most, F.lit(" more")))).otherwise(F.array().cast("array<string>"))
+    lines = g.select(F.coalesce(place, F.lit(99)).alias("c"), F.posexplode(F.concat(F.array(F.concat(label, F.lit(" ("), "n", F.lit("):"))), items, more)).alias("i", "value"))
+    return lines.select((F.col("c") * 1000 + F.col("i")).alias("ord"), "value")
+
+
 def totals(pages: DataFrame) -> DataFrame:
     """One row of corpus statistics over (line_count, word_count, n_links)."""
     t = pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum("line_count"), F.lit(0)).alias("lines"), F.coalesce(F.sum("word_count"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("links"))

@@ -1,8 +1,9 @@
 """Ranked retrieval: BM25, vectors, reciprocal rank fusion, per-page caps.
 
-BM25 for a given query needs no inverted index: term frequencies of the query's terms are expressions over a row's
-tokens, the corpus statistics are one global aggregation (partial sums, one row), and the best rows come from a
-distributed top-k. Two narrow scans, no shuffle that grows. postings() builds an index for many queries.
+A single BM25 query needs no inverted index: term frequencies of its terms are expressions over a row's tokens, the
+corpus statistics are one global aggregation (partial sums, one row), and the best rows come from a distributed top-k.
+For many queries postings() is the index: one tokenization, kept in a folder per bucket of terms, so that a query reads
+the buckets of its own terms only and scores by one grouped sum over their postings.
 """
 
 from __future__ import annotations
@@ -63,21 +64,66 @@ def bm25(rows: DataFrame, text: str, query: str, where: Column | None = None, sc
     return hit.select(*rows.columns, score.alias("score")).filter("score > 0")
 
 
-def postings(rows: DataFrame, key: list[str], text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings: key, term, tf; document frequencies: term, df; statistics: n, avg_len) as tables to keep."""
-    t = rows.select(*key, X.tokenize(text).alias("tokens"))
-    # a row's terms are counted within the row, so nothing is shuffled for tf
-    each = t.select(*key, "tokens", F.explode(F.array_distinct("tokens")).alias("term"))
-    post = each.select(*key, "term", F.size(F.filter("tokens", lambda x: x == F.col("term"))).alias("tf"))
-    return post, post.groupBy("term").agg(F.count("*").alias("df")), t.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_len"))
+def term_counts(tokens: Column | str) -> Column:
+    """A row's (term, tf) of each of its terms: equal tokens are neighbours after sorting, so it is linear in the row."""
+
+    def runs(order: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(order) - 1), lambda i: (i == 0) | (F.get(order, i) != F.get(order, i - 1)))
+        return X.let(starts, lambda ps: F.transform(ps, lambda p, i: F.struct(F.get(order, p).alias("term"), (F.coalesce(F.get(ps, i + 1), F.size(order)) - p).alias("tf"))))
+
+    return F.when(F.size(tokens) > 0, X.let(F.sort_array(tokens), runs)).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+
+def postings(rows: DataFrame, key: list[str], text: str) -> tuple[DataFrame, DataFrame]:
+    """(postings: key, term, tf, dl; rows: key, dl) as tables to keep. Terms are counted within their row: nothing is shuffled."""
+    t = rows.select(*key, X.tokenize(text).alias("_t")).select(*key, F.size("_t").alias("dl"), term_counts("_t").alias("_r"))
+    return t.select(*key, "dl", F.inline("_r")).select(*key, "term", "tf", "dl"), rows.select(*key, F.size(X.tokenize(text)).alias("dl"))
+
+
+def bucket_of(term: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_postings(posts: DataFrame, path: str, buckets: int = 64) -> None:
+    """Postings in folders by bucket of the term, sorted by term: a query's terms prune folders, and row groups within."""
+    p = posts.withColumn("bucket", bucket_of("term", buckets))
+    # a frequent term's postings may be most of a bucket, so a bucket is dealt to several tasks
+    p.repartition("bucket", F.pmod(F.xxhash64(*[c for c in posts.columns if c not in ("term", "tf", "dl")]), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+
+
+def bm25_postings(posts: DataFrame, docs: DataFrame, key: list[str], query: str, allowed: DataFrame | None = None, scope: str = "filtered", buckets: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """key, score as bm25() gives them, from postings. allowed: the keys that may be found.
+
+    The query's terms are a handful: their postings are filtered, counted by term, and summed by key.
+    """
+    terms = tokens_of(query)
+    wanted = F.col("term").isin(*dict.fromkeys(terms)) if terms else F.lit(False)
+    if buckets is not None and terms:
+        spark = posts.sparkSession
+        ids = [r[0] for r in spark.range(1).select(F.explode(F.array(*map(F.lit, dict.fromkeys(terms)))).alias("t")).select(bucket_of("t", buckets)).distinct().collect()]
+        wanted &= F.col("bucket").isin(*ids)
+    hits = posts.filter(wanted).select(*key, "term", "tf", "dl")
+    among = docs
+    if allowed is not None and scope == "filtered":
+        hits, among = hits.join(allowed.select(*key), key, "left_semi"), docs.join(allowed.select(*key), key, "left_semi")
+    stats = among.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg"))  # one row
+    df = hits.groupBy("term").agg(F.count("*").alias("_df"))  # a row per query term
+    if allowed is not None and scope != "filtered":
+        hits = hits.join(allowed.select(*key), key, "left_semi")
+    times = F.lit(0)
+    for t in dict.fromkeys(terms):
+        times = F.when(F.col("term") == t, terms.count(t)).otherwise(times)
+    j = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))
+    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    length = 1 - b + b * F.when(F.col("_avg") > 0, F.col("dl") / F.col("_avg")).otherwise(F.lit(1.0))
+    part = times * idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * length)
+    return j.groupBy(*key).agg(F.sum(part).alias("score")).filter("score > 0")
 
 
 def document_frequencies(rows: DataFrame, text: str) -> DataFrame:
-    """term, df, cf: documents and places of every term."""
-    t = rows.select(X.tokenize(text).alias("tokens"))
-    one = t.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
-    each = t.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return one.join(each, "term")
+    """term, df, cf: documents and places of every term, by one aggregation of the rows' own counts."""
+    t = rows.select(X.tokenize(text).alias("_t")).select(F.inline(term_counts("_t")))
+    return t.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def top(scored: DataFrame, n: int, score: str = "score", *ties: str) -> DataFrame:

@@ -6,8 +6,13 @@ windowed query; applying commits is sequential by nature, and touches only the p
 
 from __future__ import annotations
 
+import datetime
 import difflib
+import functools
 import hashlib
+import itertools
+import operator
+import re
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -16,83 +21,182 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.functions import text as X
+from textloom.sources import parse
 
 VERSIONS = "seq long, path string, rev long, content string, sha256 string, deleted boolean"
 COMMITS = "seq long, author string, message string"
-# Limits of a commit.
-MAX_OPS, MAX_FILE, MAX_COMMIT = 200, 1_500_000, 4_000_000
+# Limits of a commit, its operations, and why one is refused.
+MAX_OPS, MAX_FILE, MAX_COMMIT, MAX_MESSAGE, EXCERPT = 200, 1_500_000, 4_000_000, 10_000, 2000
 OPS = ("create", "put", "upsert", "edit", "append", "delete", "move")
+REASONS = ("exists", "missing", "stale_base_rev", "edit_no_match", "edit_multiple_matches", "sha_mismatch")
+LOG = "log.md"
 
 
 class Conflict(Exception):
-    def __init__(self, path: str, reason: str):
-        super().__init__(f"{path}: {reason}")
-        self.path, self.reason = path, reason
+    """Why a commit is refused: path, reason, and in details what is there instead."""
+
+    def __init__(self, path: str, reason: str, **details):
+        super().__init__(f"{reason}: {path}")
+        self.path, self.reason, self.details = path, reason, {k: v for k, v in details.items() if v is not None}
 
 
 def _sha(s: str) -> str:
     return hashlib.sha256(s.encode()).hexdigest()
 
 
-def validate(ops: list[dict]) -> None:
-    """Shape and size checks before anything is read."""
+def _size(s: str) -> int:
+    return len(s.encode("utf-8", "surrogatepass"))
+
+
+def _paths(op: dict) -> list[str]:
+    return [op.get("from") or op.get("path"), op.get("to")] if op.get("op") == "move" else [op.get("path")]
+
+
+def _path_problem(path) -> str | None:
+    """X.path_error for one path on the driver."""
+    parts = path.split("/") if isinstance(path, str) else [""]
+    if path in (None, "") or "" in parts or "\\" in path or any(ord(c) < 32 or ord(c) == 127 for c in path) or _size(path) > 512:
+        return "not a path"
+    hidden = any(p.startswith(".") for p in parts) and not re.fullmatch(r"\.[a-z0-9-]+-template\.(md|json)", path)
+    return "not a path of pages" if hidden else None
+
+
+#: Texts that an operation must have, and which operations must say what they are based on.
+_TEXTS = {"create": ("content",), "put": ("content",), "upsert": ("content",), "append": ("text",)}
+_BASED = ("put", "delete", "move")
+
+
+def validate(ops: list[dict], message: str = "", log: str | None = None) -> None:
+    """Shape and size checks before anything is read. Raises ValueError."""
     if not 0 < len(ops) <= MAX_OPS:
         raise ValueError(f"a commit has 1 to {MAX_OPS} operations")
-    total = 0
-    for op in ops:
-        if op.get("op") not in OPS or not op.get("path"):
-            raise ValueError(f"not an operation: {op.get('op')!r} {op.get('path')!r}")
-        size = len((op.get("content") or op.get("new") or "").encode())
-        total += size
-        if size > MAX_FILE:
-            raise ValueError(f"{op['path']} is too large")
+    if _size(message) > MAX_MESSAGE:
+        raise ValueError("the message is too large")
+    total = _size(message) + _size(log or "")
+    for i, op in enumerate(ops):
+        kind = op.get("op")
+        if kind not in OPS:
+            raise ValueError(f"operation {i} is none: {kind!r}")
+        for path in _paths(op):
+            if problem := _path_problem(path):
+                raise ValueError(f"operation {i}: {problem}: {path!r}")
+        base, digest = op.get("base_rev"), op.get("expected_sha256")
+        if (kind in _BASED or base is not None) and (type(base) is not int or base < 0):
+            raise ValueError(f"operation {i} needs base_rev, a whole number")
+        if digest is not None and not re.fullmatch("[0-9a-f]{64}", digest):
+            raise ValueError(f"operation {i}: expected_sha256 is null or 64 hexadecimal digits")
+        texts = [op.get(name) for name in _TEXTS.get(kind, ())]
+        if kind == "edit":
+            pairs = op.get("edits")
+            if not pairs or not all(isinstance(p.get("old"), str) and p["old"] for p in pairs):
+                raise ValueError(f"operation {i} needs edits, each with an old text")
+            texts = [t for p in pairs for t in (p["old"], p.get("new"))]
+        for t in texts:
+            if not isinstance(t, str) or any(0xD800 <= ord(c) < 0xE000 for c in t):
+                raise ValueError(f"operation {i}: a text is missing or not valid")
+            if _size(t) > MAX_FILE:
+                raise ValueError(f"operation {i} is too large")
+            total += _size(t)
     if total > MAX_COMMIT:
         raise ValueError("the commit is too large")
 
 
+def _headings(lines: list[str]) -> list[tuple[int, int, str]]:
+    """(row, level, title in lower case) of the headings outside fences."""
+    fences = [x.strip()[:3] in ("```", "~~~") for x in lines]
+    inside = itertools.accumulate(fences, operator.xor)
+    found = [None if f or shut else re.match(r"(#{1,6})\s+(.+?)\s*#*\s*\Z", x) for x, f, shut in zip(lines, fences, inside, strict=True)]
+    return [(row, len(m[1]), m[2].strip().lower()) for row, m in enumerate(found) if m]
+
+
+def append_text(content: str, text: str, after_heading: str | None = None) -> str:
+    """content with text at its end, or at the end of the section with a heading (any case) if there is one."""
+    lines = content.split("\n")
+    heads = _headings(lines) if after_heading else []
+    own = [h for h in heads if h[2] == after_heading.lstrip("#").strip().lower()][:1]
+    if own:
+        row, level, _ = own[0]
+        end = min((r for r, n, _ in heads if r > row and n <= level), default=len(lines))
+        kept = max(i for i in range(row, end) if i == row or lines[i].strip()) + 1  # new lines come before the section's empty ones
+        return "\n".join(lines[:kept] + text.rstrip("\n").split("\n") + lines[kept:])
+    return (content.rstrip("\n") + "\n" if content else "") + (text if text.endswith("\n") else text + "\n")
+
+
 @dataclass
 class _State:
     """Working copy of the paths that a commit names: path -> (rev, content or None if absent)."""
 
     files: dict[str, tuple[int, str | None]]
+    versions: dict[tuple[str, int], str | None] = field(default_factory=dict)
     changed: dict[str, None] = field(default_factory=dict)
 
     def get(self, path: str) -> tuple[int, str | None]:
         return self.files.get(path, (0, None))
 
     def put(self, path: str, content: str | None) -> None:
-        rev, old = self.get(path)
-        if old != content:
-            self.files[path] = (rev, content)
-            self.changed.setdefault(path)
+        if content is not None and _size(content) > MAX_FILE:
+            raise ValueError(f"{path} would be larger than {MAX_FILE} bytes")
+        rev = self.get(path)[0]
+        self.files[path] = (rev + (path not in self.changed), content)
+        self.changed.setdefault(path)
+
+    def since(self, path: str, rev: int) -> str | None:
+        """What happened to a path since one of its revisions, as a diff."""
+        base = self.versions.get((path, rev))
+        return None if base is None else unified_diff(base, self.get(path)[1], names=(f"a/{path}@{rev}", f"b/{path}@{self.get(path)[0]}"))
+
+
+def _edited(state: _State, path: str, op: dict) -> str:
+    rev, text = state.get(path)
+    base = op.get("base_rev")
+    for pair in op["edits"]:
+        n = text.count(pair["old"])
+        if n == 0 or n > 1 and not pair.get("replace_all"):
+            at = text.find(pair["old"])
+            seen = text[:EXCERPT] if at < 0 else _around(text, at)
+            diff = state.since(path, base) if base not in (None, rev) else None
+            raise Conflict(path, REASONS[3] if n == 0 else REASONS[4], current_rev=rev, base_rev=base, diff=diff, current_excerpt=seen)
+        if _size(text) + n * (_size(pair["new"]) - _size(pair["old"])) > MAX_FILE:  # before the text is built
+            raise ValueError(f"{path} would be larger than {MAX_FILE} bytes")
+        text = text.replace(pair["old"], pair["new"])
+    return text
+
+
+def _around(text: str, at: int) -> str:
+    """The lines around a place, up to the headings before and after it."""
+    heads = [m.start() for m in re.finditer(r"(?m)^#{1,6}\s+\S", text)]
+    low, high = max([h for h in heads if h <= at], default=0), min([h - 1 for h in heads if h > at], default=len(text))
+    return text[low:high][:EXCERPT]
 
 
 def _apply(state: _State, op: dict) -> None:
-    kind, path = op["op"], op["path"]
+    kind, path = op["op"], _paths(op)[0]
     rev, old = state.get(path)
+    there = {"current_rev": rev, "current_excerpt": old[:EXCERPT]} if old is not None else {}
     if kind == "create" and old is not None:
-        raise Conflict(path, "exists")
-    if kind in ("put", "edit", "append", "delete", "move") and old is None:
-        raise Conflict(path, "missing")
-    if op.get("base_rev") is not None and op["base_rev"] != rev:
-        raise Conflict(path, "stale_rev")
-    if op.get("expected_sha256") is not None and (old is None or op["expected_sha256"] != _sha(old)):
-        raise Conflict(path, "sha_mismatch")
+        raise Conflict(path, "exists", **there)
+    if kind in ("put", "edit", "delete", "move") and old is None or kind == "append" and old is None and not op.get("create"):
+        raise Conflict(path, "missing", base_rev=op.get("base_rev"))
+    if kind in _BASED and op["base_rev"] != rev:
+        raise Conflict(path, "stale_base_rev", base_rev=op["base_rev"], diff=state.since(path, op["base_rev"]), **there)
+    if kind == "upsert" and "expected_sha256" in op:
+        want = op["expected_sha256"]
+        if want is None and old is not None:
+            raise Conflict(path, "exists", current_sha256=_sha(old), **there)
+        if want is not None and (old is None or want != _sha(old)):
+            raise Conflict(path, "sha_mismatch", current_sha256=old and _sha(old), **there)
     if kind in ("create", "put", "upsert"):
         state.put(path, op["content"])
     elif kind == "edit":
-        n = old.count(op["old"]) if op["old"] else 0
-        if n == 0 or n > 1 and not op.get("replace_all"):
-            raise Conflict(path, "no_match" if n == 0 else "ambiguous_match")
-        state.put(path, old.replace(op["old"], op["new"]))
+        state.put(path, _edited(state, path, op))
     elif kind == "append":
-        state.put(path, old + ("" if not old or old.endswith("\n") else "\n") + op["content"])
+        state.put(path, append_text(old or "", op["text"], op.get("after_heading")))
     elif kind == "delete":
         state.put(path, None)
     elif kind == "move":
-        if state.get(op["to"])[1] is not None:
-            raise Conflict(op["to"], "exists")
+        to_rev, to = state.get(op["to"])
+        if to is not None:
+            raise Conflict(op["to"], "exists", current_rev=to_rev, current_excerpt=to[:EXCERPT])
         state.put(op["to"], old)
         state.put(path, None)
 
@@ -112,19 +216,93 @@ def manifest(versions: DataFrame) -> DataFrame:
     return live(versions).select("path", "sha256")
 
 
-def commit(spark: SparkSession, versions: DataFrame, ops: list[dict], seq: int) -> DataFrame:
-    """The new versions of one commit, all or nothing; no rows if nothing changes. Raises Conflict."""
-    validate(ops)
-    paths = sorted({p for op in ops for p in (op["path"], op.get("to")) if p})
-    rows = latest(versions.filter(F.col("path").isin(*paths))).collect()  # at most two paths per operation
-    state = _State({r.path: (r.rev, None if r.deleted else r.content) for r in rows})
-    before = {p: state.get(p)[1] for p in paths}
-    for op in ops:
-        _apply(state, op)
-    out = [(seq, p, state.get(p)[0] + 1, state.get(p)[1], None if state.get(p)[1] is None else _sha(state.get(p)[1]), state.get(p)[1] is None) for p in state.changed if state.get(p)[1] != before.get(p)]
+def commit(spark: SparkSession, versions: DataFrame, ops: list[dict], seq: int, message: str = "", log: str | None = None, author: str = "", today: str | None = None) -> DataFrame:
+    """The new versions of one commit, all or nothing; no rows if nothing changes. Raises Conflict or ValueError.
+
+    log: a line for the log page, written in the same commit. A path's rev within the commit is the one it will get.
+    """
+    validate(ops, message, log)
+    if log and log.strip():
+        line = f"- {today or datetime.date.today().isoformat()} {author}: {re.sub(r'\s*[\r\n]+\s*', ' ', log).strip()}"
+        ops = [*ops, {"op": "append", "path": LOG, "text": line, "create": True}]
+    paths = sorted({p for op in ops for p in _paths(op)})
+    based = sorted({(p, op["base_rev"]) for op in ops if op.get("base_rev") is not None for p in _paths(op)[:1]})
+    own = versions.filter(F.col("path").isin(*paths))
+    rows = latest(own).collect()  # at most two paths per operation, and one revision
+    wanted = [(F.col("path") == p) & (F.col("rev") == r) for p, r in based]
+    bases = own.filter(functools.reduce(operator.or_, wanted)).select("path", "rev", "content").collect() if wanted else []
+    state = _State({r.path: (r.rev, None if r.deleted else r.content) for r in rows}, {(r.path, r.rev): r.content for r in bases})
+    before = dict(state.files)
+    for i, op in enumerate(ops):
+        try:
+            _apply(state, op)
+        except Conflict as e:
+            e.details["op_index"] = i
+            raise
+    out = []
+    for p in state.changed:
+        (rev, old), new = before.get(p, (0, None)), state.get(p)[1]
+        if new != old:
+            out.append((seq, p, rev + 1, new, None if new is None else _sha(new), new is None))
     return spark.createDataFrame(out, VERSIONS)
 
 
+def read(versions: DataFrame, paths: DataFrame, heading: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
+    """path, found, content of wanted paths (column path): the whole page, one section, or lines of either."""
+    have = live(versions).select("path", F.col("content").alias("_c"))
+    j = paths.select("path").join(have, "path", "left")
+    if heading:
+        j = j.withColumn("_s", parse.split_sections("_c")).withColumn("_c", F.when(F.col("_c").isNotNull(), parse.heading_section("_s", heading)))
+    lines = F.split("_c", "\n", -1)
+    first = max(1, start or 1)
+    if start is not None or end is not None:
+        j = j.withColumn("_c", F.array_join(F.slice(lines, F.lit(first), F.greatest(F.least(F.lit(end if end is not None else 1 << 30), F.size(lines)) - first + 1, F.lit(0))), "\n"))
+    return j.select("path", F.col("_c").isNotNull().alias("found"), F.col("_c").alias("content"))
+
+
+def listing(versions: DataFrame, prefix: str = "") -> DataFrame:
+    """path, rev, sha256, bytes of live pages under a prefix."""
+    v = live(versions.filter(F.col("path").startswith(prefix)) if prefix else versions)
+    return v.select("path", "rev", "sha256", F.octet_length("content").cast("long").alias("bytes"))
+
+
+def export_page(versions: DataFrame, after: str | None = None, n: int = 100) -> DataFrame:
+    """The next n (at most 500) live pages in path order after a cursor, with more: whether others follow."""
+    most = max(1, min(500, n))
+    v = live(versions if after is None else versions.filter(F.col("path") > after))
+    page = v.orderBy("path").limit(most + 1).withColumn("_k", F.row_number().over(W.orderBy("path")))
+    return page.withColumn("more", F.max("_k").over(W.partitionBy()) > most).filter(F.col("_k") <= most).drop("_k")
+
+
+def overview(versions: DataFrame, sections: DataFrame, flags: DataFrame) -> DataFrame:
+    """One row: seq, pages, bytes, sections, vector_lag (sections whose vec_state isn't confirmed), open_review_flags."""
+    v = latest(versions).agg(
+        F.max("seq").alias("seq"), F.count_if(~F.col("deleted")).alias("pages"), F.coalesce(F.sum(F.when(~F.col("deleted"), F.octet_length("content"))), F.lit(0)).cast("long").alias("bytes")
+    )
+    s = sections.agg(F.count("*").alias("sections"), F.count_if(F.col("vec_state") < 2).alias("vector_lag"))
+    f = review_queue(flags).agg(F.count_if(F.col("status") == "open").alias("open_review_flags"))
+    return v.crossJoin(F.broadcast(s)).crossJoin(F.broadcast(f))  # one row each
+
+
+def resolve_flags(events: DataFrame, ids: DataFrame, at: int, status: str = "resolved") -> DataFrame:
+    """The events that close open flags (column id): rows to append to the queue."""
+    open_ = review_queue(events, "open").join(ids.select("id").distinct(), "id", "left_semi")
+    return open_.withColumn("at", F.lit(at).cast(events.schema["at"].dataType)).withColumn("status", F.lit(status)).select(*events.columns)
+
+
+def register(known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, outcome of wanted names (id): created, kept (known before) or invalid."""
+    ok = F.col("id").rlike(r"^[a-z0-9][a-z0-9-]{0,62}\z")
+    j = wanted.select("id").distinct().join(known.select("id", F.lit(True).alias("_k")).distinct(), "id", "left")
+    return j.select("id", F.when(~F.coalesce(ok, F.lit(False)), "invalid").when(F.col("_k"), "kept").otherwise("created").alias("outcome"))
+
+
+def anything(*parts: DataFrame) -> bool:
+    """Whether any of the inputs has a row; each is looked at until its first."""
+    firsts = [p.select(F.lit(1).alias("x")).limit(1) for p in parts]
+    return not functools.reduce(DataFrame.unionAll, firsts).isEmpty()
+
+
 def as_of(versions: DataFrame, seq: int) -> DataFrame:
     """The live files after commit seq."""
     return live(versions.filter(F.col("seq") <= seq))
@@ -153,9 +331,23 @@ def changes(versions: DataFrame, since: int, n: int | None = None) -> DataFrame:
     return rows.join(F.broadcast(cut), F.col("seq") <= F.col("_last")).drop("_last")
 
 
-def unified_diff(old: str | None, new: str | None, context: int = 3) -> str:
+#: Changed lines beyond which a diff shows one replaced block.
+MAX_EDITS = 500
+
+
+def unified_diff(old: str | None, new: str | None, context: int = 3, names: tuple[str, str] = ("before", "after")) -> str:
+    """A unified diff by lines. Over MAX_EDITS changed lines what differs between the common beginning and end is one block."""
     a, b = (old or "").split("\n"), (new or "").split("\n")
-    return "\n".join(list(difflib.unified_diff(a, b, "before", "after", n=context, lineterm="")))
+    low = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    high = next((i for i, (x, y) in enumerate(zip(reversed(a[low:]), reversed(b[low:]), strict=False)) if x != y), min(len(a), len(b)) - low)
+    x, y = a[low : len(a) - high], b[low : len(b) - high]
+    if abs(len(x) - len(y)) <= MAX_EDITS:
+        out = list(difflib.unified_diff(a, b, *names, n=context, lineterm=""))
+        if sum(line[:1] in "+-" for line in out[2:]) <= MAX_EDITS:
+            return "\n".join(out)
+    lead, tail = a[max(0, low - context) : low], a[len(a) - high : len(a) - high + context]
+    head = f"@@ -{low - len(lead) + 1},{len(lead) + len(x) + len(tail)} +{low - len(lead) + 1},{len(lead) + len(y) + len(tail)} @@"
+    return "\n".join([f"--- {names[0]}", f"+++ {names[1]}", head, *(" " + t for t in lead), *("-" + t for t in x), *("+" + t for t in y), *(" " + t for t in tail)])
 
 
 @F.pandas_udf(T.StringType())
@@ -251,11 +443,3 @@ def stale_rows(current: DataFrame, indexed: DataFrame, key: list[str], digest: s
 def numbered(rows: DataFrame, by: str, *order: str) -> DataFrame:
     """rows with rev, counted from 1 within by."""
     return rows.withColumn("rev", F.row_number().over(W.partitionBy(by).orderBy(*order)).cast("long"))
-
-
-def sha(column: str):
-    return F.sha2(F.col(column).cast("string"), 256)
-
-
-def size_of(column: str):
-    return F.octet_length(X.strip(column))
