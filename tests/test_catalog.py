@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from textloom.plans import catalog
+from textloom.plans import catalog, operations  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -19,24 +19,27 @@ def build(spark, commits):
 def log(spark):
     return build(spark, [
         [{"op": "create", "path": "a", "content": "one\ntwo"}, {"op": "create", "path": "b", "content": "x"}],
-        [{"op": "edit", "path": "a", "old": "two", "new": "2"}, {"op": "append", "path": "b", "content": "y"}],
-        [{"op": "move", "path": "b", "to": "c"}],
+        [{"op": "edit", "path": "a", "edits": [{"old": "two", "new": "2"}]}, {"op": "append", "path": "b", "text": "y"}],
+        [{"op": "move", "from": "b", "to": "c", "base_rev": 2}],
         [{"op": "upsert", "path": "a", "content": "one\n2"}],
-        [{"op": "delete", "path": "c"}],
+        [{"op": "delete", "path": "c", "base_rev": 1}],
     ])
 
 
 def test_versions(log):
     got = [(r.seq, r.path, r.rev, r.content) for r in log.orderBy("seq", "path").collect()]
-    assert got == [(1, "a", 1, "one\ntwo"), (1, "b", 1, "x"), (2, "a", 2, "one\n2"), (2, "b", 2, "x\ny"), (3, "b", 3, None), (3, "c", 1, "x\ny"), (5, "c", 2, None)]
+    assert got == [(1, "a", 1, "one\ntwo"), (1, "b", 1, "x"), (2, "a", 2, "one\n2"), (2, "b", 2, "x\ny\n"), (3, "b", 3, None), (3, "c", 1, "x\ny\n"), (5, "c", 2, None)]
 
 
 @pytest.mark.parametrize(
     "op, reason",
     [
-        ({"op": "create", "path": "a", "content": ""}, "exists"), ({"op": "put", "path": "zz", "content": ""}, "missing"), ({"op": "put", "path": "a", "content": "", "base_rev": 1}, "stale_rev"),
-        ({"op": "put", "path": "a", "content": "", "expected_sha256": "0"}, "sha_mismatch"), ({"op": "edit", "path": "a", "old": "zz", "new": ""}, "no_match"), ({"op": "edit", "path": "a", "old": "n", "new": ""}, None),
-        ({"op": "delete", "path": "c"}, "missing"), ({"op": "edit", "path": "a", "old": "", "new": "q"}, "no_match"),
+        ({"op": "create", "path": "a", "content": ""}, "exists"), ({"op": "put", "path": "zz", "content": "", "base_rev": 0}, "missing"), ({"op": "put", "path": "a", "content": "", "base_rev": 1}, "stale_base_rev"),
+        ({"op": "upsert", "path": "a", "content": "", "expected_sha256": "0" * 64}, "sha_mismatch"), ({"op": "upsert", "path": "zz", "content": "", "expected_sha256": "0" * 64}, "sha_mismatch"),
+        ({"op": "upsert", "path": "a", "content": "", "expected_sha256": None}, "exists"), ({"op": "upsert", "path": "zz", "content": "", "expected_sha256": None}, None),
+        ({"op": "edit", "path": "a", "edits": [{"old": "n", "new": ""}, {"old": "zz", "new": ""}]}, "edit_no_match"), ({"op": "edit", "path": "a", "edits": [{"old": "n", "new": "nn"}, {"old": "n", "new": ""}]}, "edit_multiple_matches"),
+        ({"op": "edit", "path": "a", "edits": [{"old": "n", "new": "nn"}, {"old": "n", "new": "m", "replace_all": True}]}, None), ({"op": "delete", "path": "c", "base_rev": 2}, "missing"),
+        ({"op": "delete", "path": "a", "base_rev": 1}, "stale_base_rev"), ({"op": "move", "from": "a", "to": "new", "base_rev": 2}, "exists"), ({"op": "append", "path": "zz", "text": ""}, "missing"), ({"op": "append", "path": "zz", "text": "t", "create": True}, None),
     ],
 )
 def test_conflicts(spark, log, op, reason):
@@ -45,13 +48,75 @@ def test_conflicts(spark, log, op, reason):
         return
     with pytest.raises(St.Conflict) as e:
         St.commit(spark, log, [{"op": "create", "path": "new", "content": "n"}, op], 6)
-    assert e.value.reason == reason
+    assert e.value.reason == reason and reason in St.REASONS and e.value.details["op_index"] == 1
+
+
+def test_conflicts_say_what_is_there(spark, log):
+    def details(op):
+        with pytest.raises(St.Conflict) as e:
+            St.commit(spark, log, [op], 6)
+        return e.value.details
+
+    stale = details({"op": "put", "path": "a", "content": "", "base_rev": 1})
+    assert (stale["current_rev"], stale["base_rev"]) == (2, 1) and "--- a/a@1\n+++ b/a@2\n@@ " in stale["diff"] and "-two\n+2" in stale["diff"]
+    edit = details({"op": "edit", "path": "a", "edits": [{"old": "absent", "new": ""}], "base_rev": 1})
+    assert "-two" in edit["diff"] and edit["current_excerpt"] == "one\n2"
+    assert "diff" not in details({"op": "edit", "path": "a", "edits": [{"old": "absent", "new": ""}]})
+    assert details({"op": "upsert", "path": "a", "content": "", "expected_sha256": None})["current_sha256"] == St._sha("one\n2")
+
+
+def test_log_line_and_appends(spark, log):
+    rows = St.commit(spark, log, [{"op": "create", "path": "s", "content": "s"}], 6, log="ingest | s\nmore", author="me", today="2024-01-02").collect()
+    assert {r.path: r.content for r in rows} == {"s": "s", "log.md": "- 2024-01-02 me: ingest | s more\n"}
+    assert St.append_text("# I\n\n## Concepts\n- a\n\n## Sources\n- s\n", "- b", "concepts") == "# I\n\n## Concepts\n- a\n- b\n\n## Sources\n- s\n"
+    assert St.append_text("```\n## A\n```\n## A\n### deep\nx\n\n", "y\n", "## a") == "```\n## A\n```\n## A\n### deep\nx\ny\n\n"
+    assert (St.append_text("", "t"), St.append_text("x\n\n", "t"), St.append_text("x", "t", "none")) == ("t\n", "x\nt\n", "x\nt\n")
 
 
 def test_bad_commits():
-    for ops in ([], [{"op": "fly", "path": "a"}], [{"op": "put", "path": "a", "content": "x" * 1_600_000}]):
+    bad = [
+        [], [{"op": "fly", "path": "a"}], [{"op": "create", "path": "a", "content": "x" * 1_600_000}], [{"op": "put", "path": "a", "content": ""}], [{"op": "delete", "path": "a"}], [{"op": "edit", "path": "a", "edits": []}],
+        [{"op": "edit", "path": "a", "edits": [{"old": "", "new": "x"}]}], [{"op": "create", "path": "a/../b", "content": ""}], [{"op": "create", "path": "/a", "content": ""}], [{"op": "create", "path": "a"}],
+        [{"op": "upsert", "path": "a", "content": "", "expected_sha256": "x"}], [{"op": "move", "from": "a", "base_rev": 1}], [{"op": "create", "path": "a", "content": "\ud800"}], [{"op": "create", "path": "a", "content": ""}] * 201,
+    ]
+    for ops in bad:
         with pytest.raises(ValueError):
             St.validate(ops)
+    with pytest.raises(ValueError):
+        St.validate([{"op": "create", "path": "a", "content": ""}], "m" * 20_000)
+
+
+def test_growing_edits_are_refused(spark):
+    v = St.commit(spark, spark.createDataFrame([], St.VERSIONS), [{"op": "create", "path": "a", "content": "x" * 1000}], 1)
+    with pytest.raises(ValueError):
+        St.commit(spark, v, [{"op": "edit", "path": "a", "edits": [{"old": "x", "new": "y" * 2000, "replace_all": True}]}], 2)
+
+
+def test_reading_and_listing(spark):
+    v = build(spark, [[{"op": "create", "path": "a/x", "content": "# H\none\n## Sub\ntwo\n# Z\nend"}, {"op": "create", "path": "a/y", "content": "é"}, {"op": "create", "path": "b", "content": ""}], [{"op": "delete", "path": "b", "base_rev": 1}]])
+    want = spark.createDataFrame([("a/x",), ("b",), ("none",)], "path string")
+    got = {r.path: (r.found, r.content) for r in St.read(v, want, heading="h").collect()}
+    assert got == {"a/x": (True, "# H\none\n## Sub\ntwo"), "b": (False, None), "none": (False, None)}
+    assert {r.content for r in St.read(v, want.limit(1), start=2, end=3).collect()} == {"one\n## Sub"}
+    assert {r.content for r in St.read(v, want.limit(1), heading="sub", start=2).collect()} == {"two"}
+    assert {(r.path, r.bytes) for r in St.listing(v, "a/").collect()} == {("a/x", 28), ("a/y", 2)} and St.listing(v).count() == 2
+    first = St.export_page(v, n=1).collect()
+    assert [(r.path, r.more) for r in first] == [("a/x", True)] and [(r.path, r.more) for r in St.export_page(v, "a/x", 1).collect()] == [("a/y", False)]
+    sections = spark.createDataFrame([(0,), (1,), (2,)], "vec_state int")
+    flags = spark.createDataFrame([("f", 1, "open"), ("f", 2, "resolved"), ("g", 1, "open")], "id string, at int, status string")
+    o = St.overview(v, sections, flags).first()
+    assert (o.seq, o.pages, o.bytes, o.sections, o.vector_lag, o.open_review_flags) == (2, 2, 30, 3, 2, 1)
+    closed = St.resolve_flags(flags, spark.createDataFrame([("g",), ("f",)], "id string"), 9)
+    assert [tuple(r) for r in closed.collect()] == [("g", 9, "resolved")]
+    out = St.register(spark.createDataFrame([("one",)], "id string"), spark.createDataFrame([("one",), ("two",), ("Bad",), (None,)], "id string"))
+    assert {r.id: r.outcome for r in out.collect()} == {"one": "kept", "two": "created", "Bad": "invalid", None: "invalid"}
+    assert St.anything(v.limit(0), v) and not St.anything(v.limit(0), flags.limit(0))
+
+
+def test_diff_of_many_lines_is_one_block():
+    a = "\n".join(["same"] + [f"old {i}" for i in range(700)] + ["end"])
+    d = St.unified_diff(a, a.replace("old", "new")).split("\n")
+    assert d[:4] == ["--- before", "+++ after", "@@ -1,702 +1,702 @@", " same"] and d[4] == "-old 0" and d[704] == "+new 0" and d[-1] == " end"
 
 
 def test_state_and_feed(log):
