@@ -354,6 +354,59 @@ def test_classifiers_hold_out_and_tell(spark, module, label, modulus, held):
     assert sum(r.predicted == truth[r.doc_id] for r in own) >= 0.95 * len(own)
 
 
+def test_toxicity_equals_dictionaries_of_ngrams(spark):
+    """The same classifier over plain sets of character n-grams."""
+    docs, labels = labelled(spark)
+    texts = {r.doc_id: lower(r.text) for r in docs.collect()}
+    y = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in texts and r.toxic is not None}
+    train = [i for i in sorted(y) if zlib.crc32(str(i).encode()) % 5]
+    grams = {i: {t[k : k + n] for n in toxicity.SIZES for k in range(len(t) - n + 1)} for i, t in texts.items()}
+    counts = [Counter(g for i in train if y[i] == c for g in grams[i]) for c in (0, 1)]
+    n = [sum(y[i] == c for i in train) for c in (0, 1)]
+    ratio = lambda g: np.log((counts[1][g] + 1) / (n[1] + 2)) - np.log((counts[0][g] + 1) / (n[0] + 2))
+    gain = lambda g: (counts[1][g] * (n[0] - counts[0][g]) - counts[0][g] * (n[1] - counts[1][g])) ** 2 / ((counts[0][g] + counts[1][g]) * (sum(n) - counts[0][g] - counts[1][g]) + 1)
+    kept = [g for g in set(counts[0]) | set(counts[1]) if counts[0][g] + counts[1][g] >= 3 and abs(ratio(g)) > toxicity.LEAST_RATIO]
+    kept = sorted(kept, key=lambda g: -gain(g))[: toxicity.KEPT]
+    x = np.array([[(g in grams[i]) * ratio(g) for g in kept] for i in train])
+    truth = np.array([y[i] for i in train])
+    weight = np.where(truth > 0, toxicity.TOXIC_WEIGHT, 1.0)
+    w, b = np.zeros(len(kept)), 0.0
+    for _ in range(4000):  # plain gradient steps
+        error = weight * (1 / (1 + np.exp(-(x @ w + b))) - truth) / weight.sum()
+        w, b = w - 0.05 * (x.T @ error + 1e-3 * w), b - 0.05 * error.sum()
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    want = {i: 1 / (1 + np.exp(-(sum(w[k] * ratio(g) for k, g in enumerate(kept) if g in grams[i]) + b))) for i in texts}
+    assert np.mean([abs(got[i] - want[i]) < 0.1 for i in texts]) > 0.97 and all((got[i] >= 0.5) == (want[i] >= 0.5) for i in texts if abs(want[i] - 0.5) > 0.1)
+
+
+def test_quality_rules_score_as_by_hand(spark):
+    docs, labels = labelled(spark)
+    model = quality_model.fit(docs, labels)
+    assert model.rules and all(model.weights)
+    stop = set(quality_rules.STOP_WORDS)
+    for r in quality_model.score(docs, model).collect():
+        t = next(x.text for x in docs.filter(F.col("doc_id") == r.doc_id).collect()) if r.doc_id in (0, 5, 9000, 9001) else None
+        if t is None and r.doc_id not in (9000,):
+            continue
+        words, lines = re.findall(SPACE, t or ""), [x for x in (t or "").split("\n") if re.search(SPACE, x)]
+        seen = Counter(zip(words, words[1:], words[2:], strict=False))
+        again = {p for i, k in enumerate(zip(words, words[1:], words[2:], strict=False)) if seen[k] > 1 for p in (i, i + 1, i + 2)}
+        n = max(len(words), 1)
+        x = np.array([[len(words), len(lines), sum(map(len, words)) / n, len(re.findall(r"[#*$%&|<>]", t or "")) / n, (t or "").count("!") / n, sum(w in stop for w in words) / n, len(again) / n, (len(lines) - len(set(lines))) / max(len(lines), 1), len(words) / max(len(lines), 1)]])
+        z = model.intercept + sum(w for rule, w in zip(model.rules, model.weights, strict=True) if rule.holds(x)[0])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_lasso_meets_its_conditions():
+    r = np.random.default_rng(1)
+    x = r.random((300, 12)) < 0.4
+    y = (x[:, 0] | x[:, 3]).astype(float)
+    weight = r.random(300) + 0.5
+    w, b = quality_model.lasso(x, y, weight, 0.01, 5000)
+    gradient = x.T @ (weight / weight.sum() * (1 / (1 + np.exp(-(x @ w + b))) - y))
+    assert np.all(np.abs(gradient[w == 0]) <= 0.0101) and np.allclose(gradient[w != 0], -0.01 * np.sign(w[w != 0]), atol=1e-4) and 0 < (w != 0).sum() < 12
+
+
 @pytest.mark.parametrize("module", [toxicity, quality_model])
 def test_classifiers_without_examples(spark, module):
     docs, labels = labelled(spark, 20)
@@ -440,14 +493,38 @@ def test_wrapped_and_adjoining_licenses(spark):
     assert [x.line for x in got[1].found] == [1] and [x.line for x in got[7].found] == [0, 3]
 
 
+def test_whole_license_texts(spark):
+    import textwrap
+
+    def wrap(t, n=70):
+        return "\n".join(textwrap.wrap(t, n))
+
+    mit, bsd = licenses._MIT_GRANT + licenses._MIT_REST, licenses._BSD_HEAD + licenses._BSD_TWO + licenses._BSD_THREE + licenses._BSD_END
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."
+    prose = "the grey heron stood in the shallow water of the lake and waited "
+    rows = [
+        (1, f"{wrap(mit)}\n{wrap(bsd)}"), (2, wrap(mpl, 40)), (3, "// SPDX-License-Identifier: MIT\ncode"), (4, "# SPDX-License-Identifier: Apache-2.0"), (5, wrap(licenses._GNU.format("General Public License", "3"))), (6, wrap(licenses._ISC, 33)),
+        (7, wrap(licenses._BSD_HEAD + licenses._BSD_TWO + licenses._BSD_END)), (8, prose * 3000 + "Licensed under CC BY 4.0. " + prose * 3000 + "\n" + wrap(licenses._UNLICENSE)), (9, wrap(mit.replace("copyright notice", "copyright line"))), (9, "copyright law " * 3000),
+    ]
+    got = Counter((r.doc_id, tuple(r.licenses)) for r in licenses.scan(frame(spark, rows)).collect())
+    assert got == Counter([(1, ("BSD-3-Clause", "MIT")), (2, ("MPL-2.0",)), (3, ("MIT",)), (4, ("Apache-2.0",)), (5, ("GPL-3.0-or-later",)), (6, ("ISC",)), (7, ("BSD-2-Clause",)), (8, ("CC-BY-4.0", "Unlicense")), (9, ("MIT",)), (9, ())])
+
+
+def test_every_template_finds_itself():
+    scanner = licenses.Scanner()
+    for t in licenses.TEMPLATES:
+        assert [x[1] for first, b in licenses.blocks(t.text) for x in scanner.every(first, b)][:1] == [t.name], t.text
+
+
 def test_license_ranking_agrees_with_comparing_all(spark, sf):
     scanner = licenses.Scanner()
     for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect():
         for first, b in licenses.blocks(r.text or ""):
             for _, part in licenses._parts(first, b):
-                fits = [(sum(d), i) for i in range(len(scanner.templates)) if (d := scanner.differences(part, i)) is not None]
+                saved = {i: n for n, i in scanner.rank(part)}
+                fits = [(-saved[i], sum(d), i) for i in range(len(scanner.templates)) if (d := scanner.differences(part, i)) is not None]
                 best = scanner.best(part)
-                assert (best is None) == (not fits) and (best is None or best[1] + best[2] == min(fits)[0])
+                assert (best is None) == (not fits) and (best is None or (-best[3], best[1] + best[2], best[0]) == (*min(fits)[:2], scanner.templates[min(fits)[2]].name))
 
 
 # --- 6

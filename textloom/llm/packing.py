@@ -9,7 +9,9 @@ Tokens are found by white-space separated chunk, with a bounded cache per worker
 never looks across it, so a text's ids are its chunks' ids in order (tests compare whole texts).
 
 Defined results: a null text counts as empty, and an empty text is one piece holding the end id only. Repeated rows are
-separate documents; a null doc_id stays null. An empty table gives an empty result. Extra columns are ignored.
+separate documents; a null doc_id stays null. Pieces of equal length go in the order of their rows, and of equally tight
+bins the one last filled is taken. Very long texts are tokenized whole, chunk by chunk, and cut into many pieces. An empty
+table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ MERGE_ROWS = 1_000_000
 #: Partitions (then groups) whose underfull bins meet in one group of the next level.
 FAN_IN = 8
 #: Of about 200 bytes each, per Python worker; up to twice as many while older ones are dropped.
-_CACHE_ENTRIES = 700_000
+_CACHE_ENTRIES = 350_000
 _TRAILING = b".,;:!?|#*$%&"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill int"

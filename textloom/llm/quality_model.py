@@ -5,8 +5,10 @@ the root becomes a conjunctive rule, a lasso logistic regression weighs the rule
 compiled into one Spark column expression. Statistics and scores are built-in expressions: one scan, no shuffle.
 
 Defined results: null and empty texts have statistics 0 and are scored by the rules that fit those. Without examples of
-both classes the score is the share of good examples (0.5 without any). Repeated rows are scored one by one. An empty
-table gives an empty result. Extra columns are ignored.
+both classes the score is the share of good examples (0.5 without any). Repeated rows and null
+ids are scored one by one, null ids never held out; a score of 0.5 is predicted good. Very long texts are counted whole. Of
+splits of equal gain the first statistic's lowest threshold is taken. An empty table gives an empty result. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
