@@ -149,6 +149,33 @@ def test_mirror_and_classify(spark):
     assert s == {"b": "changed", "d": "removed", "e": "added"}
 
 
+def test_imports_go_on_where_they_stopped(spark):
+    row = lambda rows, schema: spark.createDataFrame(rows, schema)
+    local = row([("a", "A", "a1"), ("b", "B", "b2"), ("c", "C", "c1"), ("d", "D", "d1")], "path string, content string, sha256 string")
+    remote, done = row([("a", "a1"), ("b", "b1")], "path string, sha256 string"), row([("c", "c1"), ("d", "d0")], "path string, sha256 string")
+    todo, left = St.import_plan(local, remote, done)
+    assert {r.path for r in todo.collect()} == {"d"} and {r.path for r in left.collect()} == {"b"}
+    todo, left = St.import_plan(local, remote, done, overwrite=True)
+    assert {r.path for r in todo.collect()} == {"b", "d"} and left.count() == 0
+    assert {(r.path, r.state) for r in St.verify_import(local, remote).collect()} == {("b", "different"), ("c", "missing"), ("d", "missing")}
+
+
+def test_experiments(spark):
+    runs = spark.createDataFrame([(t, k, v, "validation" if t < 3 else "holdout", v == "candidate" or t == 0, 1.0) for t in range(5) for k in range(2) for v in ("baseline", "candidate")], "task int, repeat int, variant string, split string, passed boolean, cost double")
+    assert E.accepted(runs, {"cost": 1.0}).first().accepted and not E.accepted(runs, {"cost": 0.5}).first().accepted
+    worse = runs.withColumn("passed", F.when((F.col("task") == 0) & (F.col("variant") == "candidate"), F.lit(False)).otherwise(F.col("passed")))
+    assert not E.accepted(worse, {}).first().accepted and E.accepted(worse, {}, critical=spark.createDataFrame([(1,)], "task int")).first().accepted
+    assert {(r.task, r.repeat) for r in E.paired_regressions(worse).collect()} == {(0, 0), (0, 1)}
+    r = E.paired_report(runs, rounds=300).first()
+    assert r.tasks == 5 and r.accuracy_delta == pytest.approx(0.8) and r.low <= 0.8 <= r.high and r.p_value == pytest.approx(4 / 32)
+    assert 0 < E.random_flips(spark, [1.0] * 20, 500).first().p_value < 0.05
+    flagged = E.flag_untrusted(spark.createDataFrame([(0.9,), (0.2,)], "p double"), F.col("p"))
+    assert [(x.probability, x.kind) for x in flagged.collect()] == [(0.9, "untrusted_text")]
+    assert [x.fp_rate for x in E.false_positives(spark.createDataFrame([("a", 1), ("c", 9)], "query string, rank int"), spark.createDataFrame([("a",), ("b",), ("c",)], "query string")).collect()] == [pytest.approx(1 / 3)]
+    split = {x.k: x.fold for x in E.alternate_split(spark.range(100).select((F.col("id") * 3).alias("k")), "k").collect()}
+    assert all(split[3 * i] == ("tune" if i % 2 == 0 else "test") for i in range(100))
+
+
 def test_batches_are_bounded(spark):
     rows = spark.range(1000).select(F.format_string("p%04d", "id").alias("path"), (F.col("id") % 7).alias("size"))
     b = St.batches(rows, "path", "size", most=50, max_bytes=100).groupBy("batch").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()

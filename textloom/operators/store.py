@@ -421,6 +421,31 @@ def mirror(local: DataFrame, base: DataFrame, feed: DataFrame) -> tuple[DataFram
     return files, kept
 
 
+def apply_feed(local: DataFrame, base: DataFrame, feed: DataFrame, blocked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """mirror() but for paths that can't be written now (blocked: path): (files; edits kept aside; the feed's rows still to be applied)."""
+    wait = feed.join(blocked.select("path").distinct(), "path", "left_semi")
+    files, kept = mirror(local, base, feed.join(blocked.select("path").distinct(), "path", "left_anti"))
+    return files, kept, wait
+
+
+def import_plan(local: DataFrame, remote: DataFrame, done: DataFrame, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(what is still to be written, in batches; paths that differ and are left alone) of an import.
+
+    local: path, content, sha256; remote: path, sha256 as it is; done: path, sha256 that an earlier, broken-off run has written: what
+    it wrote as it is now isn't written again.
+    """
+    state = classify(local.select("path", "sha256"), remote)
+    wanted = state.filter(F.col("state").isin("new", "divergent") if overwrite else F.col("state") == "new").select("path")
+    todo = local.join(wanted, "path", "left_semi").join(done.select("path", "sha256"), ["path", "sha256"], "left_anti").withColumn("_size", F.octet_length("content").cast("long"))
+    return batches(todo, "path", "_size").drop("_size"), state.filter("state = 'divergent'").select("path") if not overwrite else state.filter("false").select("path")
+
+
+def verify_import(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """path, state of local files that the store doesn't have as they are: missing or different."""
+    j = local.select("path", F.col("sha256").alias("_a")).join(remote.select("path", F.col("sha256").alias("_b")), "path", "left")
+    return j.filter("not (_a <=> _b)").select("path", F.when(F.col("_b").isNull(), "missing").otherwise("different").alias("state"))
+
+
 def put_raw(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Immutable blobs: path, outcome (stored, unchanged, conflict) of incoming (path, sha256)."""
     j = incoming.join(existing.select("path", F.col("sha256").alias("_s")), "path", "left")

@@ -75,6 +75,43 @@ def snapshot_compare(spark, sf_dir):
     return corpus.compare_listings(old.unionByName(gone), d.select("rel_path", "sha256")).select(F.col("rel_path").cast("long").alias("doc_id"), "state")
 
 
+_IMPORT = f"""{_LIVE}, h AS (SELECT max(seq) // 2 AS h FROM vs),
+rm AS (SELECT path, sha256 FROM (SELECT vs.* FROM vs, h WHERE seq <= h QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1) WHERE NOT deleted)"""
+
+
+def _import(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(the live files, the manifest of half the log)."""
+    v = versions(spark, sf_dir)
+    half = table(spark, sf_dir, "events").agg(F.call_function("div", F.max("event_id"), F.lit(2))).first()[0]
+    return St.live(v).select("path", "content", "sha256"), St.as_of(v, half).select("path", "sha256")
+
+
+@query(f"WITH {_IMPORT} SELECT lv.path, 'write' AS part FROM lv LEFT JOIN rm USING (path) WHERE rm.path IS NULL OR rm.sha256 <> lv.sha256 UNION ALL SELECT lv.path, CASE WHEN rm.path IS NULL THEN 'missing' ELSE 'different' END FROM lv LEFT JOIN rm USING (path) WHERE rm.sha256 IS DISTINCT FROM lv.sha256")
+def import_steps(spark, sf_dir):
+    """What an overwriting import writes, and what a check before it finds."""
+    local, remote = _import(spark, sf_dir)
+    todo, _ = St.import_plan(local, remote, remote, overwrite=True)
+    return todo.select("path", F.lit("write").alias("part")).unionByName(St.verify_import(local, remote).select("path", F.col("state").alias("part")))
+
+
+@query(f"""WITH {_LIVE}, f AS (SELECT la.path, la.seq, deleted, t.content FROM la JOIN t USING (seq)), o AS (SELECT path, sha256 FROM la)
+SELECT 'file' AS part, path FROM f WHERE NOT deleted AND length(path) % 2 = 0 UNION ALL SELECT 'wait', path FROM f WHERE length(path) % 2 = 1""")
+def mirror_with_blocked(spark, sf_dir):
+    """A first synchronization of an empty mirror in which paths of odd length can't be written yet."""
+    feed = St.changes(versions(spark, sf_dir), -1).select("path", "content", "sha256", "deleted")
+    empty = feed.limit(0)
+    files, _, wait = St.apply_feed(empty.select("path", "content", "sha256"), empty.select("path", "sha256"), feed, feed.filter(F.length("path") % 2 == 1).select("path"))
+    return files.select(F.lit("file").alias("part"), "path").unionByName(wait.select(F.lit("wait").alias("part"), "path"))
+
+
+@query("SELECT user_id AS id, max(event_id) + 1000000 AS at FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) = 'click' AND user_id % 2 = 0")
+def review_resolve(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("at"), F.when(F.col("event_type") == "click", "open").otherwise("closed").alias("status"))
+    closed = St.resolve_flags(e, e.filter("id % 2 = 0").select("id"), 1)
+    now = St.review_queue(e).select("id", F.col("at").alias("last"))
+    return closed.join(now, "id").select("id", (F.col("last") + 1_000_000).alias("at"))
+
+
 # --- parts of pages
 
 
