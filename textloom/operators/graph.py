@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -252,8 +253,11 @@ def pages_of(files: DataFrame) -> DataFrame:
 
 
 def from_files(files: DataFrame, ontology: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(typed pages, nodes, edges, aliases) of Markdown pages (rel_path, content)."""
-    typed = node_types(pages_of(files), ontology)
+    """(typed pages, nodes, edges, aliases) of Markdown pages (rel_path, content).
+
+    The typed pages are persisted, since all the others read them: each page is parsed once. They have no bodies.
+    """
+    typed = node_types(pages_of(files), ontology).persist(StorageLevel.MEMORY_AND_DISK)
     nodes, slugs, aliases = build_nodes(typed)
     return typed, nodes, build_edges(typed, slugs, L.resolve(L.link_rows(typed), typed)), aliases
 

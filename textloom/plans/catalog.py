@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -622,6 +623,11 @@ def stream_changes(spark, sf_dir):
 # --- more of parsing, lint, graph building, sinks and merges
 
 
+def _lint(spark, sf_dir, suggest_min: int | None = None) -> DataFrame:
+    """Findings of the pages below. All of them read the parsed pages, which are persisted, so each is parsed once."""
+    return Lint.report(parse.parse_pages(_wiki_files(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK), "2024-06-01", suggest_min)
+
+
 def _wiki_files(spark, sf_dir) -> DataFrame:
     """Documents as Markdown pages with frontmatter, three links and the whole text; some unreadable, unclosed, of one name or long."""
     d = table(spark, sf_dir, "documents")
@@ -685,18 +691,18 @@ f AS (
 
 @query(f"{_FINDINGS} SELECT category, count(*) AS n FROM f GROUP BY category UNION ALL SELECT 'suggested_pages', least(30, count(*)) FROM ph")
 def lint_summary(spark, sf_dir):
-    return Lint.summary(Lint.report(parse.parse_pages(_wiki_files(spark, sf_dir)), "2024-06-01", 5))
+    return Lint.summary(_lint(spark, sf_dir, 5))
 
 
 @query(f"{_FINDINGS} SELECT category, path, count(*) AS n FROM f GROUP BY category, path")
 def lint_findings(spark, sf_dir):
-    return Lint.report(parse.parse_pages(_wiki_files(spark, sf_dir)), "2024-06-01").groupBy("category", "path").agg(F.count("*").alias("n"))
+    return _lint(spark, sf_dir).groupBy("category", "path").agg(F.count("*").alias("n"))
 
 
 @query(f"""{_FINDINGS}, g AS (SELECT category, count(*) AS n FROM f GROUP BY category)
 SELECT category, CAST(1 + least(n, 20) + CASE WHEN n > 20 THEN 1 ELSE 0 END AS BIGINT) AS n_lines, CASE WHEN n > 20 THEN '  ... and ' || (n - 20) || ' more' END AS last FROM g""")
 def lint_text_report(spark, sf_dir):
-    lines = Lint.text_report(Lint.report(parse.parse_pages(_wiki_files(spark, sf_dir)), "2024-06-01"), 20)
+    lines = Lint.text_report(_lint(spark, sf_dir), 20)
     c = F.element_at(F.array(*map(F.lit, Lint.CATEGORIES)), (F.floor(F.col("ord") / 1000) + 1).cast("int"))
     return lines.groupBy(c.alias("category")).agg(F.count("*").alias("n_lines"), F.max(F.when(F.col("value").startswith("  ... and "), F.col("value"))).alias("last"))
 
