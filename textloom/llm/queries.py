@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontamination, licenses, line_dedup, ngram_join, packing, quality_model, quality_rules, toxicity, url_filters, warc
+from textloom.llm import decontamination, fill_middle, language_id, licenses, line_dedup, ngram_join, packing, phrases, quality_model, quality_rules, toxicity, url_filters, warc
 from textloom.llm._shared import fresh_path
 from textloom.runtime import ship
 
@@ -158,6 +158,55 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h L
 """
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
+# All runs of words, counted; HUGEINT for the scores' products.
+_OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+s AS (SELECT lang, w, len(w) AS m, unnest(range(1, len(w) + 1)) AS i FROM p),
+k AS (SELECT lang, array_to_string(w[i:i + z - 1], ' ') AS phrase, z FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS z FROM s) WHERE i + z - 1 <= m),
+f AS (SELECT lang, phrase, any_value(z) AS z, count(*) AS a FROM k GROUP BY lang, phrase HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+c AS (SELECT lang, phrase, a, z, string_split(phrase, ' ') AS w, unnest(range(1, z)) AS q FROM f WHERE z >= 2),
+x AS (
+  SELECT c.lang, c.phrase, c.a, c.z, q, l.a AS l, r.a AS r, CAST(n.n AS BIGINT) AS n, CAST((1000::HUGEINT * c.a * n.n) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:q], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[q + 1:], ' ') JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, q) = 1),
+o AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.lang = b.lang AND g.z > b.z AND 100 * g.a >= 100 * b.a AND contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(_table(spark, sf_dir, "documents"))
+    output, restored = F.col("output"), fill_middle.restore(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(output.cast("binary"), 256).alias("output_sha256"), F.sha2(restored.cast("binary"), 256).alias("restored_sha256"))
+
+
+_OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || CAST(doc_id AS VARCHAR)) AS x FROM documents),
+h AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+         CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN doc_id IS NULL OR t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || t[1:a] || '<S>' || t[b + 1:] || '<M>' || t[a + 1:b] ELSE '<S>' || t[b + 1:] || '<P>' || t[1:a] || '<M>' || t[a + 1:b] END AS output FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(output) AS output_sha256, sha256(t) AS restored_sha256 FROM o
+"""
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_line_dedup": op2_line_dedup,
@@ -169,5 +218,8 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_quality_rules": op8_quality_rules,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_language_id": op13_language_id,
 }
-ORACLE_SQL = {"op1_ngram_jaccard_join": _OP1_SQL, "op4_warc": _OP4_SQL, "op2_line_dedup": _OP2_SQL, "op8_quality_rules": _OP8_SQL, "op10_url_filters": _OP10_SQL}
+ORACLE_SQL = {"op11_phrase_collocations": _OP11_SQL, "op12_fill_in_middle": _OP12_SQL, "op1_ngram_jaccard_join": _OP1_SQL, "op4_warc": _OP4_SQL, "op2_line_dedup": _OP2_SQL, "op8_quality_rules": _OP8_SQL, "op10_url_filters": _OP10_SQL}
