@@ -1,51 +1,57 @@
 r"""Line dedup by a log-template tree of fixed depth, in built-in expressions only.
 
 A line's tokens are what white space separates; a token with a digit or an @ (numbers, dates, ids, addresses) is
-masked as <*>. The tree's levels are the token count, the first `LEADING` tokens, and, below them, which part of the
-line is left open: a line is filed under all of its tokens (nothing open), and under all but those of each of its
-`PARTS` quarters. So lines that agree on everything outside one quarter meet in one node however many words (names,
-cities, titles) differ inside it; templates() shows a node's positions whose tokens differ as <*>. Depth and the number
-of nodes a line is filed under are constants, and a node's lines agree on three quarters of their tokens.
-
-A node's template recurs if enough different documents hold it: five, or two where nothing is open and the line has 20
-tokens or more. Exact copies of a text count as one document and get the same decisions, so that the n-gram join still
+masked as <*>. The tree's levels are the token count and the first `LEADING` tokens; such a node's lines are then
+generalised by the tokens that recur in it. A token is fixed at its place in a node if `documents` different documents
+have it there; all others are variable fields, however many a line has and wherever they stand behind the leading tokens
+(names, cities, titles; a field among the leading tokens parts the nodes, as in any tree of this kind).
+A line's template is its tokens with the variable ones as <*>. Since a field may have few values, each in many
+documents, a second template takes a token as fixed only if a `share` of the node's documents has it, too: the first
+keeps templates apart that share a node, the second joins values. A template needs `words` fixed words, and at least half
+of the line's words; apart from both, a line is filed under all of its tokens.
+
+A template recurs if enough different documents hold it: five, or two where it is the whole line and that has 20 tokens or
+more. Exact copies of a text count as one document and get the same decisions, so that the n-gram join still
 finds them equal; lines repeated within one document alone never recur. Lines of a recurring template are dropped from
 all documents but the first that holds it (the smallest doc_id), which stays as it is for that template; a line under
-several recurring templates is dropped if one of them began in another document. Lines under three tokens never recur,
-and only lines of `open_tokens` or more are filed with an open quarter.
+several recurring templates is dropped if one of them began in another document. Lines under three tokens never recur.
 
-A document's distinct nodes are found within its row, so counting is one grouped count with map-side combining. The join
-back to lines broadcasts only the heaviest nodes and salts their rows (_shared.skew_join); the last join moves each
-text once. No step gathers the lines of a node.
+A document's distinct nodes are found within its row, so counting them is one grouped count with map-side combining. Only lines
+of nodes with enough documents are looked at by token: a Bloom filter of those nodes, a literal of the plan, picks them where
+the texts are read (without it, beyond url_filters.MAX_BYTES, all lines are). All joins broadcast only the heaviest keys and salt
+their rows (_shared.skew_join); the last join moves each text once. No step gathers the lines of a node.
 
 Defined results: a null text stays null, with no lines; an empty text has one empty line, which stays. Repeated rows
 count once and get equal decisions; rows with a null doc_id count for nothing and keep their text. Two documents with
-one doc_id are told apart by their text, texts and nodes by 63 and 64 bits of hash. Ties don't arise: the first document
-of a template is the smallest (doc_id, text hash). Very long texts are one row of hashes: 44 bytes a line. An empty table
+one doc_id are told apart by their text, texts and nodes by 62 to 64 bits of hash. Ties don't arise: the first document
+of a template is the smallest (doc_id, text hash). Very long texts are one row of hashes: 20 bytes a line. An empty table
 gives an empty result. Extra columns are kept by clean() and shorten() and ignored by decisions() and templates().
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm import url_filters
 from textloom.llm._shared import cut, skew_join
 
 LEADING = 2
-PARTS = 4
-_PATHS = PARTS + 1
+#: Kinds of keys, in their lowest bits: whole lines, whole lines that two documents are enough for, nodes.
+_LINE, _LONG, _NODE = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Limits:
     min_tokens: int = 3
     long_tokens: int = 20
-    open_tokens: int = 6
     documents: int = 5
     long_documents: int = 2
+    share: float = 0.2
+    words: int = 3
 
 
 LIMITS = Limits()
@@ -59,61 +65,115 @@ def _masked(text: Column) -> Column:
     return F.transform(F.split(t, "\n", -1), lambda x: F.split(F.trim(x), " ", -1))
 
 
-def _paths(w: Column, limits: Limits) -> Column:
-    """The nodes of a line of masked tokens: all tokens, then all but each quarter's (null where nothing is open).
+def _key(kind: Column | int, *cols: Column) -> Column:
+    return F.call_function("shiftleft", F.call_function("shiftright", F.xxhash64(*cols), F.lit(2)), F.lit(2)) + kind
 
-    A node is 63 bits of hash; the lowest bit says that long_documents are enough.
-    """
-    n = F.size(w)
-    node = lambda h, flag: F.call_function("shiftleft", F.call_function("shiftright", h, F.lit(1)), F.lit(1)) + flag
-    paths = [node(F.xxhash64(F.lit(PARTS), n, w), F.when(n >= limits.long_tokens, 1).otherwise(0))]
-    for s in range(PARTS):
-        low = F.greatest(F.lit(LEADING), F.call_function("div", n * s + (PARTS - 1), F.lit(PARTS)).cast("int"))
-        high = F.call_function("div", n * (s + 1) + (PARTS - 1), F.lit(PARTS)).cast("int")
-        rest = node(F.xxhash64(F.lit(s), n, F.slice(w, F.lit(1), low), F.slice(w, high + 1, n)), F.lit(0))
-        paths.append(F.when((n >= limits.open_tokens) & (high > low), rest))
-    return F.array(*paths)
+
+def _node(w: Column) -> Column:
+    return _key(_NODE, F.lit(_NODE), F.size(w), F.slice(w, F.lit(1), F.lit(LEADING)))
+
+
+def _line(w: Column, limits: Limits) -> Column:
+    return _key(F.when(F.size(w) >= limits.long_tokens, _LONG).otherwise(_LINE), F.lit(_LINE), F.size(w), w)
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
 
 
 def _filed(docs: DataFrame, limits: Limits) -> DataFrame:
-    """uid, doc_id, h (the text's hash), i (numbers of the lines that can recur), k (their nodes, _PATHS for each line)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    filed = F.transform(_masked(F.col("text")), lambda w, i: F.when(F.size(w) >= limits.min_tokens, F.struct(i.alias("i"), _paths(w, limits).alias("k"))))
-    d = d.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("h"), F.array_compact(filed).alias("l"))
-    return d.select("uid", "doc_id", "h", F.col("l.i").alias("i"), F.flatten("l.k").alias("k")).filter(F.size("i") > 0)
+    """uid, doc_id, h (the text's hash), i (numbers of the lines that can recur), k and node (their keys)."""
+    filed = F.transform(_masked(F.col("text")), lambda w, i: F.when(F.size(w) >= limits.min_tokens, F.struct(i.alias("i"), _line(w, limits).alias("k"), _node(w).alias("node"))))
+    d = _source(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("h"), F.array_compact(filed).alias("l"))
+    return d.select("uid", "doc_id", "h", F.col("l.i").alias("i"), F.col("l.k").alias("k"), F.col("l.node").alias("node")).filter(F.size("i") > 0)
+
+
+def _texts(filed: DataFrame) -> DataFrame:
+    """uid of one row of each different text, copies (its rows)."""
+    texts = filed.groupBy("h").agg(F.min(F.struct("doc_id", "uid")).alias("r"), F.count("*").alias("copies"))
+    return texts.select(F.col("r.uid").alias("uid"), "copies")
 
 
 def recurring(filed: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """key, n (documents), most (its lines at most, copies included), first (doc_id and text hash) of the nodes whose templates recur."""
-    texts = filed.groupBy("h").agg(F.min(F.struct("doc_id", "uid")).alias("r"), F.count("*").alias("c")).select(F.col("r.uid").alias("uid"), "c")
-    each = filed.join(texts, "uid").select("doc_id", "h", (F.size("i") * F.col("c")).alias("c"), F.explode(F.array_distinct("k")).alias("key")).filter("key is not null")
+    """key, n (documents), most (its lines at most, copies included), first (doc_id and text hash) of lines that recur and of nodes with enough documents."""
+    each = filed.join(_texts(filed), "uid").select("doc_id", "h", (F.size("i") * F.col("copies")).alias("c"), F.explode(F.array_union("k", "node")).alias("key"))
+    found = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("c").alias("most"), F.min(F.struct("doc_id", "h")).alias("first"))
+    return found.filter(F.col("n") >= F.when(F.col("key").bitwiseAND(F.lit(3)) == _LONG, limits.long_documents).otherwise(limits.documents))
+
+
+def _total(found: DataFrame) -> int:
+    return found.agg(F.coalesce(F.sum("most"), F.lit(0))).first()[0]
+
+
+def _is(kind: str) -> Column:
+    low = F.col("key").bitwiseAND(F.lit(3))
+    return low == _NODE if kind == "node" else low != _NODE
+
+
+def _opened(docs: DataFrame, nodes: DataFrame, limits: Limits, shown: bool) -> DataFrame:
+    """uid, doc_id, h, i, key (and template, if shown) of the lines in these nodes (key), for both templates of each."""
+    n = nodes.count()
+    line = lambda w, i: F.struct(i.alias("i"), _node(w).alias("node"), w.alias("w"))
+    enough = F.filter(F.transform(_masked(F.col("text")), line), lambda x: F.size(x["w"]) >= limits.min_tokens)
+    bloom = url_filters.encode(nodes, n, 0.1, 7).has(F.col("x.node")) if 0 < n <= url_filters.MAX_BYTES else F.lit(n > 0)
+    rows = _source(docs).select("doc_id", F.xxhash64("text").alias("h"), F.explode(enough).alias("x")).filter(bloom).select("doc_id", "h", "x.*")
+    rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()))
+    place = lambda node, p, t: F.xxhash64(node, p, t)
+    # one row of each different text and line; a text's lines are in one task before its tokens are made distinct
+    texts = rows.groupBy("h", "i").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"))
+    own = rows.join(texts, ["h", "i", "uid"]).groupBy("h").agg(F.flatten(F.collect_list(F.transform("w", lambda t, p: place(F.col("node"), p, t)))).alias("k"), F.max("copies").alias("c"))
+    fixed = own.select((F.size("k") * F.col("c")).alias("c"), F.explode(F.array_distinct("k")).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.sum("c").alias("most"))
+    fixed = cut(fixed.filter(F.col("n") >= limits.documents))
+    token = F.inline(F.transform("w", lambda t, p: F.struct(p.alias("p"), (t if shown else F.xxhash64(t)).alias("t"), t.rlike(r"\p{L}").alias("word"), place(F.col("node"), p, t).alias("key"))))
+    tokens = skew_join(rows.select("uid", "doc_id", "h", "i", token), fixed, "key", "most", _total(fixed), F.struct("uid", "p"))
+    again = tokens.groupBy("uid", "doc_id", "h", "i").agg(F.array_sort(F.collect_list(F.struct("p", "t", "word", "n"))).alias("w"), F.max("n").alias("docs"))
+    # all documents of a node have its leading tokens, so that the most is the number of its documents
+    open_ = F.lit("<*>") if shown else F.lit(0).cast("long")
+
+    def view(number: int, is_fixed: Callable[[Column], Column]) -> Column:
+        words = F.size(F.filter("w", lambda x: x["word"]))
+        fixed_words = F.size(F.filter("w", lambda x: x["word"] & is_fixed(x)))
+        masked = F.transform("w", lambda x: F.when(is_fixed(x), x["t"]).otherwise(open_))
+        shape = F.struct(F.xxhash64(F.lit(number), masked).alias("key"), *([F.array_join(masked, " ").alias("template")] if shown else []))
+        return F.when((fixed_words >= limits.words) & (2 * fixed_words >= words), shape)
+
+    views = [view(1, lambda x: x["n"].isNotNull()), view(2, lambda x: F.coalesce(x["n"] >= limits.share * F.col("docs"), F.lit(False)))]
+    return again.select("uid", "doc_id", "h", "i", F.inline(F.array_compact(F.array(*views))))
+
+
+def _generalised(opened: DataFrame, limits: Limits) -> DataFrame:
+    """key, n, most, first of the templates that recur."""
+    each = opened.groupBy("key", "h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("c"))
     found = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("c").alias("most"), F.min(F.struct("doc_id", "h")).alias("first"))
-    return found.filter(F.col("n") >= F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, limits.long_documents).otherwise(limits.documents))
+    return found.filter(F.col("n") >= limits.documents)
 
 
 def decisions(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """doc_id, h (the text's hash), dropped: the numbers (from 0) of the lines to drop, of documents that have any."""
     filed = cut(_filed(docs, limits))  # hashes and numbers only, for two uses
     found = cut(recurring(filed, limits).select("key", "most", F.col("first.h").alias("first")))
-    total = found.agg(F.coalesce(F.sum("most"), F.lit(0))).first()[0]
-    lines = filed.select("uid", "doc_id", "h", F.inline(F.transform("k", lambda x, p: F.struct(F.get("i", F.call_function("div", p, F.lit(_PATHS)).cast("int")).alias("i"), x.alias("key")))))
-    hit = skew_join(lines.filter("key is not null"), found, "key", "most", total, F.struct("uid", "i")).filter("first is not null and first <> h")
+    whole = found.filter(_is("line"))
+    lines = filed.select("uid", "doc_id", "h", F.inline(F.arrays_zip("i", F.col("k").alias("key"))))
+    hits = skew_join(lines, whole, "key", "most", _total(whole), F.struct("uid", "i"))
+    opened = cut(_opened(docs, found.filter(_is("node")).select("key"), limits, shown=False))
+    general = cut(_generalised(opened, limits).select("key", "most", F.col("first.h").alias("first")))
+    more = skew_join(opened, general, "key", "most", _total(general), F.struct("uid", "key"))
+    hit = hits.select("doc_id", "h", "i", "first").unionByName(more.select("doc_id", "h", "i", "first")).filter("first is not null and first <> h")
     return hit.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("i")).alias("dropped"))
 
 
 def templates(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """template (differing positions as <*>), tokens, documents, first_doc of the recurring nodes; nodes that show one template are one."""
+    """template (variable fields as <*>), tokens, documents, first_doc of what recurs; templates that read alike are one."""
     filed = cut(_filed(docs, limits))
     found = cut(recurring(filed, limits))
-    own = docs.select(F.posexplode(_masked(F.col("text").cast("string"))).alias("i", "w")).filter(F.size("w") >= limits.min_tokens)
-    own = own.select("w", F.explode(_paths(F.col("w"), limits)).alias("key")).filter("key is not null")
-    total = found.agg(F.coalesce(F.sum("most"), F.lit(0))).first()[0]
-    token = skew_join(own, found, "key", "most", total, F.col("w")).filter("n is not null").select("key", "n", "first", F.posexplode("w").alias("p", "t"))
-    place = token.groupBy("key", "n", "first", "p").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    word = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("<*>")
-    joined = place.groupBy("key", "n", "first").agg(F.sort_array(F.collect_list(F.struct("p", word.alias("t")))).alias("w"))
-    shown = joined.select(F.array_join("w.t", " ").alias("template"), F.size("w").alias("tokens"), "n", "first")
-    return shown.groupBy("template", "tokens").agg(F.max("n").alias("documents"), F.min("first.doc_id").alias("first_doc"))
+    whole = found.filter(_is("line"))
+    own = _source(docs).select(F.explode(_masked(F.col("text"))).alias("w")).filter(F.size("w") >= limits.min_tokens).select(_line(F.col("w"), limits).alias("key"), F.array_join("w", " ").alias("template"))
+    lines = skew_join(own, whole, "key", "most", _total(whole), F.col("template")).select("template", "n", "first")
+    opened = cut(_opened(docs, found.filter(_is("node")).select("key"), limits, shown=True))
+    general = cut(_generalised(opened, limits))
+    more = skew_join(opened, general, "key", "most", _total(general), F.struct("uid", "key")).select("template", "n", "first")
+    shown = lines.unionByName(more).filter("n is not null").groupBy("template").agg(F.max("n").alias("documents"), F.min("first.doc_id").alias("first_doc"))
+    return shown.select("template", F.size(F.split("template", " ", -1)).cast("int").alias("tokens"), "documents", "first_doc")
 
 
 def _joined(docs: DataFrame, limits: Limits) -> tuple[DataFrame, Column, Column]:

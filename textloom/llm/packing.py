@@ -56,8 +56,9 @@ class _Chunks(dict):
         ids = self.older.get(chunk)
         if ids is None:
             word = chunk.rstrip(_TRAILING)
-            # after a letter or digit, a run of punctuation is a token sequence of its own
-            if word and len(word) < len(chunk) and word.decode()[-1].isalnum():
+            # after an ASCII letter or digit, a run of punctuation is a token sequence of its own; others may change when
+            # the tokenizer normalizes them (a dotted capital I ends in a combining dot)
+            if len(word) < len(chunk) and word[-1:].isalnum():
                 ids = self[word] + self[chunk[len(word) :]]
             else:
                 ids = np.asarray(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()

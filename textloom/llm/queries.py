@@ -82,7 +82,7 @@ FROM d LEFT JOIN o USING (payload_digest)
 
 
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(_table(spark, sf_dir, "documents"))
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.TEMPLATES + licenses.whole_texts())
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,25 +118,32 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-# The tree in SQL: a line's nodes are all of its tokens (s = 4), or all but those of quarter s; the first two stay.
+# The tree in SQL: nodes by token count and two leading tokens, tokens that five documents have at their place in the
+# node (v = 1), or a fifth of its documents, too (v = 2); whole lines are v = 0.
 _OP2_SQL = r"""
 WITH d AS (SELECT doc_id, text, string_split(regexp_replace(regexp_replace(text, '[ \t\x0B\f\r]+', ' ', 'g'), '[^ \n]*[0-9@][^ \n]*', '<*>', 'g'), chr(10)) AS ls FROM documents),
-u AS (SELECT text, min(doc_id) AS rep, any_value(ls) AS ls FROM d GROUP BY text),
-l AS (SELECT rep, unnest(range(0, len(ls))) AS i, unnest(list_transform(ls, lambda x: string_split(trim(x, ' '), ' '))) AS w FROM u),
-b AS (SELECT rep, i, w, len(w) AS n, unnest([0, 1, 2, 3, 4]) AS s FROM l WHERE len(w) >= 3),
-o AS (SELECT *, greatest(2, (s * n + 3) // 4) AS lo, ((s + 1) * n + 3) // 4 AS hi FROM b),
+u AS (SELECT text, min(doc_id) AS rep, any_value(ls) AS ls FROM d WHERE doc_id IS NOT NULL GROUP BY text),
+l AS (SELECT rep, i, w, len(w) AS n FROM (SELECT rep, unnest(range(0, len(ls))) AS i, unnest(list_transform(ls, lambda x: string_split(trim(x, ' '), ' '))) AS w FROM u) WHERE len(w) >= 3),
+c AS (SELECT n, w[1] AS a, w[2] AS b, count(DISTINCT rep) AS docs FROM l GROUP BY ALL HAVING count(DISTINCT rep) >= 5),
+o AS (SELECT rep, i, w, l.n, a, b, docs FROM l JOIN c ON l.n = c.n AND w[1] = a AND w[2] = b),
+t AS (SELECT rep, i, n, a, b, docs, unnest(w) AS x, unnest(range(1, n + 1)) AS p FROM o),
+s AS (SELECT n, a, b, p, x, count(DISTINCT rep) AS k FROM t GROUP BY ALL),
+m AS (
+  SELECT rep, i, n, unnest([1, 2]) AS v, unnest([list(k >= 5 ORDER BY p), list(k >= 5 AND k >= 0.2 * docs ORDER BY p)]) AS fixed, list(x ORDER BY p) AS w
+  FROM t JOIN s USING (n, a, b, p, x) GROUP BY rep, i, n),
+f AS (
+  SELECT rep, i, n, v, array_to_string(list_transform(w, lambda y, j: CASE WHEN fixed[j] THEN y ELSE '<*>' END), ' ') AS key,
+         len(list_filter(w, lambda y: regexp_matches(y, '\p{L}'))) AS words, len(list_filter(w, lambda y, j: regexp_matches(y, '\p{L}') AND fixed[j])) AS fixed_words FROM m),
 k AS (
-  SELECT rep, i, n, s, CASE WHEN s = 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[1:lo], ' ') || chr(1) || array_to_string(w[hi + 1:], ' ') END AS key
-  FROM o WHERE s = 4 OR (n >= 6 AND hi > lo)),
-r AS (
-  SELECT n, s, key, min(rep) AS first FROM k GROUP BY n, s, key
-  HAVING count(DISTINCT rep) >= CASE WHEN s = 4 AND n >= 20 THEN 2 ELSE 5 END),
-x AS (SELECT rep, list(DISTINCT i) AS dropped FROM k JOIN r USING (n, s, key) WHERE rep <> first GROUP BY rep)
+  SELECT rep, i, n, 0 AS v, array_to_string(w, ' ') AS key FROM l UNION ALL
+  SELECT rep, i, n, v, key FROM f WHERE fixed_words >= 3 AND 2 * fixed_words >= words),
+r AS (SELECT n, v, key, min(rep) AS first FROM k GROUP BY n, v, key HAVING count(DISTINCT rep) >= CASE WHEN v = 0 AND n >= 20 THEN 2 ELSE 5 END),
+x AS (SELECT rep, list(DISTINCT i) AS dropped FROM k JOIN r USING (n, v, key) WHERE rep <> first GROUP BY rep)
 SELECT doc_id,
        CASE WHEN dropped IS NULL THEN d.text
             ELSE coalesce(array_to_string(list_transform(list_filter(range(0, len(d.ls)), lambda j: NOT list_contains(dropped, j)), lambda j: string_split(d.text, chr(10))[j + 1]), chr(10)), '') END AS text,
        CAST(coalesce(len(d.ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(dropped), 0) AS BIGINT) AS n_dropped
-FROM d LEFT JOIN u ON d.text = u.text LEFT JOIN x ON u.rep = x.rep
+FROM d LEFT JOIN u ON d.text = u.text AND d.doc_id IS NOT NULL LEFT JOIN x ON u.rep = x.rep
 """
 
 
