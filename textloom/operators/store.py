@@ -222,9 +222,7 @@ def commit(spark: SparkSession, versions: DataFrame, ops: list[dict], seq: int,
     log: a line for the log page, written in the same commit. A path's rev within the commit is the one it will get.
     """
     validate(ops, message, log)
-    if log and log.strip():
-        line = f"- {today or datetime.date.today().isoformat()} {author}: {re.sub(r'\s*[\r\n]+\s*', ' ', log).strip()}"
-        ops = [*ops, {"op": "append", "path": LOG, "text": line, "create": True}]
+    ops = with_log(ops, log, author, today)
     paths = sorted({p for op in ops for p in _paths(op)})
     based = sorted({(p, op["base_rev"]) for op in ops if op.get("base_rev") is not None for p in _paths(op)[:1]})
     own = versions.filter(F.col("path").isin(*paths))
@@ -232,19 +230,38 @@ def commit(spark: SparkSession, versions: DataFrame, ops: list[dict], seq: int,
     wanted = [(F.col("path") == p) & (F.col("rev") == r) for p, r in based]
     bases = own.filter(functools.reduce(operator.or_, wanted)).select("path", "rev", "content").collect() if wanted else []
     state = _State({r.path: (r.rev, None if r.deleted else r.content) for r in rows}, {(r.path, r.rev): r.content for r in bases})
-    before = dict(state.files)
-    for i, op in enumerate(ops):
-        try:
-            _apply(state, op)
-        except Conflict as e:
-            e.details["op_index"] = i
-            raise
+    return spark.createDataFrame([(seq, *v) for v in written(state, ops)], VERSIONS)
+
+
+def written(state: _State, ops: list[dict]) -> list[tuple]:
+    """The versions (path, rev, content, sha256, deleted) that operations make of a state, which moves on. All or nothing: on a
+    Conflict, which names the operation, or a ValueError the state stays."""
+    before, state.changed = dict(state.files), {}
+    try:
+        for i, op in enumerate(ops):
+            try:
+                _apply(state, op)
+            except Conflict as e:
+                e.details["op_index"] = i
+                raise
+    except (Conflict, ValueError):
+        state.files = before
+        raise
     out = []
     for p in state.changed:
         (rev, old), new = before.get(p, (0, None)), state.get(p)[1]
+        state.files[p] = (rev + (new != old), new)
         if new != old:
-            out.append((seq, p, rev + 1, new, None if new is None else _sha(new), new is None))
-    return spark.createDataFrame(out, VERSIONS)
+            out.append((p, rev + 1, new, None if new is None else _sha(new), new is None))
+    return out
+
+
+def with_log(ops: list[dict], log: str | None, author: str | None, today: str | None) -> list[dict]:
+    """ops, and the line for the log page, if there is one."""
+    if not log or not log.strip():
+        return ops
+    line = f"- {today or datetime.date.today().isoformat()} {author or ''}: {re.sub(r'\s*[\r\n]+\s*', ' ', log).strip()}"
+    return [*ops, {"op": "append", "path": LOG, "text": line, "create": True}]
 
 
 def read(versions: DataFrame, paths: DataFrame, heading: str | None = None, start: int | None = None, end: int | None = None) -> DataFrame:

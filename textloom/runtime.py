@@ -1,12 +1,13 @@
-"""Makes the package importable in Python workers, wherever they run."""
+"""What a session needs: the package in Python workers, wherever they run, and folders that all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,49 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(target))
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local session gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="textloom-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that lost executors cost no recomputation."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _filesystem(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+class Scratch:
+    """Folders in the shared one that last as long as a `with` block: what is to outlive it is written elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str = "kept") -> DataFrame:
+        """df, computed once, as a table of this block."""
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        fs, root = _filesystem(self.spark, self.root)
+        fs.delete(root, True)
