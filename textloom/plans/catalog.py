@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -15,7 +16,8 @@ from textloom.operators import links as L
 from textloom.operators import lint as Lint
 from textloom.operators import search as S
 from textloom.operators import store as St
-from textloom.runtime import ship
+from textloom.operators.index import Index
+from textloom.runtime import _filesystem, shared_dir, ship
 from textloom.sources import corpus, parse
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,21 +76,50 @@ def bm25_index_scope(spark, sf_dir):
     return _bm25_top(table(spark, sf_dir, "documents"), "the that", 50, where=F.col("lang") == "en", scope="index")
 
 
-def _index(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return S.postings(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+_INDEXES: dict[tuple, Index] = {}
+
+
+def _index(spark, sf_dir) -> Index:
+    """The documents' index in the shared folder: written once an application, as long as the table is the same."""
+    docs = table(spark, sf_dir, "documents")
+    fs, path = _filesystem(spark, f"{sf_dir}/documents.parquet")
+    state = fs.getFileStatus(path)
+    key = (spark.sparkContext.applicationId, sf_dir, state.getModificationTime(), fs.getContentSummary(path).getLength())
+    if key not in _INDEXES:
+        index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "doc_id")
+        index.update(docs.select("doc_id", "text"))
+        _INDEXES[key] = index
+    return _INDEXES[key]
 
 
 @query(_bm25_sql(TERMS.split(), "true", "true", 50))
 def bm25_postings(spark, sf_dir):
-    posts, docs = _index(spark, sf_dir)
-    return S.top(S.bm25_postings(posts, docs, ["doc_id"], TERMS).select("doc_id", F.round("score", 6).alias("score")), 50, "score", "doc_id")
+    return S.top(_index(spark, sf_dir).search(TERMS).select("doc_id", F.round("score", 6).alias("score")), 50, "score", "doc_id")
+
+
+@query(_bm25_sql(["the", "that"], "true", "lang = 'en'", 50))
+def bm25_postings_allowed(spark, sf_dir):
+    allowed = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id")
+    return S.top(_index(spark, sf_dir).search("the that", allowed).select("doc_id", F.round("score", 6).alias("score")), 50, "score", "doc_id")
 
 
 @query(_bm25_sql(["the", "that"], "lang = 'en'", "lang = 'en'", 50))
 def bm25_postings_filtered(spark, sf_dir):
-    posts, docs = _index(spark, sf_dir)
-    allowed = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id")
-    return S.top(S.bm25_postings(posts, docs, ["doc_id"], "the that", allowed).select("doc_id", F.round("score", 6).alias("score")), 50, "score", "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    posts, rows = S.postings(docs, ["doc_id"], "text")
+    allowed = docs.filter("lang = 'en'").select("doc_id")
+    return S.top(S.bm25_postings(posts, rows, ["doc_id"], "the that", allowed).select("doc_id", F.round("score", 6).alias("score")), 50, "score", "doc_id")
+
+
+@query(_bm25_sql(["the", "that"], "true", "true", 50).replace("FROM documents)", "FROM (SELECT doc_id, lang, CASE WHEN doc_id % 5 = 1 THEN reverse(text) ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3))"))
+def bm25_index_edits(spark, sf_dir):
+    """An index that took three updates: all documents, then a fifth of them reversed, then a seventh deleted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = Index(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", "doc_id")
+    index.update(docs)
+    index.update(docs.filter("doc_id % 5 = 1").select("doc_id", F.reverse("text").alias("text")))
+    index.update(deleted=docs.filter("doc_id % 7 = 3"))
+    return S.top(index.search("the that").select("doc_id", F.round("score", 6).alias("score")), 50, "score", "doc_id")
 
 
 @query("""

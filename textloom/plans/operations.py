@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.operators import commits as C
 from textloom.operators import evaluation as E
 from textloom.operators import store as St
 from textloom.operators import vectors as V
 from textloom.plans.catalog import _LOG, _SCORED, _chats, query, scored_labels, table, versions
+from textloom.runtime import shared_dir
 from textloom.sources import agents, export, parse
 
 # --- the store
@@ -440,3 +442,58 @@ def agent_commands(spark, sf_dir):
 def agent_lines(spark, sf_dir):
     events, banners = agents.parse_lines(_agent_lines(spark, sf_dir))
     return events.agg(F.count("*").alias("events")).crossJoin(banners.agg(F.count("*").alias("banners")))  # one row each
+
+
+# --- many commits, the feed as a stream and its mirror
+
+
+@query("""
+WITH a AS (SELECT event_id AS seq, user_id AS u, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS rev FROM events WHERE event_id % 2 = 1),
+c AS (SELECT event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_id % 2 = 0)
+SELECT seq, 'applied' AS status, NULL AS reason, 2 AS written, CAST(2 * rev AS BIGINT) AS bytes FROM a
+UNION ALL SELECT seq, CASE WHEN k = 1 THEN 'applied' ELSE 'conflict' END, CASE WHEN k > 1 THEN 'exists' END, CASE WHEN k = 1 THEN 1 ELSE 0 END, NULL FROM c""")
+def commit_batch(spark, sf_dir):
+    """A commit an event: odd ones write a user's page and add a line to that of the group, even ones create a page that only the first can."""
+    e = table(spark, sf_dir, "events")
+    s = lambda c: c.cast("string")
+    two = F.concat(F.lit('[{"op":"upsert","path":"u'), s(F.col("user_id")), F.lit('.md","content":"'), s(F.col("event_id")), F.lit('"},{"op":"append","create":true,"text":"x","path":"g'), s(F.col("user_id") % 50), F.lit('.md"}]'))
+    one = F.concat(F.lit('[{"op":"create","path":"c'), s(F.col("user_id")), F.lit('.md","content":""}]'))
+    requests = e.select(F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 1, two).otherwise(one).alias("ops"))
+    done = C.apply_all(spark.createDataFrame([], St.VERSIONS), requests)
+    group = F.get(F.filter("versions", lambda v: v["path"].startswith("g")), F.lit(0))["content"]
+    return done.select("seq", "status", "reason", F.size("versions").alias("written"), F.octet_length(group).cast("long").alias("bytes"))
+
+
+def _feed_log(spark, sf_dir) -> tuple[str, int]:
+    """(a new folder in the shared one with the log of events, three to a commit; its last seq)."""
+    import uuid
+
+    root = f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+    v = versions(spark, sf_dir).withColumn("seq", F.call_function("div", F.col("seq"), F.lit(3)))
+    v.select("seq", "path", "rev", F.when(~F.col("deleted"), F.col("content")).alias("content"), F.when(~F.col("deleted"), F.col("sha256")).alias("sha256"), "deleted").write.parquet(f"{root}/log")
+    return root, spark.read.parquet(f"{root}/log").agg(F.max("seq")).first()[0]
+
+
+@query("SELECT event_id // 3 AS seq, count(*) AS n, 1 AS batches FROM events GROUP BY ALL")
+def change_feed(spark, sf_dir):
+    """The feed as a stream, a third of it at a time, each micro-batch in a folder of its own: no commit is in two of them."""
+    from textloom.streaming import change_source
+
+    root, last = _feed_log(spark, sf_dir)
+    write = lambda df, batch: df.select("seq", "path").write.mode("overwrite").parquet(f"{root}/out/batch={batch}")
+    change_source.drain_pages(spark, f"{root}/log", write, f"{root}/checkpoint", last // 3 + 1)
+    got = spark.read.parquet(f"{root}/out")
+    return got.groupBy("seq").agg(F.count("*").alias("n"), F.count_distinct("batch").cast("int").alias("batches"))
+
+
+@query(f"""WITH {_LOG}, t AS (SELECT event_id AS seq, {_CONTENT} AS content FROM events)
+SELECT path, CASE WHEN path LIKE '%7' THEN 'pending' ELSE 'file' END AS part, CASE WHEN NOT deleted THEN content END AS content FROM la JOIN t USING (seq) WHERE path LIKE '%7' OR NOT deleted""")
+def mirror_stream(spark, sf_dir):
+    """A mirror that follows the feed in two batches and more; paths that end in 7 can't be written."""
+    from textloom.streaming import change_source, mirror
+
+    root, last = _feed_log(spark, sf_dir)
+    blocked = table(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path")).filter("path like '%7'")
+    m = mirror.Mirror(spark, f"{root}/mirror", lambda: blocked)
+    change_source.drain_pages(spark, f"{root}/log", m.apply, f"{root}/checkpoint", last // 2 + 1)
+    return m.table("files").select("path", F.lit("file").alias("part"), "content").unionByName(m.table("pending").select("path", F.lit("pending").alias("part"), "content"))
