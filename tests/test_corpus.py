@@ -1,5 +1,7 @@
 """Parsing, links, lint, graph and search on a small wiki of our own."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,64 @@ def test_sections_nest_and_skip_fences():
     assert s[0]["text"] == "" and parse.sections(None)[0]["section_index"] == 0
 
 
+def test_sections_equal_plain_python(spark):
+    """Random Markdown with fences, deep and closed headings, odd line ends and white space; no Python in the plan."""
+    import random
+
+    r = random.Random(6)
+    parts = ["# One", "## Two ##", "### deep three", "#", "#tag", "###### six  ", "####### seven", "```", "```py", "~~~", "  ```", "text", "", " # no", "##\ttab", "# a # b #", "\u2003", "x\u2028# y", "- ```", "# \u00e9"]
+    texts = [r.choice(["\n", "\r\n", "\n", "\x0b"]).join(r.choice(parts) for _ in range(r.randint(0, 14))) + r.choice(["", "\n"]) for _ in range(400)] + [None, "", "\n", "\n".join(f"# h{i}\nx" for i in range(2000))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(parse.split_sections("t").alias("s"))
+    assert [[x.asDict() for x in row.s] for row in df.collect()] == [parse.sections(t) for t in texts]
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_frontmatter(block):
+    """Entries of a block's lines, from last to first."""
+    lines = [(x, re.match(r"([a-zA-Z_]+):\s*(.*)$", x)) for x in block.split("\n")]
+    found = {m[1]: (i, m[2].strip()) for i, (_, m) in enumerate(lines) if m}
+    bare = lambda x: x.strip().strip('"').strip("'")
+
+    def owner(i):
+        return next((m[1] for _, m in reversed(lines[:i]) if m and not m[2].strip()), None)
+
+    out = {}
+    for name, (at, value) in found.items():
+        below = [bare(x[4:]) for i, (x, m) in enumerate(lines) if i > at and not m and x.startswith("  - ") and owner(i) == name]
+        inside = [bare(x) for x in value[1:-1].split(",") if x.strip()] if value[:1] == "[" and value[-1:] == "]" and len(value) > 1 else None
+        out[name] = below if not value else value.strip('"').strip("'") if inside is None else inside + below
+    return out
+
+
+def test_frontmatter_equals_plain_python(spark):
+    import random
+
+    r = random.Random(2)
+    parts = ["a:", "b:", "c: [x]", "a: [p, 'q']", "b: one", 'c: "two"', "  - i1", "  - 'i2'", " - no", "", "d: []", "a:  ", "e-f: x", "  -", "c:"]
+    blocks = ["\n".join(r.choice(parts) for _ in range(r.randint(1, 10))) for _ in range(600)]
+    got = fields(spark, *[f"---\n{b}\n---\nbody" for b in blocks])
+    assert [g[0] for g in got] == [plain_frontmatter(b) for b in blocks]
+
+
+def test_sentences_of_fences(spark):
+    import random
+
+    r = random.Random(3)
+    parts = ["```", "~~~py", "One is. Two", "code.", "", "# H", "- item", "---", "  ```"]
+    texts = ["\n".join(r.choice(parts) for _ in range(r.randint(1, 9))) for _ in range(300)] + ["x\n```", "```", "a\n```\nb.\n```\nc"]
+
+    def prose(t):
+        out, shut = [], False
+        for x in t.split("\n"):
+            fence = re.match(r"\s*(```|~~~)", x)
+            shut ^= bool(fence)
+            out.append("" if fence or shut else x)
+        return "\n".join(out)
+
+    frame = lambda ts: spark.createDataFrame([(t,) for t in ts], "t string").coalesce(1).select(parse.split_sentences("t").alias("s"))
+    assert [x.s for x in frame(texts).collect()] == [x.s for x in frame([prose(t) for t in texts]).collect()]
+
+
 def test_page_body_round_trip(pages):
     r = pages.filter("slug = 'flight'").select(parse.page_body("sections").alias("b"), "body").first()
     assert [x for x in r.b.split("\n") if x] == [x for x in r.body.split("\n") if x]

@@ -176,6 +176,51 @@ def test_experiments(spark):
     assert all(split[3 * i] == ("tune" if i % 2 == 0 else "test") for i in range(100))
 
 
+def test_intervals_of_many_experiments(spark):
+    import hashlib
+    import math
+    import random
+
+    r = random.Random(3)
+    rows = [("few", f"t{i}", d) for i, d in enumerate([1.0, -0.5, 2.0, 0.25, 1.5])] + [(x, f"t{i}", r.gauss(m, 1)) for x, m in (("up", 0.6), ("none", 0.0)) for i in range(40)] + [("one", "t", 1.0)]
+    got = {x.x: x for x in E.intervals(spark.createDataFrame(rows, "x string, task string, difference double"), ["x"], 400).collect()}
+    for x in ("few", "up", "none", "one"):
+        d = {t: v for y, t, v in rows if y == x}
+        digest = lambda t, k: hashlib.md5(f"{t}:{k}:0".encode()).hexdigest()
+        cdf = [sum(math.exp(-1) / math.factorial(j) for j in range(i)) for i in range(1, 12)]
+        means = []
+        for k in range(400):
+            w = {t: sum(int(digest(t, k)[:8], 16) / 2**32 >= c for c in cdf) for t in d}
+            if sum(w.values()):
+                means.append(sum(w[t] * v for t, v in d.items()) / sum(w.values()))
+        means.sort()
+        at = lambda q: means[int(q * (len(means) - 1))] + (q * (len(means) - 1) % 1) * (means[min(len(means) - 1, int(q * (len(means) - 1)) + 1)] - means[int(q * (len(means) - 1))])
+        assert (got[x].tasks, got[x].accuracy_delta, got[x].low, got[x].high) == (len(d), pytest.approx(sum(d.values()) / len(d)), pytest.approx(at(0.025)), pytest.approx(at(0.975)))
+    assert got["few"].p_value == pytest.approx(E.sign_flip_test(spark, [1.0, -0.5, 2.0, 0.25, 1.5]).first().p_value)
+    assert got["up"].positive_evidence and not got["none"].positive_evidence and got["one"].p_value == 1.0
+    with pytest.raises(Exception, match="unpaired"):
+        E.intervals(spark.createDataFrame([("x", "t", None)], "x string, task string, difference double"), ["x"], 10).collect()
+
+
+def test_json_contains_and_artifacts(spark):
+    import json
+
+    cases = [
+        ({"a": 1}, {"a": 1, "b": 2}, True), ({"a": 1}, {"a": 1.0}, False), ({"a": True}, {"a": 1}, False), ([{"a": 1}, {"b": 2}], [{"b": 2, "c": 3}, {"a": 1}], True), ([{"a": 1, "b": 2}], [{"a": 1}, {"b": 2}], False),
+        ([[1, 2], [3]], [[3, 2, 1]], True), ([], [1], True), ([], {}, False), ({}, {"a": None}, True), ({"a": None}, {}, False), ({"a": [{"b": [1]}]}, {"a": [{"b": [2]}, {"b": [0, 1]}]}, True), ("x", "x", True), (None, None, True), ([1, 1], [1], True),
+    ]
+    df = spark.createDataFrame([(json.dumps(e), json.dumps(a)) for e, a, _ in cases], "e string, a string").coalesce(1)
+    assert [x.r for x in df.select(E.json_subset("e", "a").alias("r")).collect()] == [w for *_, w in cases] == [E.json_contains(e, a) for e, a, _ in cases]
+    files = spark.createDataFrame([("a", "hello 7"), ("j", '{"k": 7, "l": [1]}'), ("l", '{"k": 1}\n\n{"k": 2, "z": 0}\n')], "path string, content string")
+    checks = [
+        ("a", "text", '"hello 7"', True), ("a", "text", '"hello"', False), ("a", "text", "7", False), ("a", "contains", '["he", "7"]', True), ("a", "contains", '["x"]', False), ("a", "contains", "[7]", False), ("a", "contains", "[]", True),
+        ("a", "absent", None, False), ("none", "absent", None, True), ("none", "text", '"x"', False), ("j", "json", '{"l": [1], "k": 7}', True), ("j", "json", '{"k": 7}', False), ("j", "json_subset", '{"k": 7}', True), ("a", "json_subset", "{}", False),
+        ("l", "jsonl_subset", '[{"k": 2}]', True), ("l", "jsonl_subset", '[{"k": 3}]', False), ("j", "json", "not json", False), ("a", "odd", '"x"', False), ("a", "text", None, False), ("a", None, None, False),
+    ]
+    got = E.artifact_checks(spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(checks)], "n int, path string, kind string, equals string"), files).collect()
+    assert [x.passed for x in sorted(got, key=lambda x: x.n)] == [c[3] for c in checks]
+
+
 def test_batches_are_bounded(spark):
     rows = spark.range(1000).select(F.format_string("p%04d", "id").alias("path"), (F.col("id") % 7).alias("size"))
     b = St.batches(rows, "path", "size", most=50, max_bytes=100).groupBy("batch").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()

@@ -606,11 +606,40 @@ def latency_percentiles(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE d AS (SELECT * FROM (VALUES (0, 1.0::DOUBLE), (1, -0.5), (2, 2.0), (3, 0.25), (4, 1.5), (5, -1.0), (6, 0.75), (7, 0.5)) AS v(i, x)),
-f AS (SELECT unnest(range(0, 256)) AS m), t AS (SELECT m, sum(CASE WHEN (m >> i) & 1 = 1 THEN -x ELSE x END) AS s FROM f, d GROUP BY m)
-SELECT round(count(*) FILTER (WHERE abs(s) >= (SELECT abs(sum(x)) FROM d) - 1e-12)::DOUBLE / count(*), 9) AS p_value FROM t""")
+WITH t AS (SELECT event_type, user_id, round((sum(value) FILTER (WHERE event_id % 2 = 0)) - (sum(value) FILTER (WHERE event_id % 2 = 1)), 2) AS d FROM events WHERE user_id % 15 < 4 GROUP BY ALL),
+v AS (SELECT event_type, CAST(user_id AS VARCHAR) AS task, d FROM t WHERE d IS NOT NULL UNION ALL SELECT 'few', CAST(user_id AS VARCHAR), d FROM t WHERE event_type = 'click' AND user_id < 17 AND d IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY task) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM v),
+e AS (SELECT *, CASE WHEN n <= 12 THEN 1 << n ELSE 500 END AS flips, unnest(range(0, 500 + CASE WHEN n <= 12 AND (1 << n) > 500 THEN (1 << n) - 500 ELSE 0 END)) AS r FROM n),
+h AS (SELECT *, md5(task || ':' || r || ':0') AS x FROM e),
+s AS (
+  SELECT event_type, r, max(n) AS n, max(flips) AS flips, sum(d) AS sum, sum(CASE WHEN CASE WHEN n <= 12 THEN (r >> k) & 1 ELSE CAST('0x' || x[9:9] AS INTEGER) % 2 END = 1 THEN -d ELSE d END) AS flipped
+  FROM h GROUP BY event_type, r)
+SELECT event_type, max(n) AS tasks, round(CASE WHEN max(n) <= 12 THEN (count(*) FILTER (WHERE r < flips AND abs(flipped) >= abs(sum) - 1e-9))::DOUBLE / max(flips)
+  ELSE ((count(*) FILTER (WHERE r < flips AND abs(flipped) >= abs(sum) - 1e-9)) + 1)::DOUBLE / (max(flips) + 1) END, 6) AS p_value FROM s GROUP BY event_type""")
 def sign_flip_p_value(spark, sf_dir):
-    return E.sign_flip_test(spark, [1.0, -0.5, 2.0, 0.25, 1.5, -1.0, 0.75, 0.5]).select(F.round("p_value", 9).alias("p_value"))
+    """Experiments by event type, tasks by user, and one of few tasks."""
+    return _intervals(spark, sf_dir).select("event_type", "tasks", F.round("p_value", 6).alias("p_value"))
+
+
+def _intervals(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events").filter("user_id % 15 < 4")
+    part = lambda k: F.sum(F.when(F.col("event_id") % 2 == k, F.col("value")))
+    d = e.groupBy("event_type", F.col("user_id").alias("task")).agg(F.round(part(0) - part(1), 2).alias("difference")).filter("difference is not null")
+    few = d.filter("event_type = 'click' and task < 17").withColumn("event_type", F.lit("few"))
+    return E.intervals(d.unionByName(few), ["event_type"], 500)
+
+
+@query("""
+WITH t AS (SELECT event_type, user_id, round((sum(value) FILTER (WHERE event_id % 2 = 0)) - (sum(value) FILTER (WHERE event_id % 2 = 1)), 2) AS d FROM events WHERE user_id % 15 < 4 GROUP BY ALL),
+v AS (SELECT event_type, CAST(user_id AS VARCHAR) AS task, d FROM t WHERE d IS NOT NULL UNION ALL SELECT 'few', CAST(user_id AS VARCHAR), d FROM t WHERE event_type = 'click' AND user_id < 17 AND d IS NOT NULL),
+e AS (SELECT *, unnest(range(0, 500)) AS r FROM v),
+u AS (SELECT *, CAST('0x' || md5(task || ':' || r || ':0')[1:8] AS BIGINT) / 4294967296.0::DOUBLE AS u FROM e),
+p AS (SELECT event_type, r, d, len(list_filter(range(1, 12), lambda i: u >= exp(-1) * list_sum(list_transform(range(0, i), lambda j: 1.0::DOUBLE / factorial(CAST(j AS INTEGER))::DOUBLE)))) AS w FROM u),
+s AS (SELECT event_type, r, sum(w * d) / sum(w) AS m FROM p GROUP BY event_type, r HAVING sum(w) > 0),
+a AS (SELECT event_type, avg(d) AS delta FROM v GROUP BY event_type)
+SELECT event_type, round(any_value(delta), 9) AS accuracy_delta, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM s JOIN a USING (event_type) GROUP BY event_type""")
+def bootstrap_intervals(spark, sf_dir):
+    return _intervals(spark, sf_dir).select("event_type", *[F.round(c, 9).alias(c) for c in ("accuracy_delta", "low", "high")])
 
 
 @query("""

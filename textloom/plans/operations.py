@@ -233,14 +233,14 @@ def vector_states(spark, sf_dir):
 def _runs(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "events")
     n = F.col("user_id")
-    return e.groupBy(F.call_function("div", n, F.lit(2)).alias("task"), (n % 2).alias("v")).agg(F.max("value").alias("m"), F.count("*").alias("tool_calls"), F.round(F.sum("value"), 2).alias("cost")).select(
+    return e.groupBy(F.call_function("div", n, F.lit(2)).alias("task"), (n % 2).alias("v")).agg(F.sum("event_id").alias("m"), F.count("*").alias("tool_calls"), F.round(F.sum("value"), 2).alias("cost")).select(
         "task", F.lit(0).alias("repeat"), F.when(F.col("v") == 0, "baseline").otherwise("candidate").alias("variant"), F.when(F.col("task") % 3 == 0, "holdout").otherwise("validation").alias("split"),
-        F.coalesce(F.col("m") > 60, F.lit(False)).alias("passed"), F.col("tool_calls").cast("double").alias("tool_calls"), F.coalesce("cost", F.lit(0.0)).alias("cost"),
+        (F.col("m") % 3 > 1).alias("passed"), F.col("tool_calls").cast("double").alias("tool_calls"), F.coalesce("cost", F.lit(0.0)).alias("cost"),
     )
 
 
 _RUNS = """
-rn AS (SELECT user_id // 2 AS task, CASE WHEN user_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS variant, coalesce(max(value) > 60, false) AS passed, count(*) AS tool_calls, coalesce(round(sum(value), 2), 0) AS cost
+rn AS (SELECT user_id // 2 AS task, CASE WHEN user_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS variant, sum(event_id) % 3 > 1 AS passed, count(*) AS tool_calls, coalesce(round(sum(value), 2), 0) AS cost
   FROM events GROUP BY user_id // 2, user_id % 2),
 rp AS (SELECT *, CASE WHEN task % 3 = 0 THEN 'holdout' ELSE 'validation' END AS split FROM rn)"""
 _REGRESSED = "SELECT b.task FROM rp b LEFT JOIN rp c ON b.task = c.task AND c.variant = 'candidate' WHERE b.variant = 'baseline' AND b.passed AND NOT coalesce(c.passed, false)"
@@ -275,12 +275,7 @@ def task_differences(spark, sf_dir):
 CASE WHEN event_type <> 'error' AND count(*) FILTER (WHERE value IS NULL) = 0 THEN round(CAST(sum(CAST(value AS DECIMAL(20, 6))) AS DOUBLE), 4) END AS cost_usd FROM events GROUP BY event_type""")
 def usage_ledger(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("input_tokens"), (F.col("event_id") % 50).alias("output_tokens"), F.col("value").alias("cost"), (F.col("event_type") == "error").alias("failed"))
-    kinds = [r[0] for r in e.select("event_type").distinct().collect()]  # a handful
-    out = None
-    for k in kinds:
-        one = E.ledger(e.filter(F.col("event_type") == k)).withColumn("event_type", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out.select("event_type", "calls", "tokens", F.round("cost_usd", 4).alias("cost_usd"))
+    return E.ledger(e, "event_type").select("event_type", "calls", "tokens", F.round("cost_usd", 4).alias("cost_usd"))
 
 
 @query("""
