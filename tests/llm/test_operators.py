@@ -228,7 +228,7 @@ def brute_tree(rows):
         templates.setdefault((0, w), []).append((t, i))
         if len(docs[n, lead]) >= 5:
             k = [len(at[n, lead, p, x]) for p, x in enumerate(w)]
-            word = [bool(re.search(r"[^\W\d_]", x)) for x in w]
+            word = [len(x) > 1 for x in w]
             for v, fixed in ((1, [c >= 5 for c in k]), (2, [c >= 5 and c >= 0.2 * len(docs[n, lead]) for c in k])):
                 own = sum(a and b for a, b in zip(word, fixed, strict=True))
                 if own >= 3 and 2 * own >= sum(word):
@@ -331,7 +331,7 @@ def test_line_tree_equals_brute_force(spark):
     long = [" ".join(f"v{chr(97 + k)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)) for k in range(3)]
     rows = [(20 + i, f"the intro\n{long[0]}\n{long[1]}\nthe outro{chr(97 + i)}") for i in range(2)] + [(31, f"x\n{long[2]}\ny\n{long[2]}\nz\n{long[2]}")]
     for i in range(100):
-        line = lambda n: " ".join(r.choice("abc" if r.random() < 0.7 else "abcdefgh7") for _ in range(n))
+        line = lambda n: " ".join(r.choice("abc" if r.random() < 0.7 else "abcdefgh7") * 2 for _ in range(n))
         rows.append((40 + i, "\n".join(f"in some {line(r.randint(0, 10))}".rstrip() for _ in range(6))))
     rows += [(200 + i, rows[10][1]) for i in range(3)] + [(50, rows[11][1])] * 2 + [(None, rows[12][1])] * 7 + [(300, None), (301, ""), (302, "a\n\na\n"), (303, "\n".join(f"line {k} of a very long text here" for k in range(3000)))]
     rows += [(304 + i, f"\t{x}  in  some a b c\r") for i, x in enumerate("abcdef")]

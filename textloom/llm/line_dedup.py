@@ -7,8 +7,8 @@ have it there; all others are variable fields, however many a line has and where
 (names, cities, titles; a field among the leading tokens parts the nodes, as in any tree of this kind).
 A line's template is its tokens with the variable ones as <*>. Since a field may have few values, each in many
 documents, a second template takes a token as fixed only if a `share` of the node's documents has it, too: the first
-keeps templates apart that share a node, the second joins values. A template needs `words` fixed words, and at least half
-of the line's words; apart from both, a line is filed under all of its tokens.
+keeps templates apart that share a node, the second joins values. A template needs `words` fixed words (tokens of more than one
+character: table marks and dashes aren't), and at least half of the line's words; apart from both, a line is filed under all of its tokens.
 
 A template recurs if enough different documents hold it: five, or two where it is the whole line and that has 20 tokens or
 more. Exact copies of a text count as one document and get the same decisions, so that the n-gram join still
@@ -16,15 +16,15 @@ finds them equal; lines repeated within one document alone never recur. Lines of
 all documents but the first that holds it (the smallest doc_id), which stays as it is for that template; a line under
 several recurring templates is dropped if one of them began in another document. Lines under three tokens never recur.
 
-A document's distinct nodes are found within its row, so counting them is one grouped count with map-side combining. Only lines
-of nodes with enough documents are looked at by token: a Bloom filter of those nodes, a literal of the plan, picks them where
-the texts are read (without it, beyond url_filters.MAX_BYTES, all lines are). All joins broadcast only the heaviest keys and salt
+A document's distinct nodes are found within its row, so counting them is one grouped count with map-side combining. Texts are
+read once and kept as hashes. Only lines of nodes with enough documents are looked at by token: a filter of those nodes by hash, a literal of the plan, picks
+them (without it, beyond MOST_MARKED nodes, all lines are), and only fixed tokens go on. All joins broadcast only the heaviest keys and salt
 their rows (_shared.skew_join); the last join moves each text once. No step gathers the lines of a node.
 
 Defined results: a null text stays null, with no lines; an empty text has one empty line, which stays. Repeated rows
 count once and get equal decisions; rows with a null doc_id count for nothing and keep their text. Two documents with
-one doc_id are told apart by their text, texts and nodes by 62 to 64 bits of hash. Ties don't arise: the first document
-of a template is the smallest (doc_id, text hash). Very long texts are one row of hashes: 20 bytes a line. An empty table
+one doc_id are told apart by their text, texts and nodes by 62 to 64 bits of hash, tokens at one place of a node by 31. Ties don't arise: the first document
+of a template is the smallest (doc_id, text hash). Very long texts are one row of hashes: 20 bytes a line and 4 a token. An empty table
 gives an empty result. Extra columns are kept by clean() and shorten() and ignored by decisions() and templates().
 """
 
@@ -36,10 +36,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm import url_filters
 from textloom.llm._shared import cut, skew_join
 
 LEADING = 2
+#: Nodes that go into the plan as a literal of MARKS bytes each, at most.
+MOST_MARKED, MARKS = 1_000_000, 16
 #: Kinds of keys, in their lowest bits: whole lines, whole lines that two documents are enough for, nodes.
 _LINE, _LONG, _NODE = 0, 1, 2
 
@@ -81,11 +82,17 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
 
 
-def _filed(docs: DataFrame, limits: Limits) -> DataFrame:
-    """uid, doc_id, h (the text's hash), i (numbers of the lines that can recur), k and node (their keys)."""
-    filed = F.transform(_masked(F.col("text")), lambda w, i: F.when(F.size(w) >= limits.min_tokens, F.struct(i.alias("i"), _line(w, limits).alias("k"), _node(w).alias("node"))))
+def _filed(docs: DataFrame, limits: Limits, shown: bool = False) -> DataFrame:
+    """uid, doc_id, h (the text's hash), l: the lines that can recur, with their number i, keys k and node, and their tokens t (and w, if shown)."""
+
+    def line(w: Column, i: Column) -> Column:
+        # a token is 31 bits of hash; the lowest bit says that it counts as a word
+        token = F.transform(w, lambda x: F.hash(x).bitwiseAND(F.lit(-2)) + F.when(F.length(x) > 1, 1).otherwise(0))
+        return F.struct(i.alias("i"), _line(w, limits).alias("k"), _node(w).alias("node"), token.alias("t"), *([w.alias("w")] if shown else []))
+
+    filed = F.transform(_masked(F.col("text")), lambda w, i: F.when(F.size(w) >= limits.min_tokens, line(w, i)))
     d = _source(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.xxhash64("text").alias("h"), F.array_compact(filed).alias("l"))
-    return d.select("uid", "doc_id", "h", F.col("l.i").alias("i"), F.col("l.k").alias("k"), F.col("l.node").alias("node")).filter(F.size("i") > 0)
+    return d.filter(F.size("l") > 0)
 
 
 def _texts(filed: DataFrame) -> DataFrame:
@@ -96,7 +103,8 @@ def _texts(filed: DataFrame) -> DataFrame:
 
 def recurring(filed: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """key, n (documents), most (its lines at most, copies included), first (doc_id and text hash) of lines that recur and of nodes with enough documents."""
-    each = filed.join(_texts(filed), "uid").select("doc_id", "h", (F.size("i") * F.col("copies")).alias("c"), F.explode(F.array_union("k", "node")).alias("key"))
+    keys = filed.select("uid", "doc_id", "h", F.size("l").alias("lines"), F.array_union("l.k", "l.node").alias("keys"))
+    each = keys.join(_texts(filed), "uid").select("doc_id", "h", (F.col("lines") * F.col("copies")).alias("c"), F.explode("keys").alias("key"))
     found = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("c").alias("most"), F.min(F.struct("doc_id", "h")).alias("first"))
     return found.filter(F.col("n") >= F.when(F.col("key").bitwiseAND(F.lit(3)) == _LONG, limits.long_documents).otherwise(limits.documents))
 
@@ -110,35 +118,47 @@ def _is(kind: str) -> Column:
     return low == _NODE if kind == "node" else low != _NODE
 
 
-def _opened(docs: DataFrame, nodes: DataFrame, limits: Limits, shown: bool) -> DataFrame:
-    """uid, doc_id, h, i, key (and template, if shown) of the lines in these nodes (key), for both templates of each."""
-    n = nodes.count()
-    line = lambda w, i: F.struct(i.alias("i"), _node(w).alias("node"), w.alias("w"))
-    enough = F.filter(F.transform(_masked(F.col("text")), line), lambda x: F.size(x["w"]) >= limits.min_tokens)
-    bloom = url_filters.encode(nodes, n, 0.1, 7).has(F.col("x.node")) if 0 < n <= url_filters.MAX_BYTES else F.lit(n > 0)
-    rows = _source(docs).select("doc_id", F.xxhash64("text").alias("h"), F.explode(enough).alias("x")).filter(bloom).select("doc_id", "h", "x.*")
-    rows = cut(rows.withColumn("uid", F.monotonically_increasing_id()))
-    place = lambda node, p, t: F.xxhash64(node, p, t)
-    # one row of each different text and line; a text's lines are in one task before its tokens are made distinct
-    texts = rows.groupBy("h", "i").agg(F.min("uid").alias("uid"), F.count("*").alias("copies"))
-    own = rows.join(texts, ["h", "i", "uid"]).groupBy("h").agg(F.flatten(F.collect_list(F.transform("w", lambda t, p: place(F.col("node"), p, t)))).alias("k"), F.max("copies").alias("c"))
-    fixed = own.select((F.size("k") * F.col("c")).alias("c"), F.explode(F.array_distinct("k")).alias("key")).groupBy("key").agg(F.count("*").alias("n"), F.sum("c").alias("most"))
-    fixed = cut(fixed.filter(F.col("n") >= limits.documents))
-    token = F.inline(F.transform("w", lambda t, p: F.struct(p.alias("p"), (t if shown else F.xxhash64(t)).alias("t"), t.rlike(r"\p{L}").alias("word"), place(F.col("node"), p, t).alias("key"))))
-    tokens = skew_join(rows.select("uid", "doc_id", "h", "i", token), fixed, "key", "most", _total(fixed), F.struct("uid", "p"))
-    again = tokens.groupBy("uid", "doc_id", "h", "i").agg(F.array_sort(F.collect_list(F.struct("p", "t", "word", "n"))).alias("w"), F.max("n").alias("docs"))
-    # all documents of a node have its leading tokens, so that the most is the number of its documents
-    open_ = F.lit("<*>") if shown else F.lit(0).cast("long")
+def _marked(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds for all these keys and few others: a byte for each of so many places, one where a key falls on it."""
+    n = keys.count()
+    if not 0 < n <= MOST_MARKED:
+        return lambda key: F.lit(n > 0)
+    place = lambda key: F.pmod(F.call_function("shiftright", key, F.lit(2)), F.lit(MARKS * n).cast("long")).cast("int")
+    marks = bytearray(MARKS * n)
+    for r in keys.select(place(F.col("key")).alias("p")).distinct().toLocalIterator():
+        marks[r.p] = 1
+    given = F.lit(marks)
+    return lambda key: F.substr(given, place(key) + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+
+
+def _opened(filed: DataFrame, nodes: DataFrame, limits: Limits, shown: bool = False) -> DataFrame:
+    """lid, doc_id, h, i, key (and template, if shown) of the lines in these nodes (key), for both templates of each."""
+    in_node = _marked(nodes)
+    place = lambda x: F.transform(x["t"], lambda t, p: F.xxhash64(x["node"], p, t))
+    fields = ["i", "node", "t", *(["w"] if shown else [])]
+    kept = F.transform(F.filter("l", lambda x: in_node(x["node"])), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    mine = cut(filed.select("uid", "doc_id", "h", kept.alias("l")).filter(F.size("l") > 0))
+    lines = mine.select("uid", "doc_id", "h", F.explode("l").alias("x")).select(F.xxhash64("uid", "x.i").alias("lid"), "doc_id", "h", *[f"x.{f}" for f in fields])
+    # documents with a token at its place: a text's copies are one, and so are its lines
+    texts = mine.groupBy("h").agg(F.first("l").alias("l"), F.count("*").alias("copies"))
+    keys = texts.select((F.size("l") * F.col("copies")).alias("c"), F.explode(F.array_distinct(F.flatten(F.transform("l", place)))).alias("key"))
+    fixed = cut(keys.groupBy("key").agg(F.count("*").alias("n"), F.sum("c").alias("most")).filter(F.col("n") >= limits.documents))
+    token = F.inline(F.transform("t", lambda t, p: F.struct(p.alias("p"), (t.bitwiseAND(F.lit(1)) == 1).alias("word"), F.xxhash64(F.col("node"), p, t).alias("key"))))
+    tokens = skew_join(lines.select("lid", token), fixed, "key", "most", _total(fixed), F.struct("lid", "p")).filter("n is not null")
+    again = tokens.groupBy("lid").agg(F.array_sort(F.collect_list(F.struct("p", "word", "key", "n"))).alias("f"), F.max("n").alias("docs"))
+    own = lines.select("lid", "doc_id", "h", "i", F.size("t").alias("size"), F.size(F.filter("t", lambda t: t.bitwiseAND(F.lit(1)) == 1)).alias("words"), *(["w"] if shown else []))
+
+    def view(number: int, kept: Column) -> Column:
+        words = F.size(F.filter(kept, lambda x: x["word"]))
+        shape = [F.xxhash64(F.lit(number), F.col("size"), F.transform(kept, lambda x: x["key"])).alias("key")]
+        if shown:
+            places = F.transform(kept, lambda x: x["p"])
+            shape.append(F.array_join(F.transform("w", lambda t, p: F.when(F.array_contains(places, p), t).otherwise("<*>")), " ").alias("template"))
+        return F.when((words >= limits.words) & (2 * words >= F.col("words")), F.struct(*shape))
 
-    def view(number: int, is_fixed: Callable[[Column], Column]) -> Column:
-        words = F.size(F.filter("w", lambda x: x["word"]))
-        fixed_words = F.size(F.filter("w", lambda x: x["word"] & is_fixed(x)))
-        masked = F.transform("w", lambda x: F.when(is_fixed(x), x["t"]).otherwise(open_))
-        shape = F.struct(F.xxhash64(F.lit(number), masked).alias("key"), *([F.array_join(masked, " ").alias("template")] if shown else []))
-        return F.when((fixed_words >= limits.words) & (2 * fixed_words >= words), shape)
-
-    views = [view(1, lambda x: x["n"].isNotNull()), view(2, lambda x: F.coalesce(x["n"] >= limits.share * F.col("docs"), F.lit(False)))]
-    return again.select("uid", "doc_id", "h", "i", F.inline(F.array_compact(F.array(*views))))
+    # all documents of a node have its leading tokens, so that the most is the number of its documents
+    views = [view(1, F.col("f")), view(2, F.filter("f", lambda x: x["n"] >= limits.share * F.col("docs")))]
+    return again.join(own, "lid").select("lid", "doc_id", "h", "i", F.inline(F.array_compact(F.array(*views))))
 
 
 def _generalised(opened: DataFrame, limits: Limits) -> DataFrame:
@@ -150,28 +170,28 @@ def _generalised(opened: DataFrame, limits: Limits) -> DataFrame:
 
 def decisions(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """doc_id, h (the text's hash), dropped: the numbers (from 0) of the lines to drop, of documents that have any."""
-    filed = cut(_filed(docs, limits))  # hashes and numbers only, for two uses
+    filed = cut(_filed(docs, limits))  # hashes and numbers only, for several uses
     found = cut(recurring(filed, limits).select("key", "most", F.col("first.h").alias("first")))
     whole = found.filter(_is("line"))
-    lines = filed.select("uid", "doc_id", "h", F.inline(F.arrays_zip("i", F.col("k").alias("key"))))
+    lines = filed.select("uid", "doc_id", "h", F.explode(F.transform("l", lambda x: F.struct(x["i"].alias("i"), x["k"].alias("key")))).alias("x")).select("uid", "doc_id", "h", "x.*")
     hits = skew_join(lines, whole, "key", "most", _total(whole), F.struct("uid", "i"))
-    opened = cut(_opened(docs, found.filter(_is("node")).select("key"), limits, shown=False))
+    opened = cut(_opened(filed, found.filter(_is("node")).select("key"), limits))
     general = cut(_generalised(opened, limits).select("key", "most", F.col("first.h").alias("first")))
-    more = skew_join(opened, general, "key", "most", _total(general), F.struct("uid", "key"))
+    more = skew_join(opened, general, "key", "most", _total(general), F.struct("lid", "key"))
     hit = hits.select("doc_id", "h", "i", "first").unionByName(more.select("doc_id", "h", "i", "first")).filter("first is not null and first <> h")
     return hit.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("i")).alias("dropped"))
 
 
 def templates(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """template (variable fields as <*>), tokens, documents, first_doc of what recurs; templates that read alike are one."""
-    filed = cut(_filed(docs, limits))
+    filed = cut(_filed(docs, limits, shown=True))
     found = cut(recurring(filed, limits))
     whole = found.filter(_is("line"))
-    own = _source(docs).select(F.explode(_masked(F.col("text"))).alias("w")).filter(F.size("w") >= limits.min_tokens).select(_line(F.col("w"), limits).alias("key"), F.array_join("w", " ").alias("template"))
+    own = filed.select(F.explode("l").alias("x")).select(F.col("x.k").alias("key"), F.array_join("x.w", " ").alias("template"))
     lines = skew_join(own, whole, "key", "most", _total(whole), F.col("template")).select("template", "n", "first")
-    opened = cut(_opened(docs, found.filter(_is("node")).select("key"), limits, shown=True))
+    opened = cut(_opened(filed, found.filter(_is("node")).select("key"), limits, shown=True))
     general = cut(_generalised(opened, limits))
-    more = skew_join(opened, general, "key", "most", _total(general), F.struct("uid", "key")).select("template", "n", "first")
+    more = skew_join(opened, general, "key", "most", _total(general), F.struct("lid", "key")).select("template", "n", "first")
     shown = lines.unionByName(more).filter("n is not null").groupBy("template").agg(F.max("n").alias("documents"), F.min("first.doc_id").alias("first_doc"))
     return shown.select("template", F.size(F.split("template", " ", -1)).cast("int").alias("tokens"), "documents", "first_doc")
 

@@ -133,7 +133,7 @@ m AS (
   FROM t JOIN s USING (n, a, b, p, x) GROUP BY rep, i, n),
 f AS (
   SELECT rep, i, n, v, array_to_string(list_transform(w, lambda y, j: CASE WHEN fixed[j] THEN y ELSE '<*>' END), ' ') AS key,
-         len(list_filter(w, lambda y: regexp_matches(y, '\p{L}'))) AS words, len(list_filter(w, lambda y, j: regexp_matches(y, '\p{L}') AND fixed[j])) AS fixed_words FROM m),
+         len(list_filter(w, lambda y: length(y) > 1)) AS words, len(list_filter(w, lambda y, j: length(y) > 1 AND fixed[j])) AS fixed_words FROM m),
 k AS (
   SELECT rep, i, n, 0 AS v, array_to_string(w, ' ') AS key FROM l UNION ALL
   SELECT rep, i, n, v, key FROM f WHERE fixed_words >= 3 AND 2 * fixed_words >= words),
