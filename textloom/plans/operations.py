@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as X
 from textloom.operators import commits as C
 from textloom.operators import evaluation as E
+from textloom.operators import evidence as Ev
 from textloom.operators import store as St
 from textloom.operators import vectors as V
 from textloom.plans.catalog import _LOG, _SCORED, _chats, query, scored_labels, table, versions
@@ -492,3 +493,30 @@ def mirror_stream(spark, sf_dir):
     m = mirror.Mirror(spark, f"{root}/mirror", lambda: blocked)
     change_source.drain_pages(spark, f"{root}/log", m.apply, f"{root}/checkpoint", last // 2 + 1)
     return m.table("files").select("path", F.lit("file").alias("part"), "content").unionByName(m.table("pending").select("path", F.lit("pending").alias("part"), "content"))
+
+
+# --- evidence
+
+_SENTENCES = r"""
+b AS (SELECT doc_id, unnest(string_split_regex(text, '\n\s*\n')) AS x, generate_subscripts(string_split_regex(text, '\n\s*\n'), 1) AS bi FROM documents),
+t AS (SELECT doc_id, bi, unnest(string_split(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1))) AS y,
+             generate_subscripts(string_split(regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), 1) AS si FROM b),
+sn AS (SELECT doc_id, y, list_distinct(regexp_extract_all(lower(y), '[a-z0-9]+')) AS tk, bi, si FROM t WHERE y <> ''),
+ed AS (SELECT e.doc_id AS edge_id, e.doc_id // 2 AS source, CASE WHEN e.doc_id % 3 = 0 THEN substr(s.text, 5, 20) ELSE 'zq zq' END AS quote,
+              list_distinct(regexp_extract_all(lower(CASE WHEN e.doc_id % 3 = 1 THEN substr(s.text, 1, 60) ELSE substr(e.text, 1, 60) END), '[a-z0-9]+')) AS tk, s.text AS body, e.doc_id % 13 = 5 AS lost
+       FROM documents e JOIN documents s ON s.doc_id = e.doc_id // 2 WHERE e.text IS NOT NULL AND s.text IS NOT NULL),
+jd AS (SELECT *, trim(regexp_replace(quote, '\s+', ' ', 'g')) <> '' AND contains(lower(trim(regexp_replace(body, '\s+', ' ', 'g'))), lower(trim(regexp_replace(quote, '\s+', ' ', 'g')))) AS quoted FROM ed),
+sc AS (SELECT edge_id, len(list_intersect(jd.tk, sn.tk)) AS n, len(jd.tk) AS m, y, bi, si FROM jd JOIN sn ON sn.doc_id = jd.source WHERE NOT lost AND NOT quoted),
+bs AS (SELECT edge_id, n / m AS p, y FROM sc WHERE n > 0 AND n / m >= 0.55 - 1e-12 QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY n DESC, bi, si) = 1)"""
+
+
+@query(f"""WITH {_SENTENCES} SELECT edge_id, CASE WHEN lost THEN 'missing_source' WHEN quoted THEN 'quoted' WHEN p IS NOT NULL THEN 'supported' ELSE 'unsupported' END AS status, round(p, 4) AS probability, y AS sentence FROM jd LEFT JOIN bs USING (edge_id)""")
+def evidence_lint(spark, sf_dir):
+    """Every document cites the one with half its id: a third by a quote, a third by the beginning of its text; some sources are missing."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").filter("text is not null")
+    s = d.select(F.col("doc_id").alias("source"), F.col("text").alias("body"))
+    n = F.col("doc_id")
+    e = d.withColumn("source", F.call_function("div", n, F.lit(2))).join(s, "source")
+    claim = F.when(n % 3 == 1, F.substring("body", 1, 60)).otherwise(F.substring("text", 1, 60))
+    e = e.select(n.alias("edge_id"), F.when(n % 13 == 5, F.lit("none")).otherwise(F.col("source").cast("string")).alias("source"), F.when(n % 3 == 0, F.substring("body", 5, 20)).otherwise("zq zq").alias("quote"), claim.alias("claim"))
+    return Ev.check(e, s.withColumn("source", F.col("source").cast("string"))).select("edge_id", "status", "probability", "sentence")
