@@ -36,7 +36,7 @@ MERGE_ROWS = 1_000_000
 #: Partitions (then groups) whose underfull bins meet in one group of the next level.
 FAN_IN = 8
 #: Of about 200 bytes each, per Python worker; up to twice as many while older ones are dropped.
-_CACHE_ENTRIES = 350_000
+_CACHE_ENTRIES = 700_000
 _TRAILING = b".,;:!?|#*$%&"
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill int"
@@ -56,9 +56,8 @@ class _Chunks(dict):
         ids = self.older.get(chunk)
         if ids is None:
             word = chunk.rstrip(_TRAILING)
-            # after an ASCII letter or digit, a run of punctuation is a token sequence of its own; others may change when
-            # the tokenizer normalizes them (a dotted capital I ends in a combining dot)
-            if len(word) < len(chunk) and word[-1:].isalnum():
+            # after a letter or digit, a run of punctuation is a token sequence of its own
+            if len(word) < len(chunk) and _stays(word):
                 ids = self[word] + self[chunk[len(word) :]]
             else:
                 ids = np.asarray(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
@@ -66,6 +65,17 @@ class _Chunks(dict):
         return ids
 
 
+def _stays(word: bytes) -> bool:
+    """Whether a word ends in a letter or digit of ASCII or Latin script that is one after lower-casing and normalizing, too.
+
+    A dotted capital I isn't: it becomes an i and a combining dot.
+    """
+    if word[-1:].isalnum():
+        return True
+    last = word[-4:].decode(errors="ignore")[-1:] if word[-1:] > b"\x7f" else ""
+    return "\x80" <= last < "\u0250" and last.isalnum() and len(last.lower()) == 1
+
+
 class ChunkEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes.
 
