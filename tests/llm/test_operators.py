@@ -377,6 +377,24 @@ def test_lines_of_nothing(spark):
     assert line_dedup.clean(empty(spark)).count() == 0
 
 
+def test_null_keys_are_dealt_out(spark):
+    """Half of the rows have no id, no text or no html: no task of a join gets most of them."""
+    parts = lambda df: Counter(r["_p"] for r in df.withColumn("_p", F.spark_partition_id()).collect())
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        docs = frame(spark, [(None if i % 2 else i, f"the same line of all here\n{i % 3} one" if i % 4 else None) for i in range(800)])
+        pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("doc_id").isNotNull(), F.repeat(F.col("text"), 9)).alias("html"))
+        for made, rows in ((line_dedup.clean(docs), 800), (ngram_join.keep_one(docs), None), (warc.plan(pages), 800)):
+            found = parts(made)
+            assert max(found.values()) < 0.3 * sum(found.values()) and rows in (None, sum(found.values()))
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 # --- 3 and 9
 
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._shared import components, cut, shuffle_partitions, skew_join
+from textloom.llm._shared import components, cut, own_key, shuffle_partitions, skew_join
 from textloom.llm.hashing import mix, shingle_hashes, text_steps, word_hashes
 
 N = 5
@@ -417,4 +417,5 @@ def join(docs: DataFrame, n: int = N, block_tokens: int = BLOCK_TOKENS, range_co
 def keep_one(docs: DataFrame, n: int = N, block_tokens: int = BLOCK_TOKENS, range_codes: int = RANGE_CODES) -> DataFrame:
     """docs without those whose component holds a smaller id; rows with a null doc_id stay."""
     gone = _components(docs, n, False, block_tokens=block_tokens, range_codes=range_codes).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    keyed = own_key(docs, "__ngram_join_key")
+    return keyed.join(gone, (keyed["__ngram_join_key"] == gone["_gone"]) & keyed["doc_id"].isNotNull(), "left_anti").select(*docs.columns)

@@ -46,11 +46,11 @@ def plan(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """pages with payload (string), payload_bytes, payload_digest and refers_to (null for responses)."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     p = p.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2(F.col("payload").cast("binary"), 256).alias("payload_digest"))
-    headers = p.filter(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest")
-    originals = cut(headers.groupBy("payload_digest").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1"))
+    # pages below the limit have no partner and no key, so that the join deals them out at random
+    p = p.withColumn("key", F.when(F.col("payload_bytes") >= min_bytes, F.col("payload_digest")))
+    originals = cut(p.filter("key is not null").select("page_id", "key").groupBy("key").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1"))
     total = originals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # one row per digest goes to one reducer; a page below the limit has no partner
-    joined = skew_join(p, originals, "payload_digest", "n", total, F.struct("page_id", "url"))
+    joined = skew_join(p, originals, "key", "n", total, F.struct("page_id", "url"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("original") != F.col("page_id"), F.col("original")).alias("refers_to"))
 
 
