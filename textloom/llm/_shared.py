@@ -35,6 +35,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """df, written once as a table of the shared folder and read back: smaller than a checkpoint where arrays of numbers are most of it."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -43,7 +50,8 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: i
     """left LEFT JOIN right USING (key), where right has unique keys and `weight` says how many left rows hold each.
 
     Heavy keys are fewer than MOST_HEAVY, so they are broadcast; right's rows must be of bounded size (numbers, hashes, short
-    names). Left rows of those keys go to random partitions of the second, shuffled join instead of gathering in one.
+    names). Left rows of those keys go to random partitions of the second, shuffled join instead of gathering in one, and so do
+    rows with a null key, which have no partner.
     Output: the columns of left, then the columns of right except key.
     """
     payload = [c for c in right.columns if c != key]
@@ -52,12 +60,20 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, weight: str, total: i
     # always 0, but not a constant that the optimizer would take out of the join's keys
     rest = right.filter(F.col(weight) <= bound).select(key, F.when(F.col(weight) > bound, -1).otherwise(0).alias("_salt"), *[F.col(c).alias(f"_r_{c}") for c in payload])
     salted = left.join(F.broadcast(heavy), key, "left").withColumn(
-        "_salt", F.when(F.col(f"_h_{weight}").isNotNull(), (F.pmod(F.xxhash64(uid), F.lit(1 << 20)) + 1).cast("int")).otherwise(F.lit(0))
+        "_salt", F.when(F.col(f"_h_{weight}").isNotNull() | F.col(key).isNull(), (F.pmod(F.xxhash64(uid), F.lit(1 << 20)) + 1).cast("int")).otherwise(F.lit(0))
     )
     joined = salted.join(rest, [key, "_salt"], "left")
     return joined.select(*left.columns, *[F.coalesce(f"_h_{c}", f"_r_{c}").alias(c) for c in payload])
 
 
+def own_key(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column `name`: doc_id, or a number of its own where that is null, for joins that null ids shall not gather in.
+
+    Such a number may be some document's id: the join must ask for doc_id, too.
+    """
+    return docs.withColumn(name, F.coalesce(docs["doc_id"].cast("long"), -1 - F.monotonically_increasing_id()))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list: rows (node, component), component the smallest node reachable.
 
