@@ -49,15 +49,19 @@ LEAST = 100
 COVERED = 100
 TOP = 2000
 #: Bits of the word filter, counters of each of the sketch's two rows, and the number of parts they travel in.
-FILTER_BITS, ROW, PARTS = 24, 1 << 23, 64
+FILTER_BITS, ROW, PARTS = 24, 1 << 24, 64
+#: Counters have 16 bits: after so many runs they are cut off at `least` again.
+_RUNS = 1 << 15
 #: Sketches are added up in groups of so many.
 FAN_IN = 64
 #: Candidates of a shard, and shards of a lang that texts are scanned for at most; beyond that counts are shuffled.
-PHRASES, SCANS = 250_000, 8
+PHRASES, SCANS = 60_000, 32
 _SALTS = 64
-_STEP_BYTES = 1 << 20
+_STEP_BYTES = 1 << 18
 #: Entries of a task's tables of words and phrases before they are handed on.
-_HELD = 300_000
+_HELD = 100_000
+#: Hashes of candidates that a task has handed on and remembers, about 70 bytes each.
+_SEEN = 500_000
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _BREAKS, b"abcdefghijklmnopqrstuvwxyz " + b"," * len(_BREAKS))
@@ -71,6 +75,11 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(lang.alias("lang"), F.col("text").cast("string").cast("binary").alias("text")).filter("text is not null")
 
 
+def _few(source: DataFrame) -> DataFrame:
+    """No more tasks than keep the cluster busy, for what a task sends however much it reads: sketches, distinct candidates."""
+    return source.coalesce(max(8, 2 * source.sparkSession.sparkContext.defaultParallelism))
+
+
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]]:
     """Normalized texts by lang: words are parted by blanks, pieces by commas. Long texts are cut at commas or else stay whole."""
     own: dict[str, list[bytes]] = {}
@@ -93,10 +102,15 @@ def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list[bytes]]
         yield own
 
 
+#: The automata that a worker has built, by scan.
+_built: dict[str, dict] = {}
+
+
 # --- words
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _built.clear()  # a worker may still have another query's automata
     held: dict[str, Counter] = {}
     for own in _steps(batches):
         for lang, texts in own.items():
@@ -104,6 +118,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(map(len, held.values())) > _HELD:
             yield from _counted(held)
     yield from _counted(held)
+    pa.default_memory_pool().release_unused()
 
 
 def _counted(held: dict[str, dict[bytes, int]]) -> Iterator[pa.RecordBatch]:
@@ -211,38 +226,41 @@ def _counters(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(frequent, least: int, longest: int):
-    kind = np.uint8 if least < 256 else np.uint32
+    kind = np.uint8 if least < 256 else np.uint16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * ROW, np.uint32)
+        counts = np.zeros(2 * ROW, np.uint16)
         for own in _steps(batches):
             for lang, texts in own.items():
                 runs = _Runs(lang, texts, frequent.value)
                 for k, at in runs.begins(longest):
                     for counters in _counters(runs.hashes(k, at)):
-                        np.add.at(counts, counters, np.uint32(1))
+                        for lo in range(0, len(counters), _RUNS):
+                            part = counters[lo : lo + _RUNS]
+                            np.add.at(counts, part, np.uint16(1))
+                            counts[part] = np.minimum(counts[part], np.uint16(least))
         if counts.any():
             task = TaskContext.get().partitionId()
-            for i, part in enumerate(np.split(np.minimum(counts, least).astype(kind), PARTS)):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["part", "task", "counts"])
+            for i, part in enumerate(np.split(counts, PARTS)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([part.astype(kind).tobytes()], pa.binary())], ["part", "task", "counts"])
 
     return run
 
 
 def _add(least: int):
-    kind = np.uint8 if least < 256 else np.uint32
+    kind = np.uint8 if least < 256 else np.uint16
 
     def run(table: pa.Table) -> pa.Table:
         total = np.zeros(2 * ROW // PARTS, np.uint32)
         for c in table.column("counts"):
-            total = np.minimum(total + np.frombuffer(c.as_py(), kind), least)
+            total = np.minimum(total + np.frombuffer(c.as_py(), kind), np.uint32(least))
         return pa.table([table.column("part").slice(0, 1), table.column("task").slice(0, 1), pa.array([total.astype(kind).tobytes()], pa.binary())], names=["part", "task", "counts"])
 
     return run
 
 
 def _reached(least: int):
-    kind = np.uint8 if least < 256 else np.uint32
+    kind = np.uint8 if least < 256 else np.uint16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -254,11 +272,10 @@ def _reached(least: int):
 
 def sketch(docs: DataFrame, frequent, least: int = LEAST, longest: int = LONGEST) -> np.ndarray:
     """The packed bits of both rows: whether a counter reaches `least`."""
-    source = _source(docs)
-    # a sketch has one size however much a task reads: no more tasks than keep the cluster busy
-    tasks = min(source.rdd.getNumPartitions(), max(8, 2 * source.sparkSession.sparkContext.defaultParallelism))
+    source = _few(_source(docs))
+    tasks = source.rdd.getNumPartitions()
     schema = "part int, task int, counts binary"
-    sums = source.coalesce(tasks).mapInArrow(_sketch(frequent, least, longest), schema)
+    sums = source.mapInArrow(_sketch(frequent, least, longest), schema)
     while tasks > FAN_IN:
         tasks = -(-tasks // FAN_IN)
         sums = sums.withColumn("group", F.pmod("task", F.lit(tasks))).groupBy("part", "group").applyInArrow(_add(least), schema)
@@ -266,39 +283,33 @@ def sketch(docs: DataFrame, frequent, least: int = LEAST, longest: int = LONGEST
     return _gathered(bits, PARTS, 2 * ROW // PARTS)
 
 
-def _find(frequent, bits, longest: int):
-    """Candidates with their counts, each once until the table of those found is handed on."""
+def _find(frequent, bits, longest: int, counted: bool):
+    """The candidates of a task: once each, or with their counts. What a task holds is bounded; beyond that some come again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, dict[int, list]] = {}
+        seen: dict[str, set[int]] = {}
+        held: dict[str, Counter] = {}
         for own in _steps(batches):
             for lang, texts in own.items():
-                runs, found = _Runs(lang, texts, frequent.value), held.setdefault(lang, {})
+                runs, known, counts = _Runs(lang, texts, frequent.value), seen.setdefault(lang, set()), held.setdefault(lang, Counter())
                 for k, at, hashes in runs.candidates(longest, bits.value):
                     each, one, n = np.unique(hashes, return_index=True, return_counts=True)
                     for h, p, c in zip(each.tolist(), at[one].tolist(), n.tolist(), strict=True):
-                        if h in found:
-                            found[h][1] += c
-                        else:
-                            found[h] = [b" ".join(runs.joined[runs.first[p] : runs.last[p + k - 1]].split(b" ")), c]
-            if sum(map(len, held.values())) > _HELD:
-                yield from _handed(held)
-        yield from _handed(held)
+                        if counted or h not in known:
+                            known.add(h)
+                            counts[b" ".join(runs.joined[runs.first[p] : runs.last[p + k - 1]].split())] += c
+            if not counted or sum(map(len, held.values())) > _HELD:
+                yield from _counted(held)
+            if counted or sum(map(len, seen.values())) > _SEEN:
+                seen.clear()
+        yield from _counted(held)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _handed(held: dict[str, dict[int, list]]) -> Iterator[pa.RecordBatch]:
-    for lang, found in held.items():
-        yield from _counted({lang: {phrase: n for phrase, n in found.values()}})
-    held.clear()
-
-
 # --- automata
 
-_built: dict[str, dict] = {}
-
-
 def _automata(token: str, shard: dict[str, tuple[np.ndarray, list[str]]]) -> dict:
     """The automaton and the numbers of its phrases by lang; a worker keeps those of one shard."""
     if token not in _built:
@@ -359,16 +370,18 @@ def scan(docs: DataFrame, candidates: DataFrame, phrases: int = PHRASES) -> Data
 
 def frequencies(docs: DataFrame, words: DataFrame, least: int = LEAST, longest: int = LONGEST, phrases: int = PHRASES, scans: int = SCANS) -> DataFrame:
     """lang, phrase, a of all phrases of 2 to `longest` words with `least` occurrences; words: those of word_counts()."""
+    if not 0 < least < 1 << 15:
+        raise ValueError("least must fit a counter")
     spark = docs.sparkSession
     parts = words.filter(F.col("n") >= least).select("lang", "phrase").mapInArrow(_word_bits, "part int, bit int").distinct().groupBy("part").applyInArrow(_pack_bits, "part int, bits binary").collect()
     frequent = spark.sparkContext.broadcast(_gathered(parts, 64, 1 << FILTER_BITS - 6))
     bits = spark.sparkContext.broadcast(sketch(docs, frequent, least, longest))
-    found = _source(docs).mapInArrow(_find(frequent, bits, longest), "lang string, phrase string, n long")
-    candidates = cut(found.select("lang", "phrase").distinct().withColumn("id", F.monotonically_increasing_id()))
+    found = lambda counted: _few(_source(docs)).mapInArrow(_find(frequent, bits, longest, counted), "lang string, phrase string, n long")
+    candidates = cut(found(False).select("lang", "phrase").distinct().withColumn("id", F.monotonically_increasing_id()))
     if candidates.count() <= phrases * scans:
         counted = scan(docs, candidates, phrases)
     else:
-        counted = found.groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
+        counted = found(True).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
     return counted.filter(F.col("a") >= least)
 
 
