@@ -36,7 +36,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm._shared import cut, keep, own_key, skew_join
+from textloom.llm._shared import cut, own_key, skew_join
 
 LEADING = 2
 #: Nodes that go into the plan as a literal of MARKS bytes each, at most.
@@ -137,7 +137,7 @@ def _opened(filed: DataFrame, nodes: DataFrame, limits: Limits, shown: bool = Fa
     place = lambda x: F.transform(x["t"], lambda t, p: F.xxhash64(x["node"], p, t))
     fields = ["i", "node", "t", *(["w"] if shown else [])]
     kept = F.transform(F.filter("l", lambda x: in_node(x["node"])), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
-    mine = keep(filed.select("uid", "doc_id", "h", kept.alias("l")).filter(F.size("l") > 0), "opened")
+    mine = filed.select("uid", "doc_id", "h", kept.alias("l")).filter(F.size("l") > 0)
     lines = mine.select("uid", "doc_id", "h", F.explode("l").alias("x")).select(F.xxhash64("uid", "x.i").alias("lid"), "doc_id", "h", *[f"x.{f}" for f in fields])
     # documents with a token at its place: a text's copies are one, and so are its lines
     texts = mine.groupBy("h").agg(F.first("l").alias("l"), F.count("*").alias("copies"))
@@ -170,7 +170,7 @@ def _generalised(opened: DataFrame, limits: Limits) -> DataFrame:
 
 def decisions(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """doc_id, h (the text's hash), dropped: the numbers (from 0) of the lines to drop, of documents that have any."""
-    filed = keep(_filed(docs, limits), "lines")  # hashes and numbers only, for several uses
+    filed = cut(_filed(docs, limits))  # hashes and numbers only, for several uses
     found = cut(recurring(filed, limits).select("key", "most", F.col("first.h").alias("first")))
     whole = found.filter(_is("line"))
     lines = filed.select("uid", "doc_id", "h", F.explode(F.transform("l", lambda x: F.struct(x["i"].alias("i"), x["k"].alias("key")))).alias("x")).select("uid", "doc_id", "h", "x.*")
@@ -184,7 +184,7 @@ def decisions(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
 
 def templates(docs: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """template (variable fields as <*>), tokens, documents, first_doc of what recurs; templates that read alike are one."""
-    filed = keep(_filed(docs, limits, shown=True), "lines")
+    filed = cut(_filed(docs, limits, shown=True))
     found = cut(recurring(filed, limits))
     whole = found.filter(_is("line"))
     own = filed.select(F.explode("l").alias("x")).select(F.col("x.k").alias("key"), F.array_join("x.w", " ").alias("template"))
