@@ -50,7 +50,7 @@ def plan(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     p = p.withColumn("key", F.when(F.col("payload_bytes") >= min_bytes, F.col("payload_digest")))
     originals = cut(p.filter("key is not null").select("page_id", "key").groupBy("key").agg(F.min("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1"))
     total = originals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = skew_join(p, originals, "key", "n", total, F.struct("page_id", "url"))
+    joined = skew_join(p, originals, "key", "n", total, F.monotonically_increasing_id())
     return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("original") != F.col("page_id"), F.col("original")).alias("refers_to"))
 
 
