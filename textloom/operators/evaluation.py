@@ -348,9 +348,18 @@ def check_evidence(rows: DataFrame, body: str, evidence: str, claim: str, thresh
 def contradiction_pairs(claims: DataFrame, n: int = 200) -> DataFrame:
     """Pairs of claims (entity, ord, path, text) on one entity from two pages, i before j, the first n by (entity, i, j).
 
-    Only an entity's first n claims can be in the first n pairs of it, so the join sees no more of any entity.
+    Claims without an entity, ord or path are in no pair. Other claims of the same page, or with the same ord, are no partners, however
+    many they are, so an entity's first claims alone won't do. At one ord n claims of a page and 2n of all are enough. Of the ords, all but the last
+    page's have partners, so that the first n + 1 with any hold the first n pairs; a partner has fewer than 2n + 1 ords with other pages
+    than the claim's before it, so that each page's first 2n + 2 ords, and of what is left an entity's first 4n + 4, are enough.
     """
-    first = claims.withColumn("_k", F.row_number().over(W.partitionBy("entity").orderBy("ord"))).filter(F.col("_k") <= n + 1)
+    first = claims.filter("entity is not null and ord is not null and path is not null")
+    by = lambda *own: W.partitionBy("entity", *own)
+    for k, most in (
+        (F.dense_rank().over(by("path").orderBy("ord")), 2 * n + 2), (F.row_number().over(by("ord", "path").orderBy("text")), n),
+        (F.row_number().over(by("ord").orderBy("path", "text")), 2 * n), (F.dense_rank().over(by().orderBy("ord")), 4 * n + 4),
+    ):
+        first = first.withColumn("_k", k).filter(F.col("_k") <= most)
     a = first.select("entity", F.col("ord").alias("i"), F.col("path").alias("path_a"), F.col("text").alias("a"))
     b = first.select("entity", F.col("ord").alias("j"), F.col("path").alias("path_b"), F.col("text").alias("b"))
     return a.join(b, "entity").filter("i < j and path_a <> path_b").orderBy("entity", "i", "j").limit(n)
