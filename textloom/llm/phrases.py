@@ -5,7 +5,8 @@ runs of 2 to `LONGEST` words of a piece, and everything is counted apart for eac
 
 1. Words are counted exactly. Only runs of words with `least` occurrences can be phrases with as many; which words these
    are travels as a filter of fixed size (2^24 bits).
-2. Each task counts the runs in a sketch of two rows of hashed counters. Counters are cut off at `least` and added up in a
+2. Each task counts the runs in a sketch of two rows of hashed counters, first those of two words and then, of the longer ones,
+   only those whose pairs can all have `least` occurrences, so that rare runs don't fill it. Counters are cut off at `least` and added up in a
    tree; what remains is one bit a counter: whether its sum, an upper bound of the counts of all runs that fall on it,
    reaches `least`. A run is a candidate if the bits of all runs within it, its own included, are set: no phrase with
    `least` occurrences can be missing.
@@ -14,8 +15,8 @@ runs of 2 to `LONGEST` words of a piece, and everything is counted apart for eac
    their texts with each shard's automaton and count all matches, overlapping ones too; the counts are summed.
 4. `least` is applied to the exact counts; a candidate's counts and those of its parts give its score.
 
-Bounds: filter and sketch have fixed sizes. Up to PHRASES * SCANS candidates are broadcast; if the sketch, which a corpus
-beyond some tens of GB fills, leaves more, their runs' counts are shuffled instead of scanned for, with the same result.
+Bounds: filter and sketch have fixed sizes. Up to PHRASES * SCANS candidates are broadcast; every scan
+reads all texts, so their number is fixed; if more are left, their runs' counts are shuffled instead of scanned for, with the same result.
 Joins with parts of phrases salt the parts that many candidates share; the best of each lang are found in salted groups
 first. No step gathers a lang's candidates.
 
@@ -55,7 +56,7 @@ _RUNS = 1 << 15
 #: Sketches are added up in groups of so many.
 FAN_IN = 64
 #: Candidates of a shard, and shards of a lang that texts are scanned for at most; beyond that counts are shuffled.
-PHRASES, SCANS = 60_000, 32
+PHRASES, SCANS = 60_000, 4
 _SALTS = 64
 _STEP_BYTES = 1 << 18
 #: Entries of a task's tables of words and phrases before they are handed on.
@@ -175,7 +176,7 @@ def _is_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 class _Runs:
     """Words of the texts of one lang, and the counters of the runs of k frequent words that begin at each."""
 
-    def __init__(self, lang: str, texts: list[bytes], frequent: np.ndarray):
+    def __init__(self, lang: str, texts: list[bytes], frequent: np.ndarray, pairs: np.ndarray | None = None):
         self.joined = b",".join(texts)
         raw = np.frombuffer(self.joined, np.uint8)
         gap = np.concatenate([[True], _IS_GAP[raw], [True]])
@@ -184,8 +185,11 @@ class _Runs:
         piece = np.cumsum(_IS_BREAK[raw])[self.first] if len(raw) else np.zeros(0, np.int64)
         self.words = mix(word_hashes([self.joined], _IS_GAP)[0] ^ _seed(lang))
         known = _is_set(frequent, (self.words >> np.uint64(64 - FILTER_BITS)).astype(np.int64))
-        # next[i]: words i and i + 1 are frequent words of one piece
+        # next[i]: words i and i + 1 are frequent words of one piece, and their pair has its bits set
         self.next = known[1:] & known[:-1] & (piece[1:] == piece[:-1])
+        if pairs is not None:
+            at = np.flatnonzero(self.next)
+            self.next[at] = np.logical_and(*(_is_set(pairs, c) for c in _counters(self.hashes(2, at))))
 
     def hashes(self, k: int, begins: np.ndarray) -> np.ndarray:
         """Hashes of the runs of k words from `begins` on."""
@@ -207,13 +211,13 @@ class _Runs:
             whole = whole[:-1] & self.next[k - 1 :]
 
     def candidates(self, longest: int, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(k, places, hashes) of the runs whose every part of two words or more has its bits set."""
+        """(k, places, hashes) of the runs whose every part of two words or more has its bits set (those of pairs were seen to)."""
         before = None
         for k, at in self.begins(longest):
             if before is not None:
                 at = at[before[at] & before[at + 1]]
             h = self.hashes(k, at)
-            passed = np.logical_and(*(_is_set(bits, c) for c in _counters(h)))
+            passed = np.logical_and(*(_is_set(bits, c) for c in _counters(h))) if k > 2 else np.ones(len(at), bool)
             before = np.zeros(len(self.words), bool)
             before[at[passed]] = True
             yield k, at[passed], h[passed]
@@ -225,15 +229,17 @@ def _counters(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64) + ROW
 
 
-def _sketch(frequent, least: int, longest: int):
+def _sketch(frequent, least: int, longest: int, pairs):
     kind = np.uint8 if least < 256 else np.uint16
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * ROW, np.uint16)
         for own in _steps(batches):
             for lang, texts in own.items():
-                runs = _Runs(lang, texts, frequent.value)
+                runs = _Runs(lang, texts, frequent.value, pairs and pairs.value)
                 for k, at in runs.begins(longest):
+                    if pairs and k == 2:
+                        continue
                     for counters in _counters(runs.hashes(k, at)):
                         for lo in range(0, len(counters), _RUNS):
                             part = counters[lo : lo + _RUNS]
@@ -270,12 +276,12 @@ def _reached(least: int):
     return run
 
 
-def sketch(docs: DataFrame, frequent, least: int = LEAST, longest: int = LONGEST) -> np.ndarray:
-    """The packed bits of both rows: whether a counter reaches `least`."""
+def sketch(docs: DataFrame, frequent, least: int = LEAST, longest: int = LONGEST, pairs=None) -> np.ndarray:
+    """The packed bits of both rows: whether a counter reaches `least`. With the bits of pairs, only longer runs are counted."""
     source = _few(_source(docs))
     tasks = source.rdd.getNumPartitions()
     schema = "part int, task int, counts binary"
-    sums = source.mapInArrow(_sketch(frequent, least, longest), schema)
+    sums = source.mapInArrow(_sketch(frequent, least, longest, pairs), schema)
     while tasks > FAN_IN:
         tasks = -(-tasks // FAN_IN)
         sums = sums.withColumn("group", F.pmod("task", F.lit(tasks))).groupBy("part", "group").applyInArrow(_add(least), schema)
@@ -283,7 +289,7 @@ def sketch(docs: DataFrame, frequent, least: int = LEAST, longest: int = LONGEST
     return _gathered(bits, PARTS, 2 * ROW // PARTS)
 
 
-def _find(frequent, bits, longest: int, counted: bool):
+def _find(frequent, pairs, bits, longest: int, counted: bool):
     """The candidates of a task: once each, or with their counts. What a task holds is bounded; beyond that some come again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +297,7 @@ def _find(frequent, bits, longest: int, counted: bool):
         held: dict[str, Counter] = {}
         for own in _steps(batches):
             for lang, texts in own.items():
-                runs, known, counts = _Runs(lang, texts, frequent.value), seen.setdefault(lang, set()), held.setdefault(lang, Counter())
+                runs, known, counts = _Runs(lang, texts, frequent.value, pairs.value), seen.setdefault(lang, set()), held.setdefault(lang, Counter())
                 for k, at, hashes in runs.candidates(longest, bits.value):
                     each, one, n = np.unique(hashes, return_index=True, return_counts=True)
                     for h, p, c in zip(each.tolist(), at[one].tolist(), n.tolist(), strict=True):
@@ -375,8 +381,9 @@ def frequencies(docs: DataFrame, words: DataFrame, least: int = LEAST, longest:
     spark = docs.sparkSession
     parts = words.filter(F.col("n") >= least).select("lang", "phrase").mapInArrow(_word_bits, "part int, bit int").distinct().groupBy("part").applyInArrow(_pack_bits, "part int, bits binary").collect()
     frequent = spark.sparkContext.broadcast(_gathered(parts, 64, 1 << FILTER_BITS - 6))
-    bits = spark.sparkContext.broadcast(sketch(docs, frequent, least, longest))
-    found = lambda counted: _few(_source(docs)).mapInArrow(_find(frequent, bits, longest, counted), "lang string, phrase string, n long")
+    pairs = spark.sparkContext.broadcast(sketch(docs, frequent, least, 2))
+    bits = spark.sparkContext.broadcast(sketch(docs, frequent, least, longest, pairs))
+    found = lambda counted: _few(_source(docs)).mapInArrow(_find(frequent, pairs, bits, longest, counted), "lang string, phrase string, n long")
     candidates = cut(found(False).select("lang", "phrase").distinct().withColumn("id", F.monotonically_increasing_id()))
     if candidates.count() <= phrases * scans:
         counted = scan(docs, candidates, phrases)
