@@ -1,7 +1,6 @@
 """The sketch of longer runs holds only those whose pairs can be frequent."""
 
 from collections import Counter
-from types import SimpleNamespace
 
 import numpy as np
 
@@ -22,5 +21,6 @@ def test_runs_of_rare_pairs_are_not_counted(spark):
     assert runs[2] < sum(pairs.values()) and runs[2] >= sum(n for n in pairs.values() if n >= 40) >= 120
     longer = phrases.sketch(docs, frequent, 40, 5, bits)
     assert np.unpackbits(longer).sum() <= 2 * 10  # both rows: abc, bcd, cde, abcd, bcde, abcde, and few that fall together
-    got = {len(p.split()) for p in (r.phrase for r in docs.mapInArrow(phrases._find(frequent, bits, SimpleNamespace(value=longer), 5, False), "lang string, phrase string, n long").collect())}
-    assert got >= {2, 3, 4, 5}
+    held = spark.sparkContext.broadcast(longer)
+    found = phrases._source(docs).mapInArrow(phrases._find(frequent, bits, held, 5, False), "lang string, phrase string, n long").collect()
+    assert {len(r.phrase.split()) for r in found} >= {2, 3, 4, 5}
