@@ -54,3 +54,14 @@ def test_one_long_sentence_is_not_copied_once_a_word(spark):
     edges = spark.createDataFrame([(1, "p", "none", words), (2, "p", "none", "w5 w6 absent"), (3, "q", "none", "w5 w6"), (4, "x", "none", "a"), (5, "p", "one. w0 w1", None), (6, "p", "none", None)], "edge_id long, source string, quote string, claim string")
     got = {r.edge_id: (r.status, r.probability) for r in evidence.check(edges, pages).collect()}
     assert got == {1: ("supported", 1.0), 2: ("supported", 0.6667), 3: ("unsupported", None), 4: ("missing_source", None), 5: ("quoted", None), 6: ("unsupported", None)}
+
+
+def test_postings_tokenize_a_row_once(spark):
+    """A filter that Spark inferred from inline() counted and tokenized every row a second and a third time."""
+    from textloom.operators import search as S
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "doc_id long, text string")
+    posts, _ = S.postings(docs, ["doc_id"], "text")
+    plan = posts.filter("term = 'a'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert sorted(map(tuple, posts.collect())) == [(1, "a", 2, 3), (1, "b", 1, 3)]

@@ -77,7 +77,8 @@ def term_counts(tokens: Column | str) -> Column:
 def postings(rows: DataFrame, key: list[str], text: str) -> tuple[DataFrame, DataFrame]:
     """(postings: key, term, tf, dl; rows: key, dl) as tables to keep. Terms are counted within their row: nothing is shuffled."""
     t = rows.select(*key, X.tokenize(text).alias("_t")).select(*key, F.size("_t").alias("dl"), term_counts("_t").alias("_r"))
-    return t.select(*key, "dl", F.inline("_r")).select(*key, "term", "tf", "dl"), rows.select(*key, F.size(X.tokenize(text)).alias("dl"))
+    # of a plain inline() Spark asks first whether the array is empty, and so counts and tokenizes each row again
+    return t.select(*key, "dl", F.inline_outer("_r")).filter("term is not null").select(*key, "term", "tf", "dl"), rows.select(*key, F.size(X.tokenize(text)).alias("dl"))
 
 
 def bucket_of(term: Column | str, buckets: int) -> Column:
@@ -122,7 +123,7 @@ def bm25_postings(posts: DataFrame, docs: DataFrame, key: list[str], query: str,
 
 def document_frequencies(rows: DataFrame, text: str) -> DataFrame:
     """term, df, cf: documents and places of every term, by one aggregation of the rows' own counts."""
-    t = rows.select(X.tokenize(text).alias("_t")).select(F.inline(term_counts("_t")))
+    t = rows.select(X.tokenize(text).alias("_t")).select(F.inline_outer(term_counts("_t"))).filter("term is not null")
     return t.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
