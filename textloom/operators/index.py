@@ -92,10 +92,13 @@ class Index:
         lost = F.array_except(F.transform(had, lambda x: x["term"]), F.transform(now, lambda x: x["term"]))
         gained = F.array_except(F.transform(now, lambda x: x["term"]), F.transform(had, lambda x: x["term"]))
         # a row whose length has changed writes all of its postings, since each has the length
-        fresh = F.when(F.col("dl").eqNullSafe(F.col("had_dl")), F.array_except(now, had)).otherwise(now)
-        posts = step.select(key, F.col("dl"), F.inline(F.concat(fresh, F.transform(lost, lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"))))))
-        df = step.select(F.explode(F.concat(F.transform(gained, lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))), F.transform(lost, lambda t: F.struct(t.alias("term"), F.lit(-1).alias("d"))))).alias("x"))
-        df = df.groupBy("x.term").agg(F.sum("x.d").cast("long").alias("d")).filter("d <> 0")
+        # (lists of structs would be compared each with each: strings are hashed)
+        said = lambda x: F.concat_ws(" ", x["term"], x["tf"])
+        told = lambda x: F.struct(F.substring_index(x, " ", 1).alias("term"), F.substring_index(x, " ", -1).cast("int").alias("tf"))
+        fresh = F.when(F.col("dl").eqNullSafe(F.col("had_dl")), F.transform(F.array_except(F.transform(now, said), F.transform(had, said)), told)).otherwise(now)
+        posts = step.select(key, F.col("dl"), F.inline_outer(F.concat(fresh, F.transform(lost, lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf")))))).filter("term is not null")
+        df = step.select(F.explode_outer(F.concat(F.transform(gained, lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))), F.transform(lost, lambda t: F.struct(t.alias("term"), F.lit(-1).alias("d"))))).alias("x"))
+        df = df.filter("x is not null").groupBy("x.term").agg(F.sum("x.d").cast("long").alias("d")).filter("d <> 0")
         self._write("postings", name, posts.select("term", self.key, "tf", F.coalesce("dl", F.lit(0)).alias("dl"), F.lit(version).alias("version"), self._bucket("term").alias("bucket")), "term")
         self._write("frequencies", name, df.select("term", "d", self._bucket("term").alias("bucket")), "term")
         self._write("rows", name, step.select(self.key, "dl", "terms", F.lit(version).alias("version"), "bucket"), self.key)
