@@ -15,6 +15,8 @@ STALE_DAYS, STALE_INBOUND = 90, 3
 # Phrases that begin with one of these are section headers, not names.
 HEADERS = ("Section", "Where", "Sources", "Tags", "Type", "Title")
 PHRASE = r"(?U)\b([A-Z][a-zA-Z0-9]+(?:\s+[A-Z][a-zA-Z0-9]+){0,3})\b"
+#: What report() reads of pages, and what it reads for suggested pages besides: to be chosen before pages are kept, so that sections aren't parsed.
+READ, READ_BY_PHRASES = ("rel_path", "slug", "meta", "malformed", "line_count", "links", "updated", "read_error"), ("title", "body")
 CATEGORIES = ("orphans", "broken_links", "oversized_hard", "oversized_soft", "missing_frontmatter", "malformed_frontmatter", "duplicate_slugs", "stale_pages", "suggested_pages", "read_errors")
 
 

@@ -684,8 +684,9 @@ def stream_changes(spark, sf_dir):
 
 
 def _lint(spark, sf_dir, suggest_min: int | None = None) -> DataFrame:
-    """Findings of the pages below. All of them read the parsed pages, which are persisted, so each is parsed once."""
-    return Lint.report(parse.parse_pages(_wiki_files(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK), "2024-06-01", suggest_min)
+    """Findings of the pages below. All of them read the parsed pages, of which what they need is persisted, so each is parsed once."""
+    pages = parse.parse_pages(_wiki_files(spark, sf_dir)).select(*Lint.READ, *(Lint.READ_BY_PHRASES if suggest_min is not None else ()))
+    return Lint.report(pages.persist(StorageLevel.MEMORY_AND_DISK), "2024-06-01", suggest_min)
 
 
 def _wiki_files(spark, sf_dir) -> DataFrame:
