@@ -4,7 +4,7 @@ Candidate blocks are runs of lines with licensing words, grown on both sides by
 that wrapped notices are whole. Within a block every template whose decisive words (names, versions) are all there is
 compared word by word: short notices around each place of their rarest decisive word, long texts along the runs of five
 words that they share with the block. A place is confirmed if few of the template's words are missing there, few are put in,
-and all decisive words are there. Each confirmed place is compressed with zstandard alone and with the template as a raw
+and all decisive words are there. Each confirmed place is compressed, words alone, with zstandard by itself and with the template's words as a raw
 dictionary; the places are ranked by the bytes that this saves, so that a license's whole text goes before its first
 sentence, and take their words in that order (of equal savings that with the fewest differences first, then the template
 that comes first). All places are found in one sweep and ranked once: a block with many thousand notices takes time in proportion.
@@ -207,8 +207,8 @@ class Scanner:
 
         self.templates = templates
         self.plain = z.ZstdCompressor(level=3, write_content_size=False)
-        self.given = [z.ZstdCompressor(level=3, write_content_size=False, dict_data=z.ZstdCompressionDict(t.text.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for t in templates]
         self.words = [_WORDS.findall(t.text.lower()) for t in templates]
+        self.given = [z.ZstdCompressor(level=3, write_content_size=False, dict_data=z.ZstdCompressionDict(" ".join(w).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for w in self.words]
         self.runs = [self._unique_runs(w) if len(w) >= LONG else None for w in self.words]
 
     @staticmethod
@@ -218,9 +218,9 @@ class Scanner:
             places.setdefault(tuple(words[i : i + RUN]), []).append(i)
         return {run: at[0] for run, at in places.items() if len(at) == 1}
 
-    def saved(self, part: str, i: int) -> int:
-        """Bytes that template i saves as a dictionary."""
-        data = part.encode("utf-8", "replace")
+    def saved(self, words: list[str], i: int) -> int:
+        """Bytes of these words that template i saves as a dictionary."""
+        data = " ".join(words).encode()
         return len(self.plain.compress(data)) - len(self.given[i].compress(data))
 
     def _short(self, have: list[str], at: dict[str, list[int]], i: int) -> Iterator[tuple[int, int, int, int]]:
@@ -279,8 +279,7 @@ class Scanner:
                 found = self._long(have, i) if self.runs[i] else self._short(have, at, i)
                 for missing, inserted, a, b in sorted(found, key=lambda x: (x[0] + x[1], x)):
                     if taken.take(a, b):
-                        a, b = spans[a][0], spans[b - 1][1]
-                        out.append((self.saved(block[a:b], i), i, missing, inserted, a, b))
+                        out.append((self.saved(have[a:b], i), i, missing, inserted, spans[a][0], spans[b - 1][1]))
         return out
 
     def every(self, first: int, block: str) -> Iterator[tuple[int, str, int, int, int]]:
