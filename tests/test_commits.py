@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.operators import commits, store
 from textloom.operators.components import components
@@ -84,3 +85,22 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a int, b int")).collect()))
     own = {x for a, b in edges if a is not None and a != b for x in (a, b)}
     assert got == {x: find(x) for x in own}
+
+
+def test_many_commits_on_one_page(spark):
+    n = 20_050
+    requests = spark.range(n).select(F.col("id").alias("seq"), F.lit('[{"op":"append","path":"log/a","text":"é","create":true}]').alias("ops"))
+    done = commits.apply_all(spark.createDataFrame([], store.VERSIONS), requests).select("seq", "status", F.col("versions")[0]["rev"].alias("rev"), F.octet_length(F.col("versions")[0]["content"]).alias("bytes"))
+    got = done.agg(F.count_if((F.col("status") == "applied") & (F.col("rev") == F.col("seq") + 1) & (F.col("bytes") == 3 * F.col("rev"))).alias("right"), F.count("*").alias("n")).first()
+    assert (got.right, got.n) == (n, n)
+
+
+def test_older_versions_are_kept_as_long_as_they_are_asked_for():
+    c = commits._Component()
+    rows = [{"kind": commits._BASE, "path": "a", "rev": rev, "seq": seq} for rev, seq in ((1, 3), (2, None), (3, 9))]
+    rows += [{"kind": commits._REQUEST, "path": None, "rev": None, "seq": i, "ops": json.dumps([{"op": "upsert", "path": "a", "content": f"{i}\n"}]), "message": None, "log": None, "author": None, "today": None} for i in range(1, 11)]
+    held = []
+    for r in rows:
+        c.take(r)
+        held.append(sorted(rev for _, rev in c.state.versions))
+    assert held[3:] == [[1], [1, 2], [1, 2, 3], [2, 3], [2, 3], [2, 3], [2, 3], [2, 3], [2, 3], [2]]

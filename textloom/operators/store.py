@@ -128,7 +128,7 @@ class _State:
 
     files: dict[str, tuple[int, str | None]]
     versions: dict[tuple[str, int], str | None] = field(default_factory=dict)
-    changed: dict[str, None] = field(default_factory=dict)
+    changed: dict[str, tuple[int, str | None]] = field(default_factory=dict)  # what was there before
 
     def get(self, path: str) -> tuple[int, str | None]:
         return self.files.get(path, (0, None))
@@ -136,9 +136,9 @@ class _State:
     def put(self, path: str, content: str | None) -> None:
         if content is not None and _size(content) > MAX_FILE:
             raise ValueError(f"{path} would be larger than {MAX_FILE} bytes")
-        rev = self.get(path)[0]
-        self.files[path] = (rev + (path not in self.changed), content)
-        self.changed.setdefault(path)
+        was = self.get(path)
+        self.files[path] = (was[0] + (path not in self.changed), content)
+        self.changed.setdefault(path, was)
 
     def since(self, path: str, rev: int) -> str | None:
         """What happened to a path since one of its revisions, as a diff."""
@@ -235,8 +235,8 @@ def commit(spark: SparkSession, versions: DataFrame, ops: list[dict], seq: int,
 
 def written(state: _State, ops: list[dict]) -> list[tuple]:
     """The versions (path, rev, content, sha256, deleted) that operations make of a state, which moves on. All or nothing: on a
-    Conflict, which names the operation, or a ValueError the state stays."""
-    before, state.changed = dict(state.files), {}
+    Conflict, which names the operation, or another error the state stays."""
+    state.changed = {}
     try:
         for i, op in enumerate(ops):
             try:
@@ -244,12 +244,12 @@ def written(state: _State, ops: list[dict]) -> list[tuple]:
             except Conflict as e:
                 e.details["op_index"] = i
                 raise
-    except (Conflict, ValueError):
-        state.files = before
+    except Exception:
+        state.files.update(state.changed)
         raise
     out = []
-    for p in state.changed:
-        (rev, old), new = before.get(p, (0, None)), state.get(p)[1]
+    for p, (rev, old) in state.changed.items():
+        new = state.get(p)[1]
         state.files[p] = (rev + (new != old), new)
         if new != old:
             out.append((p, rev + 1, new, None if new is None else _sha(new), new is None))
