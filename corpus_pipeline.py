@@ -42,10 +42,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+#: Executors and their Python workers still hold memory of the stages before, so packing has a smaller cache of tokens here.
+CACHE_ENTRIES = 100_000
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, as packing.pack gives them."""
     ship(spark)
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), entries=CACHE_ENTRIES)
 
 
 STAGES = [

@@ -98,13 +98,15 @@ class ChunkEncoder:
                 yield b"".join(map(self.chunks.__getitem__, text.lower().replace(b"\n", b" ").split(b" ")))
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+#: The encoder that a worker keeps.
+_encoders: dict[tuple[str, int], ChunkEncoder] = {}
 
 
-def _encoder(path: str) -> ChunkEncoder:
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+def _encoder(path: str, entries: int) -> ChunkEncoder:
+    if (path, entries) not in _encoders:
+        _encoders.clear()
+        _encoders[path, entries] = ChunkEncoder(path, entries)
+    return _encoders[path, entries]
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -136,11 +138,12 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return into, at, fills
 
 
-def _local(path: str, capacity: int, end_id: int, rows: int):
+def _local(path: str, capacity: int, end_id: int, rows: int, entries: int):
     """Tokenize and pack one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(path), np.asarray([end_id], "<u4").tobytes()
+        pa.default_memory_pool().release_unused()  # what a worker's earlier stages have left
+        encoder, end = _encoder(path, entries), np.asarray([end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 36
         held: list[tuple[int, int, int, int, int]] = []
 
@@ -181,11 +184,14 @@ def _merge(capacity: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, slack: int = SLACK, rows: int = 500_000, merge_rows: int = MERGE_ROWS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, slack: int = SLACK, rows: int = 500_000, merge_rows: int = MERGE_ROWS, entries: int = _CACHE_ENTRIES) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
+
+    entries: chunks in a worker's cache of ids. Fewer take less memory and more time, with the same rows.
+    """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     groups = source.rdd.getNumPartitions()
-    pieces = cut(source.mapInArrow(_local(tokenizer, capacity, end_id, rows), _PIECES))
+    pieces = cut(source.mapInArrow(_local(tokenizer, capacity, end_id, rows, entries), _PIECES))
     items = cut(pieces.filter(F.col("fill") < capacity - slack).groupBy("bin").agg(F.first("fill").cast("long").alias("fill")))
     where = items.select("bin", F.col("bin").alias("into"), F.lit(0).cast("long").alias("base"))
     n = items.count()
