@@ -59,6 +59,8 @@ FAN_IN = 64
 PHRASES, SCANS = 60_000, 4
 _SALTS = 64
 _STEP_BYTES = 1 << 18
+#: Counts that a scan's tasks hand on in one row.
+_BLOCK = 4096
 #: Entries of a task's tables of words and phrases before they are handed on.
 _HELD = 100_000
 #: Hashes of candidates that a task has handed on and remembers, about 70 bytes each.
@@ -316,36 +318,51 @@ def _find(frequent, pairs, bits, longest: int, counted: bool):
 
 # --- automata
 
-def _automata(token: str, shard: dict[str, tuple[np.ndarray, list[str]]]) -> dict:
-    """The automaton and the numbers of its phrases by lang; a worker keeps those of one shard."""
+def _automata(token: str, shard: dict[str, tuple[int, list[str]]]) -> dict:
+    """The automaton of each lang, and its phrases' first place and number; a worker keeps those of one shard."""
     if token not in _built:
         import ahocorasick
 
         _built.clear()
         made = {}
-        for lang, (ids, phrases) in shard.items():
+        for lang, (first, phrases) in shard.items():
             a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             for i, p in enumerate(phrases):
                 a.add_word(f" {p} ", i)
             a.make_automaton()
-            made[lang] = a, ids
+            made[lang] = a, first, len(phrases)
         _built[token] = made
     return _built[token]
 
 
 def _scan(token: str, shard):
+    """A task's counts of all phrases of a shard, in blocks: its output is as large however much it reads."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automata = _automata(token, shard.value)
-        counts = {lang: np.zeros(len(ids), np.int64) for lang, (_, ids) in automata.items()}
+        counts = {lang: np.zeros(n, np.int64) for lang, (_, _, n) in automata.items()}
         for own in _steps(batches):
             for lang, texts in own.items():
                 if lang in automata:
                     words = b" ".join(b",".join(texts).replace(b",", b" , ").split())
                     found = np.fromiter(map(itemgetter(1), automata[lang][0].iter(f" {words.decode()} ")), np.int64)
                     counts[lang] += np.bincount(found, minlength=len(counts[lang]))
-        for lang, (_, ids) in automata.items():
-            at = np.flatnonzero(counts[lang])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(counts[lang][at])], ["id", "n"])
+        for lang, (_, first, n) in automata.items():
+            for lo in range(0, n, _BLOCK):
+                part = counts[lang][lo : lo + _BLOCK]
+                if part.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([first + lo], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["place", "counts"])
+
+    return run
+
+
+def _add_scans(ids):
+    """id, n of the phrases of a block that occur."""
+
+    def run(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_py(), np.int64) for c in table.column("counts"))
+        at = np.flatnonzero(total)
+        return pa.table([pa.array(ids.value[table.column("place")[0].as_py() + at]), pa.array(total[at])], names=["id", "n"])
 
     return run
 
@@ -357,18 +374,18 @@ def scan(docs: DataFrame, candidates: DataFrame, phrases: int = PHRASES) -> Data
     ids, langs, texts = got.column("id").to_numpy(), got.column("lang").to_pylist(), got.column("phrase").to_pylist()
     counts = None
     for lo in range(0, len(ids), phrases):
-        shard: dict[str, tuple[np.ndarray, list[str]]] = {}
+        shard: dict[str, tuple[int, list[str]]] = {}
         own = langs[lo : lo + phrases]
         for lang in dict.fromkeys(own):
             a = lo + own.index(lang)
-            b = a + own.count(lang)
-            shard[lang] = ids[a:b].copy(), texts[a:b]
-        source = _source(docs).filter(F.col("lang").isin(list(shard)))
-        part = source.mapInArrow(_scan(uuid.uuid4().hex, spark.sparkContext.broadcast(shard)), "id long, n long")
+            shard[lang] = a, texts[a : a + own.count(lang)]
+        source = _few(_source(docs).filter(F.col("lang").isin(list(shard))))
+        part = source.mapInArrow(_scan(uuid.uuid4().hex, spark.sparkContext.broadcast(shard)), "place long, counts binary")
         counts = part if counts is None else counts.unionByName(part)
     if counts is None:
         return candidates.select("lang", "phrase", F.lit(0).cast("long").alias("a")).limit(0)
-    return counts.groupBy("id").agg(F.sum("n").alias("a")).join(candidates, "id").select("lang", "phrase", "a")
+    summed = counts.groupBy("place").applyInArrow(_add_scans(spark.sparkContext.broadcast(ids)), "id long, n long")
+    return summed.join(candidates, "id").select("lang", "phrase", F.col("n").alias("a"))
 
 
 # --- scores
