@@ -6,7 +6,7 @@
 The log is a folder of Parquet files of store.VERSIONS, to which writers add files. An offset is a seq, so a micro-batch ends
 between commits wherever it ends, and a query that starts again from its checkpoint goes on behind the last commit it has
 finished. What is new is found in the files' footers; a batch is planned in ranges of seq, about `ranges` of equal numbers of
-rows by the files' row groups, and each task reads only the row groups and columns of its range. Rows come in no order within
+rows by the files' row groups, and each task reads only the row groups and columns of its range, a few thousand rows at a time. Rows come in no order within
 a batch. `until` stops at a seq: drain_pages() uses it to take a long backlog in batches of bounded size.
 
 Writers add commits in order: a seq not above the highest that a reader has seen is not read by it any more.
@@ -27,6 +27,8 @@ from textloom.streaming import feed
 
 _COLUMNS = ["seq", "path", "rev", "content", "sha256", "deleted"]
 _ARROW = pa.schema([("seq", pa.int64()), ("path", pa.string()), ("rev", pa.int64()), ("content", pa.string()), ("sha256", pa.string()), ("deleted", pa.bool_())])
+#: Rows of a batch that is read, and bytes of a column chunk that are read at once.
+_ROWS, _BUFFER = 4096, 1 << 20
 
 
 class Span(InputPartition):
@@ -75,9 +77,14 @@ class _Reader(DataSourceStreamReader):
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
         where = (ds.field("seq") > partition.after) & (ds.field("seq") <= partition.upto)
-        for batch in _log(self.path).to_batches(columns=_COLUMNS, filter=where):
-            if batch.num_rows:
-                yield batch
+        # pages of a column chunk are read as they are needed, and few rows ahead: a task's memory doesn't grow with its range
+        reading = ds.ParquetFragmentScanOptions(use_buffered_stream=True, buffer_size=_BUFFER, pre_buffer=False)
+        ahead = {"batch_size": _ROWS, "batch_readahead": 1, "fragment_readahead": 1, "use_threads": False, "cache_metadata": False}
+        for fragment in _log(self.path).get_fragments(filter=where):
+            for batch in fragment.to_batches(schema=_ARROW, columns=_COLUMNS, filter=where, fragment_scan_options=reading, **ahead):
+                if batch.num_rows:
+                    yield batch
+        pa.default_memory_pool().release_unused()
 
 
 class ChangeFeed(DataSource):
