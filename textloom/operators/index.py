@@ -80,25 +80,14 @@ class Index:
         new = both.filter(key.isNotNull()).groupBy(self.key).agg(F.max("t").alias("t"), F.max("gone").alias("gone")).select(key, F.when(~F.col("gone"), X.tokenize("t")).alias("w"))
         # terms are in order, so that equal texts have equal lists
         new = cut(new.select(key, self._bucket(self.key).alias("bucket"), F.size("w").alias("dl"), F.when(F.col("w").isNotNull(), S.term_counts("w")).alias("terms")).withColumn("dl", F.when(F.col("terms").isNotNull(), F.col("dl"))))
-        touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())  # at most `buckets`
+        touched = sorted(r.bucket for r in new.select("bucket").distinct().collect()) if m["rows"] else []  # at most `buckets`
         old = self._live("rows", m, [self.key], ["dl", "terms"], touched)
-        if old is None:
-            step = new.filter("terms is not null").withColumn("had", F.array().cast("array<struct<term:string,tf:int>>")).withColumn("had_dl", F.lit(None).cast("int"))
+        if old is None:  # there is nothing to compare with: rows' own counts are what is written
+            step = new.filter("terms is not null").withColumn("had_dl", F.lit(None).cast("int"))
+            posts = step.select(key, "dl", F.inline_outer("terms")).filter("term is not null")
+            df = posts.groupBy("term").agg(F.count("*").alias("d"))
         else:
-            j = new.join(old.select(key, F.col("terms").alias("had"), F.col("dl").alias("had_dl")), self.key, "left")
-            step = j.filter("not (terms <=> had) or (had is null and terms is not null)")
-        step = cut(step)
-        now, had = F.coalesce("terms", F.array().cast("array<struct<term:string,tf:int>>")), F.coalesce("had", F.array().cast("array<struct<term:string,tf:int>>"))
-        lost = F.array_except(F.transform(had, lambda x: x["term"]), F.transform(now, lambda x: x["term"]))
-        gained = F.array_except(F.transform(now, lambda x: x["term"]), F.transform(had, lambda x: x["term"]))
-        # a row whose length has changed writes all of its postings, since each has the length
-        # (lists of structs would be compared each with each: strings are hashed)
-        said = lambda x: F.concat_ws(" ", x["term"], x["tf"])
-        told = lambda x: F.struct(F.substring_index(x, " ", 1).alias("term"), F.substring_index(x, " ", -1).cast("int").alias("tf"))
-        fresh = F.when(F.col("dl").eqNullSafe(F.col("had_dl")), F.transform(F.array_except(F.transform(now, said), F.transform(had, said)), told)).otherwise(now)
-        posts = step.select(key, F.col("dl"), F.inline_outer(F.concat(fresh, F.transform(lost, lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf")))))).filter("term is not null")
-        df = step.select(F.explode_outer(F.concat(F.transform(gained, lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))), F.transform(lost, lambda t: F.struct(t.alias("term"), F.lit(-1).alias("d"))))).alias("x"))
-        df = df.filter("x is not null").groupBy("x.term").agg(F.sum("x.d").cast("long").alias("d")).filter("d <> 0")
+            step, posts, df = self._compared(new, old)
         self._write("postings", name, posts.select("term", self.key, "tf", F.coalesce("dl", F.lit(0)).alias("dl"), F.lit(version).alias("version"), self._bucket("term").alias("bucket")), "term")
         self._write("frequencies", name, df.select("term", "d", self._bucket("term").alias("bucket")), "term")
         self._write("rows", name, step.select(self.key, "dl", "terms", F.lit(version).alias("version"), "bucket"), self.key)
@@ -114,6 +103,25 @@ class Index:
         self.store.publish(name, {"manifest": self.spark.createDataFrame([(json.dumps(m),)], _MANIFEST).coalesce(1)})
         return name
 
+    def _compared(self, new: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(changed rows, their postings and tombstones, changes of document frequencies) of new rows against those there are."""
+        key = F.col(self.key)
+        j = new.join(old.select(key, F.col("terms").alias("had"), F.col("dl").alias("had_dl")), self.key, "left")
+        step = j.filter("not (terms <=> had) or (had is null and terms is not null)")
+        step = cut(step)
+        now, had = F.coalesce("terms", F.array().cast("array<struct<term:string,tf:int>>")), F.coalesce("had", F.array().cast("array<struct<term:string,tf:int>>"))
+        lost = F.array_except(F.transform(had, lambda x: x["term"]), F.transform(now, lambda x: x["term"]))
+        gained = F.array_except(F.transform(now, lambda x: x["term"]), F.transform(had, lambda x: x["term"]))
+        # a row whose length has changed writes all of its postings, since each has the length
+        # (lists of structs would be compared each with each: strings are hashed)
+        said = lambda x: F.concat_ws(" ", x["term"], x["tf"])
+        told = lambda x: F.struct(F.substring_index(x, " ", 1).alias("term"), F.substring_index(x, " ", -1).cast("int").alias("tf"))
+        fresh = F.when(F.col("dl").eqNullSafe(F.col("had_dl")), F.transform(F.array_except(F.transform(now, said), F.transform(had, said)), told)).otherwise(now)
+        posts = step.select(key, F.col("dl"), F.inline_outer(F.concat(fresh, F.transform(lost, lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf")))))).filter("term is not null")
+        df = step.select(F.explode_outer(F.concat(F.transform(gained, lambda t: F.struct(t.alias("term"), F.lit(1).alias("d"))), F.transform(lost, lambda t: F.struct(t.alias("term"), F.lit(-1).alias("d"))))).alias("x"))
+        df = df.filter("x is not null").groupBy("x.term").agg(F.sum("x.d").cast("long").alias("d")).filter("d <> 0")
+        return step, posts, df
+
     def _write(self, kind: str, name: str, rows: DataFrame, by: str) -> None:
         """Folders by bucket; a frequent term's postings may be most of a bucket, so buckets are dealt to several tasks."""
         spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("bucket", "term")]), F.lit(8))
