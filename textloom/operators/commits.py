@@ -9,7 +9,8 @@ Bounds: a component's requests go by in order of seq, a batch at a time, so thei
 the newest texts of the component's paths, and of older versions those that a request yet to come is based on. So a component whose
 operations and stored texts are over `max_bytes` is refused before anything is applied, and so is one of more than `most` commits
 where that is given. (Log lines tie all commits that write one.) Versions are whole texts: appending n lines to one page writes n
-texts of up to n lines, which go on as they are made.
+texts of up to n lines, which go on as they are made. A job that only asks what was written, with which size and digest, says so:
+then no texts are made of pages that only grow, and a commit's work goes by what it says.
 
 Defined results: requests are taken in order of seq, and of equal ones in order of their text. Operations that can't be read,
 null ones and ones against the rules make the commit `invalid`; `unchanged` commits write nothing.
@@ -17,6 +18,7 @@ null ones and ones against the rules make the commit `invalid`; `unchanged` comm
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -30,10 +32,10 @@ from textloom.runtime import cut
 
 MAX_BYTES = 256 << 20
 
-_VERSION = "path:string,rev:long,content:string,sha256:string,deleted:boolean"
+_VERSION = "path:string,rev:long,content:string,sha256:string,deleted:boolean,bytes:long"
 RESULT = f"seq long, status string, path string, reason string, op_index int, details string, versions array<struct<{_VERSION}>>"
 _TOUCHES = "array<struct<path:string,`from`:string,`to`:string,base_rev:string>>"
-_MADE = pa.struct([("path", pa.string()), ("rev", pa.int64()), ("content", pa.string()), ("sha256", pa.string()), ("deleted", pa.bool_())])
+_MADE = pa.struct([("path", pa.string()), ("rev", pa.int64()), ("content", pa.string()), ("sha256", pa.string()), ("deleted", pa.bool_()), ("bytes", pa.int64())])
 _ARROW = pa.schema([("seq", pa.int64()), ("status", pa.string()), ("path", pa.string()), ("reason", pa.string()), ("op_index", pa.int32()), ("details", pa.string()), ("versions", pa.list_(_MADE))])
 #: What a component's task reads, in this order: its newest texts, older ones that requests are based on, which bases until which seq, the requests.
 _NEWEST, _OLD, _BASE, _REQUEST = range(4)
@@ -44,7 +46,8 @@ _OUT_BYTES, _OUT_ROWS = 8 << 20, 10_000
 class _Component:
     """The working copy of one component's paths."""
 
-    def __init__(self):
+    def __init__(self, texts: bool = True):
+        self.texts = texts
         self.state = store._State({}, {})
         self.until: dict[tuple[str, int], int | None] = {}
         self.ends: list[tuple[int, tuple[str, int]]] | None = None
@@ -84,18 +87,19 @@ class _Component:
             return seq, "conflict", e.path, e.reason, e.details.get("op_index"), json.dumps(rest, ensure_ascii=False, sort_keys=True), []
         except (ValueError, TypeError, AttributeError) as e:
             return seq, "invalid", None, str(e), None, None, []
-        self.state.versions.update({(p, rev): content for p, rev, content, _, _ in made if (p, rev) in self.until})
-        return seq, "applied" if made else "unchanged", None, None, None, None, [dict(zip(_MADE.names, v, strict=True)) for v in made]
+        self.state.versions.update({(p, rev): store.plain(content) for p, rev, content, _, _ in made if (p, rev) in self.until})
+        done = [{"path": p, "rev": rev, "content": store.plain(content) if self.texts else None, "sha256": sha, "deleted": gone, "bytes": store.size_of(content)} for p, rev, content, sha, gone in made]
+        return seq, "applied" if made else "unchanged", None, None, None, None, done
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fold(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     """Rows come by component, and in order within each."""
-    key, own = None, _Component()
+    key, own = None, _Component(texts)
     out, size = [], 0
     for batch in batches:
         for r in batch.to_pylist():
             if r["component"] != key:
-                key, own = r["component"], _Component()
+                key, own = r["component"], _Component(texts)
             done = own.take(r)
             if done is None:
                 continue
@@ -112,9 +116,10 @@ def _results(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
 
 
-def apply_all(versions: DataFrame, requests: DataFrame, most: int | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+def apply_all(versions: DataFrame, requests: DataFrame, most: int | None = None, max_bytes: int = MAX_BYTES, texts: bool = True) -> DataFrame:
     """One row a request (seq, ops in JSON; message, log, author and today if there are such columns): seq, status (applied,
-    unchanged, conflict, invalid), path, reason, op_index and details of a refusal, and the versions it writes."""
+    unchanged, conflict, invalid), path, reason, op_index and details of a refusal, and the versions it writes. texts: whether these
+    have their content; sha256 and bytes are those of the whole text either way."""
     text = lambda c: (F.col(c) if c in requests.columns else F.lit(None)).cast("string").alias(c)
     r = requests.select(F.col("seq").cast("long").alias("seq"), *[text(c) for c in ("ops", "message", "log", "author", "today")])
     r = r.withColumn("id", F.xxhash64("seq", "ops")).withColumn("touches", F.from_json("ops", _TOUCHES))
@@ -145,7 +150,7 @@ def apply_all(versions: DataFrame, requests: DataFrame, most: int | None = None,
     # by number, so that small but long-running components aren't put together
     parts = int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "component").sortWithinPartitions("component", "kind", F.asc_nulls_last("seq"), F.asc_nulls_last("ops"))
-    return rows.mapInArrow(_fold, RESULT)
+    return rows.mapInArrow(functools.partial(_fold, texts=texts), RESULT)
 
 
 def versions_of(results: DataFrame) -> DataFrame:

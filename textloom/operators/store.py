@@ -48,6 +48,49 @@ def _size(s: str) -> int:
     return len(s.encode("utf-8", "surrogatepass"))
 
 
+class Grown:
+    """A text that lines were appended to, whose size and digest are carried on. Texts that grew from one another share their bytes."""
+
+    def __init__(self, buffer: bytearray, size: int, digest):
+        self.buffer, self.size, self.digest = buffer, size, digest
+
+    @staticmethod
+    def of(content: str) -> Grown:
+        data = content.encode()
+        return Grown(bytearray(data), len(data), hashlib.sha256(data))
+
+    def plus(self, text: str) -> Grown | None:
+        """This with a text at its end; None where append_text() would change what is there, or it gets too large."""
+        if not self.size or self.buffer[self.size - 1] != 10 or self.size > 1 and self.buffer[self.size - 2] == 10:
+            return None
+        more = (text if text.endswith("\n") else text + "\n").encode()
+        if self.size + len(more) > MAX_FILE:
+            return None
+        buffer = self.buffer if len(self.buffer) == self.size else self.buffer[: self.size]  # another text went on from here
+        buffer += more
+        digest = self.digest.copy()
+        digest.update(more)
+        return Grown(buffer, self.size + len(more), digest)
+
+    def __str__(self) -> str:
+        return self.buffer[: self.size].decode()
+
+
+def plain(content: str | Grown | None) -> str | None:
+    return str(content) if isinstance(content, Grown) else content
+
+
+def size_of(content: str | Grown | None) -> int | None:
+    """Bytes of a text."""
+    return None if content is None else content.size if isinstance(content, Grown) else _size(content)
+
+
+def _differ(a: str | Grown | None, b: str | Grown | None) -> bool:
+    if isinstance(a, Grown) and isinstance(b, Grown) and a.size != b.size:
+        return True
+    return plain(a) != plain(b)
+
+
 def _paths(op: dict) -> list[str]:
     return [op.get("from") or op.get("path"), op.get("to")] if op.get("op") == "move" else [op.get("path")]
 
@@ -126,17 +169,27 @@ def append_text(content: str, text: str, after_heading: str | None = None) -> st
 class _State:
     """Working copy of the paths that a commit names: path -> (rev, content or None if absent)."""
 
-    files: dict[str, tuple[int, str | None]]
+    files: dict[str, tuple[int, str | Grown | None]]
     versions: dict[tuple[str, int], str | None] = field(default_factory=dict)
-    changed: dict[str, tuple[int, str | None]] = field(default_factory=dict)  # what was there before
+    changed: dict[str, tuple[int, str | Grown | None]] = field(default_factory=dict)  # what was there before
 
     def get(self, path: str) -> tuple[int, str | None]:
+        rev, content = self.held(path)
+        return rev, plain(content)
+
+    def held(self, path: str) -> tuple[int, str | Grown | None]:
         return self.files.get(path, (0, None))
 
-    def put(self, path: str, content: str | None) -> None:
-        if content is not None and _size(content) > MAX_FILE:
+    def append(self, path: str, text: str) -> None:
+        """A text at the end of a page: work goes by the text, not by the page, from the second one on."""
+        old = self.held(path)[1]
+        grown = old.plus(text) if isinstance(old, Grown) else None
+        self.put(path, Grown.of(append_text(plain(old) or "", text)) if grown is None else grown)
+
+    def put(self, path: str, content: str | Grown | None) -> None:
+        if content is not None and size_of(content) > MAX_FILE:
             raise ValueError(f"{path} would be larger than {MAX_FILE} bytes")
-        was = self.get(path)
+        was = self.held(path)
         self.files[path] = (was[0] + (path not in self.changed), content)
         self.changed.setdefault(path, was)
 
@@ -171,7 +224,11 @@ def _around(text: str, at: int) -> str:
 
 def _apply(state: _State, op: dict) -> None:
     kind, path = op["op"], _paths(op)[0]
-    rev, old = state.get(path)
+    rev, old = state.held(path)
+    if kind == "append" and not op.get("after_heading") and (old is not None or op.get("create")):
+        state.append(path, op["text"])
+        return
+    old = plain(old)
     there = {"current_rev": rev, "current_excerpt": old[:EXCERPT]} if old is not None else {}
     if kind == "create" and old is not None:
         raise Conflict(path, "exists", **there)
@@ -230,12 +287,12 @@ def commit(spark: SparkSession, versions: DataFrame, ops: list[dict], seq: int,
     wanted = [(F.col("path") == p) & (F.col("rev") == r) for p, r in based]
     bases = own.filter(functools.reduce(operator.or_, wanted)).select("path", "rev", "content").collect() if wanted else []
     state = _State({r.path: (r.rev, None if r.deleted else r.content) for r in rows}, {(r.path, r.rev): r.content for r in bases})
-    return spark.createDataFrame([(seq, *v) for v in written(state, ops)], VERSIONS)
+    return spark.createDataFrame([(seq, p, rev, plain(content), *rest) for p, rev, content, *rest in written(state, ops)], VERSIONS)
 
 
 def written(state: _State, ops: list[dict]) -> list[tuple]:
     """The versions (path, rev, content, sha256, deleted) that operations make of a state, which moves on. All or nothing: on a
-    Conflict, which names the operation, or another error the state stays."""
+    Conflict, which names the operation, or another error the state stays. The content of a page that was appended to may be Grown."""
     state.changed = {}
     try:
         for i, op in enumerate(ops):
@@ -249,10 +306,11 @@ def written(state: _State, ops: list[dict]) -> list[tuple]:
         raise
     out = []
     for p, (rev, old) in state.changed.items():
-        new = state.get(p)[1]
-        state.files[p] = (rev + (new != old), new)
-        if new != old:
-            out.append((p, rev + 1, new, None if new is None else _sha(new), new is None))
+        new = state.held(p)[1]
+        differ = _differ(new, old)
+        state.files[p] = (rev + differ, new)
+        if differ:
+            out.append((p, rev + 1, new, None if new is None else new.digest.hexdigest() if isinstance(new, Grown) else _sha(new), new is None))
     return out
 
 
