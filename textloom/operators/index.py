@@ -3,7 +3,8 @@
 Postings (term, key, tf, dl, version) lie in folders by bucket of the term, sorted by term; a forward table (key, dl, terms, version)
 lies in folders by bucket of the key. An update looks up the terms that changed and deleted rows had before, in their keys' buckets
 only, and writes one delta: the new postings, and a tombstone (tf 0) for every term that a row has lost. Rows whose text is as it was
-write nothing. Each task sorts what it made and writes its own file to a bucket, so neither texts nor postings are shuffled. Document frequencies (term, d), the number of rows and the sum of their lengths are kept as additive
+write nothing. Each task sorts what it made and writes its own file to a bucket, so postings aren't
+shuffled; texts are where a key is there several times, and changed ones meet their former rows in a join. Document frequencies (term, d), the number of rows and the sum of their lengths are kept as additive
 rows, so that statistics never need a scan. A query reads the folders of its own terms' buckets; where a bucket has one folder its rows are
 live as they are, else the newest version of each (term, key) counts.
 
